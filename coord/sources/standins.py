@@ -1,0 +1,134 @@
+"""Coordination records derived from the benchmark tables, as SQL that Spark and DuckDB both accept."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+BASE_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+
+STANDINS: dict[str, str] = {
+    "task_commands": """
+SELECT concat('u', CAST(user_id AS STRING), CASE WHEN day(ts) <= 10 THEN '/p0' WHEN day(ts) <= 20 THEN '/p1' ELSE '/p2' END) AS slug,
+       event_id AS seq, ts, concat('a', CAST(event_id % 7 AS STRING)) AS by_agent,
+       CASE WHEN event_id % 53 = 0 THEN 'confirm_abort'
+            WHEN event_type = 'signup' THEN 'enqueue'
+            WHEN event_type = 'view' THEN 'claim'
+            WHEN event_type = 'click' THEN 'start'
+            WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'release'
+            WHEN event_type = 'purchase' THEN 'complete'
+            WHEN event_id % 3 = 0 THEN 'fail'
+            WHEN event_id % 3 = 1 THEN 'block'
+            ELSE 'unblock' END AS cmd
+FROM events
+""",
+    "tasks": """
+SELECT CAST(o_orderkey AS STRING) AS slug, concat('proj', CAST(o_custkey % 50 AS STRING)) AS project,
+       CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'in_progress' ELSE 'queued' END AS status,
+       concat('c', CAST(o_custkey AS STRING)) AS requester, o_orderpriority AS priority,
+       o_orderdate AS updated_at, o_orderkey AS ordinal
+FROM orders
+""",
+    "task_deps": """
+SELECT CAST(o_orderkey AS STRING) AS slug, CAST((o_orderkey - o_orderkey % 2) / 2 AS BIGINT) AS dep
+FROM orders WHERE o_orderkey > 0 AND o_orderkey % 3 <> 0
+""",
+    "feature_edges": """
+SELECT p_partkey AS src, CAST((p_partkey - p_partkey % 2) / 2 AS BIGINT) AS dst FROM part WHERE p_partkey > 0
+UNION
+SELECT p_partkey AS src, CAST((p_partkey - p_partkey % 3) / 3 AS BIGINT) AS dst FROM part WHERE p_partkey > 0
+""",
+    "feature_paths": """
+SELECT r_name AS id FROM region
+UNION ALL SELECT concat(r_name, '/', n_name) FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT concat(r_name, '/', n_name, '/', c_name)
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""",
+    "spec_docs": """
+SELECT concat('spec/features/', source, '/f', CAST(doc_id AS STRING), '/README.md') AS path,
+       concat('# Feature ', CAST(doc_id AS STRING), chr(10), chr(10), '**Status:** ',
+              CASE doc_id % 3 WHEN 0 THEN 'Conceptual' WHEN 1 THEN 'In Progress' ELSE 'Stable' END,
+              chr(10), chr(10), '## Summary', chr(10), chr(10), text, chr(10), chr(10),
+              CASE WHEN doc_id % 5 = 0 THEN '#### Details' ELSE '### Details' END, chr(10), chr(10),
+              '## Dependencies', chr(10), chr(10), '- ', source, '/f', CAST((doc_id - doc_id % 2) / 2 AS BIGINT), chr(10),
+              CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1
+                   THEN concat(chr(10), '## Outstanding Questions', chr(10))
+                   WHEN doc_id % 7 = 2 THEN concat(chr(10), '## Outstanding Questions', chr(10), chr(10), 'None at this time.', chr(10))
+                   ELSE concat(chr(10), '## Outstanding Questions', chr(10), chr(10), '- Question ', lang, chr(10)) END) AS text
+FROM documents
+""",
+    "requests": """
+SELECT event_id AS request_id, ts, concat('u', CAST(user_id AS STRING)) AS user_id,
+       concat('proj', CAST(user_id % 20 AS STRING)) AS project_id, event_type AS endpoint,
+       CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value AS latency
+FROM events
+""",
+    "heartbeats": """
+SELECT concat('a', CAST(user_id AS STRING)) AS agent, ts, event_id AS seq FROM events
+""",
+    "responses": """
+SELECT concat('d', CAST(o_custkey AS STRING)) AS decision,
+       concat('s', CAST(o_orderkey % 5 AS STRING)) AS stakeholder,
+       CASE o_orderstatus WHEN 'F' THEN 'approve' WHEN 'O' THEN 'reject' ELSE 'custom' END AS response,
+       o_orderdate AS ts, o_orderkey AS seq
+FROM orders
+""",
+    "chat_messages": """
+SELECT conv_id AS chat_id, turn, role, text AS content FROM conversations
+""",
+    "plans": """
+SELECT p_partkey AS plan, p_brand AS roadmap, CASE WHEN p_partkey > 0 THEN CAST((p_partkey - p_partkey % 2) / 2 AS BIGINT) END AS depends_on,
+       CASE WHEN p_size <= 10 THEN 'S' WHEN p_size <= 25 THEN 'M' WHEN p_size <= 40 THEN 'L' ELSE 'XL' END AS effort,
+       CASE p_partkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS impact,
+       CASE p_partkey % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'draft' ELSE 'in_review' END AS status
+FROM part
+""",
+    "containers": """
+SELECT s_suppkey AS project_id,
+       CASE s_suppkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'paused' WHEN 2 THEN 'stopped' ELSE 'terminated' END AS container_status,
+       CASE WHEN s_suppkey % 6 = 5 THEN NULL ELSE max(l_shipdate) END AS idle_since, count(*) AS commands
+FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY s_suppkey
+""",
+    "plan_tasks": """
+SELECT l_orderkey % 2000 AS plan, l_linenumber AS plan_task, CAST(l_orderkey AS STRING) AS task
+FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber
+""",
+    "spans": """
+SELECT CAST(l_orderkey AS STRING) AS trace_id, l_linenumber AS span_id,
+       CASE WHEN l_linenumber > 1 THEN CAST((l_linenumber - l_linenumber % 2) / 2 AS INT) END AS parent_id,
+       min(l_shipdate) AS ts, sum(CAST(l_quantity AS BIGINT)) AS duration_ms, max(l_returnflag) AS status
+FROM lineitem GROUP BY l_orderkey, l_linenumber
+""",
+    "proposals": """
+SELECT l_partkey AS feature, l_orderkey AS proposal, min(l_shipdate) AS created,
+       CASE max(l_returnflag) WHEN 'A' THEN 'approved' WHEN 'R' THEN 'rejected' ELSE 'submitted' END AS status
+FROM lineitem GROUP BY l_partkey, l_orderkey
+""",
+    "access_grants": """
+SELECT concat('u', CAST(user_id AS STRING)) AS user_id, concat('proj', CAST(user_id % 20 AS STRING)) AS project_id,
+       CASE WHEN user_id % 10 = 0 THEN 'admin' ELSE 'read_write' END AS access_level, min(ts) AS cached_at
+FROM events WHERE user_id % 7 <> 0 GROUP BY user_id
+""",
+}
+
+_TABLE_USE = re.compile(r"\b(FROM|JOIN) (" + "|".join(BASE_TABLES) + r")\b")
+
+
+def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived record table as a lazy DataFrame."""
+    return run_sql(spark, sf_dir, STANDINS[name])
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    used = {m.group(2) for m in _TABLE_USE.finditer(sql)}
+    tables = {name: base(spark, sf_dir, name) for name in used}
+    return spark.sql(_TABLE_USE.sub(r"\1 {\2}", sql), **tables)
