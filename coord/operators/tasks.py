@@ -58,7 +58,7 @@ def page_after(df: DataFrame, key: str, cursor=None, limit: int = 20) -> DataFra
         F.max(F.when(F.col("_n") == limit, F.col(key))).alias("_last"), (F.count(F.lit(1)) > limit).alias("has_more")
     )
     page = numbered.filter(F.col("_n") <= limit).join(F.broadcast(edge), "_one")
-    return page.withColumn("next_cursor", F.when("has_more", F.col("_last"))).drop("_one", "_n", "_last")
+    return page.withColumn("next_cursor", F.when(F.col("has_more"), F.col("_last"))).drop("_one", "_n", "_last")
 
 
 def rebuild_board(docs: DataFrame, board: DataFrame) -> DataFrame:
@@ -148,17 +148,11 @@ def plan_progress(plan_tasks: DataFrame, tasks: DataFrame, subtasks: DataFrame |
     """
     live = tasks.select("slug", "status")
     links = plan_tasks.select("plan", "plan_task", F.col("task").alias("slug")).distinct()
-    own = live.join(links, "slug", "full")
     if subtasks is not None:
-        below = (
-            subtasks.join(links, subtasks["parent"] == links["slug"])
-            .select(subtasks["slug"], "plan", "plan_task")
-            .join(live, "slug")
-        )
-        own = own.join(subtasks.select("slug").distinct(), "slug", "left_anti")
-        own = own.unionByName(below.select(*own.columns))
+        below = links.join(subtasks.select(F.col("slug").alias("_sub"), F.col("parent").alias("slug")), "slug")
+        links = links.unionByName(below.select("plan", "plan_task", F.col("_sub").alias("slug"))).distinct()
+    planned = links.join(live, "slug", "left")
     s = F.col("status")
-    planned = own.filter("plan IS NOT NULL")
     counts = planned.groupBy("plan", "plan_task").agg(
         F.count("status").alias("linked"),
         F.count_if(s == "completed").alias("done"),
@@ -173,8 +167,9 @@ def plan_progress(plan_tasks: DataFrame, tasks: DataFrame, subtasks: DataFrame |
         "plan", "plan_task", F.lit(None).cast("string").alias("task"), derived.alias("status"),
         "done", "linked", F.lit(False).alias("unplanned"),
     )
-    extra = own.filter("plan IS NULL").select(
-        "plan", "plan_task", F.col("slug").alias("task"), "status",
+    extra = live.join(links, "slug", "left_anti").select(
+        F.lit(None).cast(links.schema["plan"].dataType).alias("plan"),
+        F.lit(None).cast(links.schema["plan_task"].dataType).alias("plan_task"), F.col("slug").alias("task"), "status",
         (s == "completed").cast("long").alias("done"), F.lit(1).cast("long").alias("linked"),
         F.lit(True).alias("unplanned"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from coord.operators import history, ordered, tasks
+from coord.operators import history, tasks
 from coord.plans.registry import AS_OF, query
 
 # The task transitions as rows for SQL.
@@ -56,3 +56,223 @@ def task_current_state(spark, task_commands):
 def status_counts(spark, task_commands):
     states = history.task_states(history.fold(task_commands))
     return states.groupBy("status").agg(F.count(F.lit(1)).alias("tasks"))
+
+
+@query(
+    "list_tasks", "tasks",
+    sql="SELECT * FROM tasks WHERE status = 'queued' AND project = 'proj7'",
+)
+def list_queued(spark, t):
+    return tasks.list_tasks(t, status="queued", project="proj7")
+
+
+@query("select_fields", "tasks", sql="SELECT slug, status, requester, updated_at FROM tasks")
+def select_fields(spark, t):
+    return tasks.select_fields(t, ["slug", "status", "requester", "updated_at"])
+
+
+@query(
+    "page_after", "tasks",
+    sql="""SELECT slug, ordinal, max(CASE WHEN n = 20 THEN ordinal END) OVER () AS next_cursor, total > 20 AS has_more
+      FROM (SELECT *, row_number() OVER (ORDER BY ordinal) AS n, count(*) OVER () AS total
+            FROM tasks WHERE status = 'queued' AND ordinal > 100) WHERE n <= 20""",
+)
+def page_after(spark, t):
+    page = tasks.page_after(t.filter("status = 'queued'"), "ordinal", cursor=100)
+    return page.select("slug", "ordinal", "next_cursor", "has_more")
+
+
+@query(
+    "rebuild_board", "task_docs", "board",
+    sql="""SELECT d.slug, CASE WHEN b.slug IS NULL THEN 'planning' ELSE b.status END AS status,
+      CASE WHEN b.slug IS NULL THEN d.depends_on ELSE b.depends_on END AS depends_on, b.branch, b.agent
+      FROM task_docs d LEFT JOIN board b ON b.slug = d.slug""",
+)
+def rebuild_board(spark, docs, board):
+    return tasks.rebuild_board(docs, board)
+
+
+UNMET = """SELECT d.slug, CAST(d.dep AS VARCHAR) AS dep, t.status AS dep_status FROM task_deps d
+      LEFT JOIN tasks t ON t.slug = CAST(d.dep AS VARCHAR) WHERE t.status IS DISTINCT FROM 'completed'"""
+
+
+@query(
+    "ready_tasks", "tasks", "task_deps",
+    sql=f"""WITH u AS ({UNMET}) SELECT t.slug, count(u.dep) AS unmet, count(u.dep) = 0 AS ready
+      FROM tasks t LEFT JOIN u ON u.slug = t.slug WHERE t.status = 'queued' GROUP BY t.slug""",
+)
+def ready_tasks(spark, t, d):
+    return tasks.ready_tasks(t, d)
+
+
+@query("unmet_dependencies", "tasks", "task_deps", sql=UNMET)
+def unmet_dependencies(spark, t, d):
+    return tasks.unmet_dependencies(t, d)
+
+
+@query(
+    "resolve_task_refs", "task_refs", "task_paths",
+    sql="""WITH r AS (SELECT path, ref, CASE WHEN ref LIKE '%://%' THEN 'external' WHEN ref LIKE '%/%' THEN 'path'
+        ELSE 'sibling' END AS kind FROM task_refs),
+      x AS (SELECT *, CASE kind WHEN 'sibling' THEN split_part(path, '/', 1) || '/' || ref ELSE ref END AS target FROM r)
+      SELECT x.*, CASE WHEN kind <> 'external' THEN target IN (SELECT path FROM task_paths) END AS resolved FROM x""",
+)
+def resolve_task_refs(spark, refs, paths):
+    return tasks.resolve_task_refs(refs, paths)
+
+
+@query(
+    "plan_progress", "plan_tasks", "tasks", "task_tree",
+    sql="""WITH l AS (SELECT plan, plan_task, task AS slug FROM plan_tasks UNION
+        SELECT p.plan, p.plan_task, t.slug FROM plan_tasks p JOIN task_tree t ON t.parent = p.task),
+      c AS (SELECT plan, plan_task, count(t.status) AS n, count(*) FILTER (t.status = 'completed') AS done,
+        count(*) FILTER (t.status = 'in_progress') AS run FROM l LEFT JOIN tasks t USING (slug) GROUP BY ALL)
+      SELECT plan, plan_task, NULL AS task, CASE WHEN n = 0 THEN 'not_started' WHEN done = n THEN 'completed'
+        WHEN run > 0 OR done > 0 THEN 'in_progress' ELSE 'queued' END AS status, done, n AS linked, false AS unplanned FROM c
+      UNION ALL SELECT NULL, NULL, slug, status, CAST(status = 'completed' AS BIGINT), 1, true FROM tasks
+      WHERE slug NOT IN (SELECT slug FROM l)""",
+)
+def plan_progress(spark, plan_tasks, t, tree):
+    return tasks.plan_progress(plan_tasks, t, tree.filter("parent IS NOT NULL"))
+
+
+def _changes(task_commands):
+    return history.fold(task_commands).filter("outcome = 'ok'")
+
+
+@query(
+    "state_as_of", "task_commands",
+    sql=FOLD_SQL + """SELECT slug, arg_max(to_status, rn) AS status, max(ts) AS since FROM walk
+      WHERE ok AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY slug""",
+)
+def state_as_of(spark, c):
+    return tasks.state_as_of(_changes(c), F.expr("TIMESTAMP_NTZ '2024-01-15 12:00:00'"))
+
+
+@query(
+    "states_at_each_log", "task_commands",
+    sql=FOLD_SQL + """, q AS (SELECT DISTINCT slug, ts FROM task_commands WHERE cmd = 'start')
+      SELECT q.slug, q.ts, w.to_status AS status FROM q ASOF LEFT JOIN (SELECT * FROM walk WHERE ok) w
+      ON q.slug = w.slug AND q.ts >= w.ts""",
+)
+def states_at_each_log(spark, c):
+    return tasks.states_as_of(_changes(c), c.filter("cmd = 'start'"))
+
+
+@query(
+    "task_context", "task_tree", "task_deps", "plan_tasks",
+    sql="""SELECT t.slug, t.status, t.parent, p.status AS parent_status,
+        (SELECT count(*) FROM task_tree s WHERE s.parent = t.parent AND s.slug <> t.slug) AS siblings,
+        (SELECT count(*) FROM task_tree s WHERE s.parent = t.parent AND s.slug <> t.slug AND s.status = 'completed') AS siblings_completed,
+        (SELECT count(*) FROM task_deps d WHERE d.slug = t.slug) AS deps,
+        (SELECT count(*) FROM task_deps d JOIN task_tree x ON x.slug = CAST(d.dep AS VARCHAR)
+         WHERE d.slug = t.slug AND x.status = 'completed') AS deps_completed,
+        (SELECT min(plan) FROM plan_tasks l WHERE l.task = t.slug) AS plan
+      FROM task_tree t LEFT JOIN task_tree p ON p.slug = t.parent""",
+)
+def task_context(spark, tree, deps, plan_tasks):
+    return tasks.task_context(tree, deps, plan_tasks)
+
+
+@query(
+    "arbitrate_claims", "claim_requests", "tasks", "task_deps",
+    sql=f"""WITH u AS ({UNMET}), c AS (SELECT r.*, t.status, r.slug IN (SELECT slug FROM u) AS waiting,
+        row_number() OVER (PARTITION BY r.slug ORDER BY r.ts, r.seq) AS n FROM claim_requests r LEFT JOIN tasks t USING (slug))
+      SELECT slug, seq, ts, agent, CASE WHEN status IS NULL THEN 'not_found' WHEN status <> 'queued' OR waiting
+        THEN 'invalid_transition' WHEN n = 1 THEN 'ok' ELSE 'conflict' END AS outcome FROM c""",
+)
+def arbitrate_claims(spark, requests, t, d):
+    return history.arbitrate_claims(requests, t, d)
+
+
+@query(
+    "guard_updates", "updates", "tasks",
+    sql="""WITH j AS (SELECT u.*, t.status, t.slug IS NOT NULL AND coalesce(u.expected_status = t.status, true)
+        AND coalesce(u.expected_updated_at = t.updated_at, true) AS fresh FROM updates u LEFT JOIN tasks t USING (slug)),
+      n AS (SELECT *, row_number() OVER (PARTITION BY slug, fresh ORDER BY ts, seq) AS k FROM j)
+      SELECT slug, seq, ts, expected_status, expected_updated_at, CASE WHEN status IS NULL THEN 'not_found'
+        WHEN fresh AND k = 1 THEN 'ok' ELSE 'conflict' END AS outcome FROM n""",
+)
+def guard_updates(spark, updates, t):
+    return history.guard_updates(updates, t)
+
+
+@query(
+    "fold_guarded", "task_commands",
+    sql=f"""WITH RECURSIVE tr(s, c, t) AS (VALUES {TRANSITION_ROWS}),
+      cmds AS (SELECT *, CASE seq % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'claimed' END AS want,
+        row_number() OVER (PARTITION BY slug ORDER BY ts, seq) AS rn FROM task_commands),
+      walk AS (SELECT slug, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, 'planning' AS st, '' AS outcome
+        FROM cmds WHERE rn = 1 UNION ALL
+        SELECT c.slug, c.rn, c.seq, CASE WHEN coalesce(c.want, w.st) = w.st THEN coalesce(tr.t, w.st) ELSE w.st END,
+          CASE WHEN coalesce(c.want, w.st) <> w.st THEN 'conflict' WHEN tr.t IS NULL THEN 'invalid_transition' ELSE 'ok' END
+        FROM walk w JOIN cmds c ON c.slug = w.slug AND c.rn = w.rn + 1 LEFT JOIN tr ON tr.s = w.st AND tr.c = c.cmd)
+      SELECT slug, seq, st AS to_status, outcome FROM walk WHERE rn > 0""",
+)
+def fold_guarded(spark, c):
+    want = F.expr("CASE seq % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'claimed' END")
+    return history.fold(c.withColumn("want", want), expected="want").select("slug", "seq", "to_status", "outcome")
+
+
+@query(
+    "time_in_status", "task_commands",
+    sql=FOLD_SQL + f"""SELECT slug, seq, to_status AS status, ts AS entered_at,
+      lead(ts) OVER (PARTITION BY slug ORDER BY rn) AS left_at,
+      date_sub('second', ts, coalesce(lead(ts) OVER (PARTITION BY slug ORDER BY rn), {AS_OF})) AS dwell_s FROM walk WHERE ok""",
+)
+def time_in_status(spark, c):
+    return history.time_in_status(_changes(c), F.expr(AS_OF.replace("TIMESTAMP", "TIMESTAMP_NTZ")))
+
+
+@query(
+    "run_durations", "task_commands",
+    sql=FOLD_SQL + """, e AS (SELECT slug, min(ts) FILTER (to_status = 'in_progress') AS started_at,
+        min(ts) FILTER (to_status IN ('completed', 'failed', 'aborted')) AS finished_at FROM walk WHERE ok GROUP BY slug)
+      SELECT *, date_sub('second', started_at, finished_at) AS duration_s FROM e
+      WHERE started_at IS NOT NULL AND finished_at IS NOT NULL""",
+)
+def run_durations(spark, c):
+    return history.run_durations(_changes(c))
+
+
+RECORDED = """SELECT slug, seq, ts, CASE WHEN seq % 17 = 0 THEN 'queued' ELSE lag(cmd_status, 1, 'planning')
+      OVER (PARTITION BY slug ORDER BY ts, seq) END AS from_status, cmd_status AS to_status
+      FROM (SELECT *, CASE cmd WHEN 'enqueue' THEN 'queued' WHEN 'claim' THEN 'claimed' WHEN 'start' THEN 'in_progress'
+        WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' WHEN 'block' THEN 'blocked' WHEN 'unblock' THEN 'in_progress'
+        WHEN 'release' THEN 'queued' ELSE 'aborted' END AS cmd_status FROM task_commands)"""
+
+
+@query(
+    "validate_history", "task_commands",
+    sql=f"""WITH tr(s, c, t) AS (VALUES {TRANSITION_ROWS}), r AS ({RECORDED})
+      SELECT slug, seq, from_status, to_status,
+        lag(to_status, 1, 'planning') OVER (PARTITION BY slug ORDER BY ts, seq) = from_status AS continuous,
+        EXISTS (SELECT 1 FROM tr WHERE tr.s = from_status AND tr.t = to_status) AS legal FROM r""",
+)
+def validate_history(spark, c):
+    return history.validate_history(spark.sql(RECORDED.replace("FROM task_commands", "FROM {c}"), c=c))
+
+
+@query(
+    "split_board", "tasks",
+    sql="""SELECT *, 'active' AS section FROM tasks WHERE status <> 'completed' UNION ALL
+      SELECT * EXCLUDE (n), 'recently_finished' FROM (SELECT *, row_number() OVER (PARTITION BY project
+        ORDER BY updated_at DESC, slug) AS n FROM tasks WHERE status = 'completed') WHERE n <= 10""",
+)
+def split_board(spark, t):
+    return history.split_board(t, F.lit(None), limit=10, board="project")
+
+
+@query(
+    "task_timeline", "task_commands",
+    sql=FOLD_SQL + """SELECT slug, ts, seq, by_agent, 'status_change' AS type, from_status, to_status, NULL AS message
+      FROM walk WHERE ok UNION ALL
+      SELECT slug, ts, seq, by_agent, 'log', NULL, NULL, 'rejected ' || cmd FROM walk WHERE NOT ok""",
+)
+def task_timeline(spark, c):
+    folded = history.fold(c)
+    moved = folded.filter("outcome = 'ok'").select("slug", "ts", "seq", "by_agent", "from_status", "to_status")
+    noted = folded.filter("outcome <> 'ok'").select(
+        "slug", "ts", "seq", "by_agent", F.concat(F.lit("rejected "), "cmd").alias("message")
+    )
+    return tasks.task_timeline(moved, noted)

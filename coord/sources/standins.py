@@ -115,6 +115,49 @@ FROM events WHERE user_id % 7 <> 0 GROUP BY user_id
 """,
 }
 
+# Further records in the same manner.
+STANDINS |= {
+    "claim_requests": """
+SELECT CAST((user_id * 131) % 20000 AS STRING) AS slug, event_id AS seq, ts, concat('a', CAST(user_id % 7 AS STRING)) AS agent
+FROM events
+""",
+    "updates": """
+SELECT CAST((user_id * 131) % 20000 AS STRING) AS slug, event_id AS seq, ts,
+       CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' END AS expected_status,
+       CASE WHEN event_id % 11 = 0 THEN TIMESTAMP '1995-01-01 00:00:00' END AS expected_updated_at
+FROM events
+""",
+    "board": """
+SELECT CAST(o_orderkey AS STRING) AS slug,
+       CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'in_progress' ELSE 'queued' END AS status,
+       CAST(NULL AS STRING) AS depends_on, concat('agent/r', CAST(o_custkey AS STRING)) AS branch,
+       concat('a', CAST(o_custkey % 7 AS STRING)) AS agent
+FROM orders WHERE o_orderkey % 4 <> 0
+""",
+    "task_docs": """
+SELECT CAST(o_orderkey + 50 AS STRING) AS slug,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey AS STRING) END AS depends_on
+FROM orders
+""",
+    "task_tree": """
+SELECT CAST(o_orderkey AS STRING) AS slug,
+       CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderkey - o_orderkey % 10 AS STRING) END AS parent,
+       CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'in_progress' ELSE 'queued' END AS status
+FROM orders
+""",
+    "task_paths": """
+SELECT concat('t', CAST(o_custkey % 100 AS STRING), '/s', CAST(o_orderkey AS STRING)) AS path FROM orders
+""",
+    "task_refs": """
+SELECT concat('t', CAST(o_custkey % 100 AS STRING), '/s', CAST(o_orderkey AS STRING)) AS path,
+       CASE o_orderkey % 4 WHEN 0 THEN concat('s', CAST(o_orderkey + 1 AS STRING))
+            WHEN 1 THEN concat('t', CAST(o_custkey % 100 AS STRING), '/s', CAST(o_orderkey AS STRING))
+            WHEN 2 THEN concat('https://git.example/org/repo/tasks/t', CAST(o_custkey AS STRING))
+            ELSE concat('t', CAST(o_custkey % 50 AS STRING), '/s', CAST(o_orderkey - 1 AS STRING)) END AS ref
+FROM orders
+""",
+}
+
 _TABLE_USE = re.compile(r"\b(FROM|JOIN) (" + "|".join(BASE_TABLES) + r")\b")
 
 
