@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("task_queries",)
+MODULES = ("task_queries", "corpus_queries")
 
 
 def load():

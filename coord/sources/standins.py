@@ -155,6 +155,95 @@ SELECT concat('t', CAST(o_custkey % 100 AS STRING), '/s', CAST(o_orderkey AS STR
             WHEN 2 THEN concat('https://git.example/org/repo/tasks/t', CAST(o_custkey AS STRING))
             ELSE concat('t', CAST(o_custkey % 50 AS STRING), '/s', CAST(o_orderkey - 1 AS STRING)) END AS ref
 FROM orders
+""",
+    "wiki_docs": """
+SELECT concat('spec/features/', source, '/f', CAST(doc_id AS STRING), '/README.md') AS path,
+       concat('# Feature ', CAST(doc_id AS STRING), chr(10), chr(10), '## Contents', chr(10), chr(10),
+              CASE WHEN doc_id % 3 = 0 THEN concat('- [sub](sub/README.md)', chr(10)) ELSE '' END,
+              CASE WHEN doc_id % 5 = 0 THEN concat('- [gone](gone/)', chr(10)) ELSE '' END,
+              chr(10), '## Notes', chr(10), chr(10), text, chr(10), chr(10),
+              'See [home](../f', CAST(doc_id - doc_id % 4 AS STRING), '/README.md#notes) and [here](#',
+              CASE WHEN doc_id % 2 = 0 THEN 'contents' ELSE 'nowhere' END, '), [site](https://git.example/acme/r',
+              CAST(doc_id % 9 AS STRING), '.git)', chr(10),
+              CASE WHEN doc_id % 6 = 0 THEN concat('Bad [ref](../F 1//x)', chr(10)) ELSE '' END,
+              '```', chr(10), '# not a heading [x](y.md)', chr(10), '```', chr(10)) AS text
+FROM documents
+UNION ALL
+SELECT concat('spec/features/', source, '/f', CAST(doc_id AS STRING), '/sub/README.md') AS path,
+       concat('# Sub ', CAST(doc_id AS STRING), chr(10), chr(10), '## Outstanding Questions', chr(10)) AS text
+FROM documents WHERE doc_id % 2 = 0
+""",
+    "plan_docs": """
+SELECT concat('spec/plans/p', CAST(p_partkey AS STRING), '/README.md') AS path,
+       concat('# Plan ', p_name, chr(10), chr(10), '**Status:** ', CASE p_partkey % 3 WHEN 0 THEN 'approved' ELSE 'draft' END,
+              chr(10), '**Effort:** ', CASE WHEN p_size <= 25 THEN 'M' ELSE 'XL' END, chr(10),
+              '**Features:** src', CAST(p_partkey % 20 AS STRING), '/f', CAST(p_partkey % 300 AS STRING),
+              ', [src1/f1](../../features/src1/f1/README.md)', chr(10)) AS text
+FROM part
+""",
+    "source_files": """
+SELECT concat('src/', source, '/m', CAST(doc_id AS STRING), '.go') AS path,
+       concat('package m', chr(10),
+              CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('// Features implemented: x', chr(10)) END,
+              '// spec:feature/', source, '/f', CAST(doc_id AS STRING), chr(10),
+              CASE WHEN doc_id % 3 = 0 THEN concat('  // see https://spec.example/plan/p', CAST(doc_id AS STRING), ' and spec:feature/none/x', chr(10)) ELSE '' END,
+              CASE WHEN doc_id % 7 = 0 THEN concat('# spec:doc/api@git.example/acme/r', CAST(doc_id % 9 AS STRING), chr(10)) ELSE '' END,
+              'x := "spec:feature/in/string"', chr(10), '/* ', text, ' */', chr(10)) AS text
+FROM documents
+""",
+    "board_docs": """
+SELECT concat('tasks/t', CAST(o_orderkey AS STRING), '/README.md') AS path,
+       concat('# Tasks', chr(10), chr(10), '| Task | Status | Depends on | Branch | Agent | Requester | Time |', chr(10),
+              '|---|---|---|---|---|---|---|', chr(10),
+              '| [a', CAST(o_orderkey AS STRING), '](a', CAST(o_orderkey AS STRING), '/) | ✅ `',
+              CASE o_orderkey % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'complete' ELSE 'done' END,
+              '` | — | `b1` | GPT-5 | @c', CAST(o_custkey AS STRING), ' | 2026-03-12 10:15 (4m', CAST(o_orderkey % 60 AS STRING), 's) |', chr(10),
+              '| [b](b/) | 🔵&nbsp;`in_progress` | a', CAST(o_orderkey AS STRING), ', z | — | — | — | 2026-03-12<br>10:22 |', chr(10),
+              CASE WHEN o_orderkey % 5 = 0 THEN concat('| c | queued | — | — | — | — | — |', chr(10)) ELSE '' END) AS text
+FROM orders
+""",
+    "task_files": """
+SELECT concat('tasks/', source, '/t', CAST(doc_id AS STRING), '.md') AS path,
+       concat(CASE WHEN doc_id % 11 = 0 THEN 'Task' ELSE '# Task' END, ' ', CAST(doc_id AS STRING), chr(10), chr(10), 'About ', lang, '.', chr(10), chr(10),
+              CASE WHEN doc_id % 13 = 0 THEN '' ELSE concat('## Dependencies', chr(10), chr(10),
+                CASE WHEN doc_id % 2 = 0 THEN 'None' ELSE concat('- t', CAST(doc_id - 1 AS STRING), chr(10), '- other') END, chr(10), chr(10)) END,
+              CASE WHEN doc_id % 17 = 0 THEN '' ELSE concat('## Summary', chr(10), chr(10),
+                CASE WHEN doc_id % 3 = 0 THEN 'None' ELSE concat('Did ', source) END, chr(10)) END) AS text
+FROM documents
+""",
+    "listed_children": """
+SELECT concat(r_name, '/', n_name) AS parent, concat(r_name, '/', n_name, '/', c_name) AS child
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 5 <> 0
+UNION ALL
+SELECT concat(r_name, '/', n_name) AS parent, concat(r_name, '/', n_name, '/old', c_name) AS child
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 50 = 0
+""",
+    "scenarios": """
+SELECT CAST(l_orderkey AS STRING) AS scenario, concat('f', CAST(l_partkey AS STRING)) AS feature,
+       CASE WHEN l_orderkey % 5 = 0 THEN '*' ELSE concat('ac', CAST(l_linenumber AS STRING)) END AS ac
+FROM lineitem WHERE l_partkey % 3 = 0
+""",
+    "criteria": """
+SELECT concat('f', CAST(p_partkey AS STRING)) AS feature, concat('ac', CAST(r_regionkey + 1 AS STRING)) AS ac
+FROM part JOIN region ON r_regionkey <= p_size % 6
+""",
+    "repo_refs": """
+SELECT concat('p', CAST(o_custkey % 40 AS STRING)) AS source,
+       CASE o_orderkey % 6 WHEN 0 THEN concat('git.example/acme/r', CAST(o_orderkey % 20 AS STRING))
+            WHEN 1 THEN concat('https://git.example/acme/r', CAST(o_orderkey % 20 AS STRING), '.git')
+            WHEN 2 THEN concat('git@git.example:acme/r', CAST(o_orderkey % 20 AS STRING), '.git')
+            WHEN 3 THEN concat('  https://git.example/acme/r', CAST(o_orderkey % 20 AS STRING), '/ ')
+            WHEN 4 THEN concat('https://git.example/a/b/c', CAST(o_orderkey % 3 AS STRING))
+            ELSE 'acme/r' END AS raw
+FROM orders
+""",
+    "stakeholder_refs": """
+SELECT concat('d', CAST(o_custkey AS STRING)) AS decision,
+       CASE o_orderkey % 4 WHEN 0 THEN concat('alex', CAST(o_orderkey % 5 AS STRING), '@github')
+            WHEN 1 THEN concat('alex', CAST(o_orderkey % 5 AS STRING), '@github:timezone=UTC')
+            WHEN 2 THEN concat('agent-', CAST(o_orderkey % 3 AS STRING), ':model=opus,temp=1')
+            ELSE 'lint-bot' END AS ref
+FROM orders
 """,
 }
 
