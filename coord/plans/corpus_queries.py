@@ -287,17 +287,12 @@ def ref_counts(spark, edges):
 
 
 @query(
-    "snapshot_diff", "spec_docs",
-    sql="""WITH o AS (SELECT path, length(text) AS n FROM spec_docs WHERE length(text) % 5 <> 0),
-      w AS (SELECT path, CASE WHEN length(text) % 7 = 0 THEN 0 ELSE length(text) END AS n FROM spec_docs WHERE length(text) % 3 <> 0)
-      SELECT coalesce(o.path, w.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN w.path IS NULL THEN 'removed' ELSE 'changed' END AS change
-      FROM o FULL JOIN w ON o.path = w.path WHERE o.n IS DISTINCT FROM w.n""",
+    "snapshot_diff", "docs_before", "docs_after",
+    sql="""SELECT coalesce(o.doc_id, w.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN w.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+      FROM docs_before o FULL JOIN docs_after w ON o.doc_id = w.doc_id WHERE o.n IS DISTINCT FROM w.n""",
 )
-def snapshot_diff(spark, docs):
-    n = F.length("text")
-    old = docs.filter(n % 5 != 0).select("path", n.alias("n"))
-    new = docs.filter(n % 3 != 0).select("path", F.when(n % 7 == 0, 0).otherwise(n).alias("n"))
-    return corpus.snapshot_diff(old, new, ["path"])
+def snapshot_diff(spark, before, after):
+    return corpus.snapshot_diff(before, after, ["doc_id"])
 
 
 OQ_SQL = r"""SELECT regexp_extract(path, '^spec/features/(.+)/README\.md$', 1) AS feature,
@@ -446,11 +441,11 @@ def search_scoped(spark, docs):
 
 @query(
     "search_phrase_ranked", "spec_docs",
-    sql=f"WITH {search_sql(['feature 1'], 'feature 1')} SELECT path, line, tier, text FROM matches ORDER BY tier, path, line LIMIT 50",
+    sql=f"WITH {search_sql(['feature 1'], 'feature 1')} SELECT path, line, tier, text FROM matches",
 )
 def search_phrase_ranked(spark, docs):
     got = search.search_specs(docs, "Feature 1", phrase=True).select("path", "line", "tier", "text")
-    return search.ranked(got, 50)
+    return search.ranked(got)
 
 
 @query(

@@ -151,12 +151,12 @@ def state_as_of(spark, c):
 
 @query(
     "states_at_each_log", "task_commands",
-    sql=FOLD_SQL + """, q AS (SELECT DISTINCT slug, ts FROM task_commands WHERE cmd = 'start')
+    sql=FOLD_SQL + """, q AS (SELECT DISTINCT slug, ts FROM task_commands)
       SELECT q.slug, q.ts, w.to_status AS status FROM q ASOF LEFT JOIN (SELECT * FROM walk WHERE ok) w
       ON q.slug = w.slug AND q.ts >= w.ts""",
 )
 def states_at_each_log(spark, c):
-    return tasks.states_as_of(_changes(c), c.filter("cmd = 'start'"))
+    return tasks.states_as_of(_changes(c), c)
 
 
 @query(

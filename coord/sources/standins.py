@@ -244,6 +244,132 @@ SELECT concat('d', CAST(o_custkey AS STRING)) AS decision,
             WHEN 2 THEN concat('agent-', CAST(o_orderkey % 3 AS STRING), ':model=opus,temp=1')
             ELSE 'lint-bot' END AS ref
 FROM orders
+""",
+    "include_edges": """
+SELECT p_partkey AS src, (p_partkey * p_partkey + 1) % 97 AS dst FROM part
+""",
+    "feature_plans": """
+SELECT p_partkey AS feature, concat('plan', CAST(p_partkey % 40 AS STRING)) AS id FROM part WHERE p_partkey % 3 = 0
+""",
+    "leaf_tasks": """
+SELECT concat('proj', CAST(o_custkey % 50 AS STRING), '/c', CAST(o_custkey AS STRING), '/', CAST(o_orderkey AS STRING)) AS path,
+       CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'in_progress' ELSE 'queued' END AS status
+FROM orders
+""",
+    "docs_before": """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n_chars END AS n, source FROM documents WHERE lang <> 'de'
+""",
+    "docs_after": """
+SELECT doc_id, n_chars AS n, source FROM documents WHERE source <> 'src3'
+""",
+    "role_overrides": """
+SELECT '' AS scope, concat('role', CAST(n_nationkey % 4 AS STRING)) AS role, 'add' AS op, concat('p', CAST(n_nationkey AS STRING), '@github') AS stakeholder FROM nation
+UNION ALL
+SELECT concat(r_name, '/', n_name) AS scope, concat('role', CAST(n_nationkey % 4 AS STRING)) AS role, 'remove' AS op,
+       concat('p', CAST((n_nationkey * 5) % 25 AS STRING), '@github:tz=UTC') AS stakeholder
+FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL
+SELECT concat(r_name, '/', n_name, '/', c_name) AS scope, concat('role', CAST(c_custkey % 4 AS STRING)) AS role,
+       CASE WHEN c_custkey % 3 = 0 THEN 'remove' ELSE 'add' END AS op, concat('p', CAST(c_custkey % 25 AS STRING), '@github') AS stakeholder
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""",
+    "gates": """
+SELECT concat('g', CAST(c_custkey AS STRING)) AS gate, concat(r_name, '/', n_name, '/', c_name) AS feature, concat('role', CAST(c_custkey % 4 AS STRING)) AS role
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+UNION ALL
+SELECT concat('g', CAST(c_custkey AS STRING)) AS gate, concat(r_name, '/', n_name, '/', c_name) AS feature, concat('role', CAST(c_nationkey % 4 AS STRING)) AS role
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""",
+    "contexts": """
+SELECT CAST(o_orderkey AS STRING) AS context, concat('c', CAST(o_custkey AS STRING)) AS human, concat('org', CAST(o_custkey % 10 AS STRING)) AS org,
+       concat('proj', CAST(o_custkey % 50 AS STRING)) AS project, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('r', CAST(o_orderkey % 20 AS STRING)) END AS repo
+FROM orders
+""",
+    "rules": """
+SELECT concat('rule', CAST(p_partkey AS STRING)) AS rule, CASE p_partkey % 4 WHEN 0 THEN 'human' WHEN 1 THEN 'org' WHEN 2 THEN 'project' ELSE 'repo' END AS scope,
+       CASE p_partkey % 4 WHEN 0 THEN concat('c', CAST(p_partkey AS STRING)) WHEN 1 THEN concat('org', CAST(p_partkey AS STRING))
+            WHEN 2 THEN concat('proj', CAST(p_partkey AS STRING)) ELSE concat('r', CAST(p_partkey AS STRING)) END AS scope_id
+FROM part
+""",
+    "skilled_agents": """
+SELECT s_name AS name, concat('skill', CAST(s_nationkey AS STRING), ',skill', CAST(s_suppkey % 30 AS STRING)) AS skill_list,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'offline' ELSE 'active' END AS status, s_suppkey % 4 AS load
+FROM supplier
+""",
+    "skill_tasks": """
+SELECT CAST(o_orderkey AS STRING) AS task, concat('skill', CAST(o_custkey % 35 AS STRING)) AS skill FROM orders
+""",
+    "model_requests": """
+SELECT o_orderkey AS task, CASE WHEN o_custkey % 2 = 0 THEN 'claude' ELSE 'openai' END AS platform,
+       CASE WHEN o_orderkey % 10 = 0 THEN 'my-model' END AS override, CASE WHEN o_orderkey % 7 = 0 THEN 'hint-model' END AS suggested_model,
+       CASE o_orderkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'small' WHEN 2 THEN 'large' END AS model_class,
+       CASE WHEN o_orderkey % 6 = 3 THEN 'medium' END AS assessed_class
+FROM orders
+""",
+    "questions": """
+SELECT doc_id AS id, source AS doc, CASE doc_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'linked' WHEN 2 THEN 'resolved' ELSE 'linked' END AS status,
+       CASE WHEN doc_id % 4 <> 0 THEN CAST(n_chars AS STRING) END AS linked_task,
+       CASE WHEN doc_id % 4 = 2 THEN (CASE doc_id % 3 WHEN 0 THEN TIMESTAMP '2024-01-01 00:00:00' WHEN 1 THEN TIMESTAMP '2024-01-20 00:00:00' ELSE TIMESTAMP '2024-01-29 00:00:00' END) END AS resolved_at
+FROM documents
+""",
+    "micro_targets": """
+SELECT CAST(o_orderkey AS STRING) AS task, concat('m', CAST(o_custkey % 100 AS STRING)) AS module, concat('proj', CAST(o_custkey % 50 AS STRING)) AS project FROM orders
+""",
+    "micro_configs": """
+SELECT 'global' AS level, '' AS scope, CASE r_regionkey % 3 WHEN 0 THEN 'pre' WHEN 1 THEN 'post' ELSE 'background' END AS phase, r_name AS name FROM region
+UNION ALL
+SELECT 'project' AS level, concat('proj', CAST(n_nationkey AS STRING)) AS scope, CASE WHEN n_regionkey % 2 = 0 THEN 'pre' ELSE 'post' END AS phase, n_name AS name FROM nation
+UNION ALL
+SELECT 'module' AS level, concat('m', CAST(s_suppkey % 60 AS STRING)) AS scope, CASE WHEN s_suppkey % 2 = 0 THEN 'post' ELSE 'extra' END AS phase, s_name AS name FROM supplier
+UNION ALL
+SELECT 'task' AS level, CAST(p_partkey * 3 AS STRING) AS scope, 'pre' AS phase, p_name AS name FROM part
+""",
+    "decisions": """
+SELECT concat('d', CAST(c_custkey AS STRING)) AS decision, CASE c_custkey % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'any' WHEN 2 THEN 'min' ELSE 'majority' END AS policy,
+       CASE WHEN c_custkey % 4 = 2 THEN 2 END AS min_n, TIMESTAMP '1992-06-01 00:00:00' AS requested_at,
+       CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 31536000 * (c_custkey % 6) END AS timeout_s
+FROM customer
+""",
+    "assigned": """
+SELECT concat('d', CAST(c_custkey AS STRING)) AS decision, concat('s', CAST(r_regionkey AS STRING), CASE WHEN c_custkey % 2 = 0 THEN ':tz=UTC' ELSE '' END) AS stakeholder
+FROM customer JOIN region ON r_regionkey < c_custkey % 5
+""",
+    "plan_states": """
+SELECT p_partkey AS plan, p_brand AS roadmap, CASE p_partkey % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'completed' WHEN 2 THEN 'in_progress' ELSE 'open' END AS state,
+       CASE WHEN p_partkey % 5 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' WHEN p_partkey % 5 = 1 THEN TIMESTAMP '2024-01-05 00:00:00' END AS completed_at,
+       CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_size <= 10 THEN 'S' WHEN p_size <= 25 THEN 'M' WHEN p_size <= 40 THEN 'L' ELSE 'XL' END AS effort,
+       CASE p_partkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS impact,
+       CASE p_partkey % 3 WHEN 0 THEN 'Conceptual' WHEN 1 THEN 'In Progress' ELSE 'Stable' END AS feature_status
+FROM part
+""",
+    "plan_deps": """
+SELECT p_partkey AS plan, CAST((p_partkey - p_partkey % 2) / 2 AS BIGINT) AS dep FROM part WHERE p_partkey > 1
+""",
+    "lifecycle_events": """
+SELECT user_id AS project_id, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'creating' ELSE 'running' END
+       WHEN 'view' THEN 'paused' WHEN 'click' THEN 'resumed' WHEN 'error' THEN 'failed' ELSE 'restarted' END AS type
+FROM events
+""",
+    "health_checks": """
+SELECT user_id AS project_id, ts, event_id AS seq, CASE event_type WHEN 'error' THEN 'unhealthy' WHEN 'view' THEN 'unhealthy' WHEN 'purchase' THEN 'unhealthy' WHEN 'click' THEN 'degraded' ELSE 'ok' END AS health
+FROM events
+""",
+    "api_requests": """
+SELECT event_id AS request_id, date_trunc('hour', ts) AS ts, user_id % 5 AS user_id, user_id % 3 AS project_id,
+       CASE event_type WHEN 'signup' THEN 'credentials' WHEN 'view' THEN 'query' WHEN 'error' THEN 'admin' ELSE 'execute' END AS category
+FROM events
+""",
+    "quota_samples": """
+SELECT user_id AS project_id, ts, event_id AS seq, value AS used, CAST(20 + user_id % 50 AS DOUBLE) AS quota FROM events
+""",
+    "channel_messages": """
+SELECT conv_id AS session_id, turn AS seq, concat('h', CAST(conv_id % 10 AS STRING)) AS host, role, turn % 2 = 0 AS processed FROM conversations
+""",
+    "hosts": """
+SELECT concat('h', CAST(n_nationkey AS STRING)) AS host, CASE WHEN n_nationkey % 3 = 0 THEN 'offline' ELSE 'online' END AS status FROM nation
+""",
+    "trace_logs": """
+SELECT CAST(event_id % 4000 AS STRING) AS trace_id, CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END AS level FROM events
 """,
 }
 
