@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("task_queries", "corpus_queries", "graph_queries", "people_queries", "ops_queries")
+MODULES = ("task_queries", "corpus_queries", "graph_queries", "people_queries", "ops_queries", "stream_queries")
 
 
 def load():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coord.sources.standins import BASE_TABLES, STANDINS, base, standin
+from coord.sources.standins import BASE_TABLES, STANDINS, base, standin, standin_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,13 +15,19 @@ ORACLE: dict[str, str] = {}
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
-def query(name: str, *tables: str, sql: str | None = None):
-    """Register ``fn(spark, *frames)``; ``tables`` name given or derived tables, opened lazily."""
+def query(name: str, *tables: str, sql: str | None = None, stream: tuple[str, ...] = ()):
+    """Register ``fn(spark, *frames)``; ``tables`` name given or derived tables, opened lazily.
+
+    Those also named in ``stream`` are opened as streams.
+    """
 
     def wrap(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             frames = [
-                base(spark, sf_dir, t) if t in BASE_TABLES else standin(spark, sf_dir, t) for t in tables
+                standin_stream(spark, sf_dir, t) if t in stream
+                else base(spark, sf_dir, t) if t in BASE_TABLES
+                else standin(spark, sf_dir, t)
+                for t in tables
             ]
             return fn(spark, *frames)
 

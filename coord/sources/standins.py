@@ -370,6 +370,33 @@ SELECT concat('h', CAST(n_nationkey AS STRING)) AS host, CASE WHEN n_nationkey %
 """,
     "trace_logs": """
 SELECT CAST(event_id % 4000 AS STRING) AS trace_id, CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END AS level FROM events
+""",
+    "permission_requests": """
+SELECT event_id AS request_id, ts FROM events WHERE event_type <> 'click'
+""",
+    "verdicts": """
+SELECT event_id - 1 AS request_id, ts, CASE WHEN event_type = 'click' THEN 'allow' ELSE 'deny' END AS verdict FROM events WHERE event_type IN ('click', 'view')
+""",
+    "messages": """
+SELECT event_id - event_id % 3 AS message_id, ts, event_type AS kind FROM events
+""",
+    "notices": """
+SELECT event_id, event_type AS type, concat(props, repeat('x', CAST(event_id % 1000 AS INT))) AS content FROM events
+""",
+    "subscriptions": """
+SELECT CASE n_regionkey WHEN 0 THEN 'signup' WHEN 1 THEN 'view' WHEN 2 THEN 'click' WHEN 3 THEN 'error' ELSE 'other' END AS type, n_name AS recipient FROM nation
+""",
+    "chat_activity": """
+SELECT user_id % 40 AS chat_id, ts FROM events WHERE event_type = 'click'
+""",
+    "decision_events": """
+SELECT concat('d', CAST(c_custkey AS STRING)) AS decision, TIMESTAMP '1992-01-01 00:00:00' AS ts, CAST(NULL AS STRING) AS who,
+       CAST(1 + c_custkey % 4 AS INT) AS needed, CASE WHEN c_custkey % 3 > 0 THEN CAST(15768000 * (c_custkey % 12) AS BIGINT) END AS timeout_s
+FROM customer
+UNION ALL
+SELECT concat('d', CAST(o_custkey AS STRING)) AS decision, min(o_orderdate) AS ts, concat('s', CAST(o_orderkey % 5 AS STRING)) AS who,
+       CAST(NULL AS INT) AS needed, CAST(NULL AS BIGINT) AS timeout_s
+FROM orders GROUP BY o_custkey, o_orderkey % 5
 """,
 }
 
@@ -390,3 +417,12 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {m.group(2) for m in _TABLE_USE.finditer(sql)}
     tables = {name: base(spark, sf_dir, name) for name in used}
     return spark.sql(_TABLE_USE.sub(r"\1 {\2}", sql), **tables)
+
+
+def standin_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same record table as a stream over the stored files (for tables that only project and filter)."""
+    from coord.streaming.io import open_stream
+
+    sql = STANDINS[name]
+    tables = {t: open_stream(spark, f"{sf_dir}/{t}.parquet") for t in {m.group(2) for m in _TABLE_USE.finditer(sql)}}
+    return spark.sql(_TABLE_USE.sub(r"\1 {\2}", sql), **tables)
