@@ -42,7 +42,7 @@ def classify_documents(paths: DataFrame, features: DataFrame) -> DataFrame:
     )
     docs = paths.select("path").distinct()
     folder = F.regexp_extract(p, r"^spec/features/(.+)/[^/]*$", 1)
-    ancestors = docs.filter(folder != "").select("path", F.explode(X.prefixes(folder)).alias("id"))
+    ancestors = docs.filter(folder != "").select("path", F.explode_outer(X.prefixes(folder)).alias("id"))
     owner = (
         ancestors.join(features.select("id", "status"), "id")
         .groupBy("path")
@@ -162,7 +162,7 @@ def subtree_sums(values: DataFrame, column: str, key: str = "feature") -> DataFr
     Each row is added to its own ancestors before the shuffle (map-side sums), so a root holding a third
     of the corpus costs one partial row per task.
     """
-    up = values.select(F.explode(X.prefixes(F.col(key))).alias(key), column)
+    up = values.select(F.explode_outer(X.prefixes(F.col(key))).alias(key), column)
     each = up.groupBy(key).agg(F.sum(column).alias(column))
     total = values.agg(F.lit(None).cast("string").alias(key), F.sum(column).alias(column))
     return each.unionByName(total)

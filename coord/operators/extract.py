@@ -15,17 +15,24 @@ HEADING = r"^#{1,6}[ \t]+\S"
 FENCE = r"^ {0,3}(```|~~~)"
 ITEM = r"^([-*+]|\d+[.)])[ \t]+\S"
 NONE_LINE = "None at this time."
+MARK = r"^(?:#{1,6}[ \t]+\S| {0,3}(?:```|~~~)|(?:[-*+]|\d+[.)])[ \t]+\S| *None at this time\. *$)"
 LINK = r"\[([^\]]*)\]\(([^)]*)\)|<a\s[^>]*href=\"([^\"]*)\""
 
 
 def line_array(text: Column) -> Column:
     """Lines of a text without the empty piece after a final newline."""
-    return F.split(F.regexp_replace(text, r"\n\z", ""), r"\r?\n")
+    text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    whole = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    return F.split(whole, "\n")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(path, line, text), numbered from 1."""
-    return docs.select("path", F.posexplode(line_array(F.col("text"))).alias("_i", "text")).select(
+    """(path, line, text), numbered from 1.
+
+    Here and below arrays are exploded with the ``outer`` form: for the plain form Spark adds a filter on the
+    array's size, which would split every text twice.
+    """
+    return docs.filter("text IS NOT NULL").select("path", F.posexplode_outer(line_array(F.col("text"))).alias("_i", "text")).select(
         "path", (F.col("_i") + 1).alias("line"), "text"
     )
 
@@ -39,25 +46,21 @@ def marked_lines(
     also the latest heading of each level (``h1`` .. ``h6``). With
     ``context`` each extra line carries the lines around it, cut at the ends of the file.
     """
-    arr = docs.select("path", line_array(F.col("text")).alias("_ls"))
-    if context is None:
-        exploded = arr.select("path", F.size("_ls").alias("n_lines"), F.posexplode("_ls").alias("_i", "line_text"))
-    else:
-        numbered = F.transform("_ls", lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
-        around = lambda i: F.slice(
-            numbered, F.greatest(i + 1 - context, F.lit(1)), F.least(i, F.lit(context)) + 1 + context
-        )
-        exploded = arr.select(
-            "path", F.size("_ls").alias("n_lines"), "_ls", F.posexplode("_ls").alias("_i", "line_text")
-        ).withColumn("context", F.when(extra, around(F.col("_i"))))
-    t = F.col("line_text")
-    want = extra if extra is not None else F.lit(False)
-    rows = exploded.select(
-        "path", "n_lines", (F.col("_i") + 1).alias("line"), "line_text",
-        t.rlike(FENCE).alias("_fence"), t.rlike(HEADING).alias("_head"), t.rlike(ITEM).alias("_item"),
-        (F.trim(t) == NONE_LINE).alias("_none"), F.coalesce(want, F.lit(False)).alias("is_extra"),
-        *(["context"] if context is not None else []),
-    ).filter("_fence OR _head OR _item OR _none OR is_extra")
+    arr = docs.filter("text IS NOT NULL").select("path", line_array(F.col("text")).alias("_ls"))
+    rows = arr.select("path", F.size("_ls").alias("n_lines"), "_ls", F.posexplode_outer("_ls").alias("_i", "line_text"))
+    t, i = F.col("line_text"), F.col("_i")
+    want = F.coalesce(extra, F.lit(False)) if extra is not None else F.lit(False)
+    around = []
+    if context is not None:
+        start = F.greatest(i + 1 - context, F.lit(1))
+        near = F.slice("_ls", start, F.least(i, F.lit(context)) + 1 + context)
+        near = F.transform(near, lambda x, k: F.struct((start + k).alias("line"), x.alias("text")))
+        around = [F.when(want, near).alias("context")]
+    rows = rows.filter(t.rlike(MARK) | want).select(
+        "path", "n_lines", (i + 1).alias("line"), "line_text", t.rlike(FENCE).alias("_fence"),
+        t.rlike(HEADING).alias("_head"), t.rlike(ITEM).alias("_item"), (F.trim(t) == NONE_LINE).alias("_none"),
+        want.alias("is_extra"), *around,
+    )
     before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     fences = F.coalesce(F.sum(F.col("_fence").cast("int")).over(before), F.lit(0))
@@ -162,7 +165,7 @@ def links(docs: DataFrame) -> DataFrame:
         F.regexp_extract_all(t, F.lit(LINK), F.lit(2)).alias("md"),
         F.regexp_extract_all(t, F.lit(LINK), F.lit(3)).alias("html"),
     )
-    ex = rows.select("path", "line", sect.alias("section"), F.explode(found).alias("l"))
+    ex = rows.select("path", "line", sect.alias("section"), F.explode_outer(found).alias("l")).filter("l IS NOT NULL")
     raw = F.trim(F.when(F.col("l")["html"] != "", F.col("l")["html"]).otherwise(F.col("l")["md"]))
     raw = F.regexp_replace(raw, r"\s+\"[^\"]*\"$", "")
     target = F.split_part(raw, F.lit("#"), F.lit(1))
@@ -233,9 +236,10 @@ def source_refs(
     pattern = rf"(?:{start})((?:feature|plan|doc)/[A-Za-z0-9._/-]+(?:@[A-Za-z0-9.-]+/[A-Za-z0-9._-]+/[A-Za-z0-9._-]+)?)"
     hits = (
         files.filter(F.col("text").contains(scheme + ":") | F.col("text").contains(site))
-        .select("path", F.explode(line_array(F.col("text"))).alias("t"))
-        .filter(F.col("t").rlike(COMMENT))
-        .select("path", F.explode(F.regexp_extract_all("t", F.lit(pattern), F.lit(1))).alias("r"))
+        .select("path", F.explode_outer(line_array(F.col("text"))).alias("t"))
+        .filter((F.col("t").contains(scheme + ":") | F.col("t").contains(site)) & F.col("t").rlike(COMMENT))
+        .select("path", F.explode_outer(F.regexp_extract_all("t", F.lit(pattern), F.lit(1))).alias("r"))
+        .filter("r IS NOT NULL")
     )
     head = F.split_part("r", F.lit("@"), F.lit(1))
     kind_col = F.split_part(head, F.lit("/"), F.lit(1))

@@ -147,7 +147,7 @@ def readme_exists(c: Corpus) -> DataFrame:
     folder = X.parent_path(F.col("path"))
     dirs = (
         c.paths.filter(F.col("path").startswith(c.root + "/"))
-        .select(F.explode(X.prefixes(folder)).alias("file"))
+        .select(F.explode_outer(X.prefixes(folder)).alias("file"))
         .filter((F.col("file") != c.root) & ~F.col("file").rlike(r"(^|/)\.github$"))
         .distinct()
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coord.functions.status import canonical_status, emoji
 from coord.functions.text import duration_seconds
+from coord.operators.extract import line_array
 from coord.schemas import CHAT_MESSAGE, EVENT
 
 
@@ -51,23 +52,24 @@ def read_chat_history(spark: SparkSession, path: str, stream: bool = False) -> D
     return rows.withColumn("chat_id", F.regexp_extract("_metadata.file_path", r"([^/]+)/history\.jsonl$", 1))
 
 
-def _cell(raw: Column) -> Column:
-    clean = F.trim(F.regexp_replace(F.regexp_replace(raw, "&nbsp;", " "), "<br>", " "))
-    return F.when(~clean.isin("—", "-", ""), clean)
-
-
 def ingest_boards(docs: DataFrame) -> DataFrame:
     """Rows of markdown status boards, one per table line; ``error`` is set on rows to quarantine.
 
     The position is the row's place among the data rows of its document, found inside the document's own
     record, so nothing is shuffled.
     """
+
+    def cells(row: Column) -> Column:
+        clean = F.replace(F.replace(row, F.lit("&nbsp;"), F.lit(" ")), F.lit("<br>"), F.lit(" "))
+        inner = F.split(F.regexp_replace(clean, r"^\||\|$", ""), r"(?<!\\)\|")
+        return F.transform(inner, lambda c: F.when(~F.trim(c).isin("—", "-", ""), F.trim(c)))
+
     is_row = lambda t: t.startswith("|") & ~t.rlike(r"^\|[-:| ]+$") & ~t.rlike(r"^\|\s*Task\s*\|")
-    data = F.filter(F.split("text", r"\r?\n"), lambda t: is_row(F.trim(t)))
-    rows = docs.select(F.col("path").alias("board"), F.posexplode(data).alias("ordinal", "raw"))
-    cells = F.split(F.regexp_replace(F.trim("raw"), r"^\||\|$", ""), r"(?<!\\)\|")
-    rows = rows.select("board", "ordinal", "raw", cells.alias("c"))
-    cell = lambda i: _cell(F.col("c")[i])
+    found = F.filter(F.transform(line_array(F.col("text")), lambda t: F.trim(t)), is_row)
+    rows = docs.select(
+        F.col("path").alias("board"), F.posexplode_outer(F.transform(found, cells)).alias("ordinal", "c")
+    ).filter("c IS NOT NULL")
+    cell = lambda i: F.get("c", F.lit(i))
     label = F.regexp_extract(cell(0), r"^\[([^\]]*)\]", 1)
     named = F.regexp_extract(F.coalesce(cell(1), F.lit("")), "`([^`]+)`", 1)
     status = canonical_status(named)
@@ -83,7 +85,7 @@ def ingest_boards(docs: DataFrame) -> DataFrame:
     return rows.select(
         "board", "ordinal", F.when(label != "", label).otherwise(cell(0)).alias("slug"), status.alias("status"),
         F.coalesce(deps, F.array().cast("array<string>")).alias("depends_on"),
-        F.regexp_replace(cell(3), "`", "").alias("branch"), cell(4).alias("agent"), cell(5).alias("requester"),
+        F.replace(cell(3), F.lit("`"), F.lit("")).alias("branch"), cell(4).alias("agent"), cell(5).alias("requester"),
         cell(6).alias("time"), F.try_to_timestamp(F.when(when != "", when), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz").alias("started_at"),
         duration_seconds(took).alias("duration_s"), error.alias("error"),
     )
