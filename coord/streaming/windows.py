@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
     """Periods of activity per key separated by more than ``gap`` without events; ``end`` includes the gap.
 
-    Session windows merge map-side, so a key with very many events is reduced before the shuffle.
+    Session windows merge map-side, so a key with very many events is reduced before the shuffle. The
+    bounds are computed from the events and not taken from the window column: a later filter on the window
+    column would be pushed below the merging of sessions and change them.
     """
     s = events.groupBy(key, F.session_window("ts", gap).alias("s")).agg(
-        F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_at")
+        F.min("ts").alias("start"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("events")
     )
-    return s.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "last_at", "events")
+    return s.select(key, "start", (F.col("last_at") + F.expr(f"INTERVAL {gap}")).alias("end"), "last_at", "events")
 
 
 def idle_sessions(events: DataFrame, key: str = "project_id", gap: str = "10 minutes") -> DataFrame:
@@ -85,11 +87,11 @@ def sustained(windows: DataFrame, slide: str, at_least: str) -> DataFrame:
     """
     w = windows.withColumn("ts", F.col("window_start"))
     runs = w.groupBy("alert", "subject", F.session_window("ts", slide_gap(slide)).alias("s")).agg(
-        F.count(F.lit(1)).alias("windows"), F.max("window_end").alias("until")
+        F.count(F.lit(1)).alias("windows"), F.min("window_start").alias("since"), F.max("window_end").alias("until")
     )
-    lasted = F.col("until") - F.col("s.start")
+    lasted = F.col("until") - F.col("since")
     return runs.filter(lasted >= F.expr(f"INTERVAL {at_least}")).select(
-        "alert", "subject", F.col("s.start").alias("since"), "until", "windows"
+        "alert", "subject", "since", "until", "windows"
     )
 
 
