@@ -91,11 +91,12 @@ def fold(
     kept = commands.columns
     table, n_states = machine.table(), len(machine.states)
     initial = list(machine.states).index(machine.initial)
-    coded = (
-        O.split_hot(commands, keys, order[0], rows_per_chunk)
-        .withColumn("_code", machine.code(F.col(cmd)))
-        .withColumn("_want", machine.state_code(F.col(expected)) if expected else F.lit(-1))
-    )
+    codes_ = {
+        "_code": machine.code(F.col(cmd)), "_want": machine.state_code(F.col(expected)) if expected else F.lit(-1),
+    }
+    hot_keys = O.hot_keys(commands, keys, order[0], rows_per_chunk)
+    coded = O.with_chunks(commands, hot_keys, keys, order[0]).withColumns(codes_)
+    hot_rows = O.with_chunks(commands, hot_keys, keys, order[0], only_hot=True).withColumns(codes_)
     part = [*keys, "_chunk"]
 
     def moves(code: int, want: int) -> tuple[int, ...]:
@@ -167,7 +168,7 @@ def fold(
         types = {f.name: f.dataType.simpleString() for f in coded.schema}
         return ", ".join(f"`{c}` {types[c]}" for c in cols)
 
-    hot = coded.filter(F.col("_chunk") > 0).select(*part, *[o for o in order if o not in part], "_code", "_want")
+    hot = hot_rows.select(*part, *[o for o in order if o not in part], "_code", "_want")
     functions = (
         hot.repartition(*part)
         .sortWithinPartitions(*part, *order)

@@ -6,13 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coord.functions import text as X
 from coord.operators import extract as E
 from coord.operators.corpus import children_on_disk, features_of, reconcile_index
+from coord.session import cut_lineage
 
 SEVERITIES = ["error", "warning", "info"]
 OQ = "Outstanding Questions"
@@ -21,23 +21,15 @@ OQ = "Outstanding Questions"
 class Corpus:
     """Documents ``(path, text)``, optionally source files, and the tables read out of them, each once.
 
-    With ``keep`` the small extracted tables are persisted, so several rules share one parse of the texts;
-    call ``release`` when done.
+    With ``keep`` an extracted table is written to the shared checkpoint folder when a rule first asks for
+    it, so several rules share one parse of the texts.
     """
 
     def __init__(self, docs: DataFrame, sources: DataFrame | None = None, root: str = "spec", keep: bool = False):
         self.docs, self.sources, self.root, self.keep = docs, sources, root, keep
-        self._kept: list[DataFrame] = []
 
     def _held(self, df: DataFrame) -> DataFrame:
-        if self.keep:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._kept.append(df)
-        return df
-
-    def release(self) -> None:
-        while self._kept:
-            self._kept.pop().unpersist()
+        return cut_lineage(df) if self.keep else df
 
     @cached_property
     def paths(self) -> DataFrame:

@@ -112,7 +112,9 @@ def failure_streaks(
 ) -> DataFrame:
     """Consecutive failed health checks at each check; a success or ``degraded`` resets, ``failed`` from the limit on."""
     bad = F.col("health") == "unhealthy"
-    counted = O.over_order(checks, [key], order, O.running_sum("_bad", bad.cast("long")), rows_per_chunk=rows_per_chunk)
+    counted = cut_lineage(
+        O.over_order(checks, [key], order, O.running_sum("_bad", bad.cast("long")), rows_per_chunk=rows_per_chunk)
+    )
     marked = O.over_order(
         counted, [key], order, O.last_known("_at_reset", F.when(~bad, F.col("_bad"))), rows_per_chunk=rows_per_chunk
     )
@@ -143,7 +145,8 @@ def rate_limit_audit(
         }
     )
     ranked = O.over_order(
-        keyed, ["user_id", "category", "_project", "_minute"], ["ts", "request_id"], O.rank("n"), rows_per_chunk=rows_per_chunk
+        keyed, ["user_id", "category", "_project", "_minute"], ["ts", "request_id"], O.rank("n"), rows_per_chunk=rows_per_chunk,
+        hot_by=["user_id", "category"],
     )
     return ranked.select(
         "request_id", "user_id", "category", "n", limit.alias("rate_limit"), (F.col("n") > limit).alias("over"),

@@ -35,31 +35,42 @@ def position(df: DataFrame, name: str) -> Column:
     return col.cast("long")
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], by: str, rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame:
-    """Add ``_chunk``: 0 for ordinary keys, 1, 2, ... in order of ``by`` for hot ones.
+def hot_keys(df: DataFrame, keys: Sequence[str], by: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Keys with more than ``rows_per_chunk`` rows, with the start and width of their time chunks.
 
-    Chunk borders come from exact counts and extremes, so every evaluation gives the same chunks. The
-    table of hot keys has at most ``HOT_KEY_BOUND`` rows by the pigeonhole principle and is broadcast.
+    At most ``HOT_KEY_BOUND`` rows by the pigeonhole principle: a key must also hold more than that
+    fraction of all rows. Counting combines map-side.
     """
-    keys = list(keys)
     pos = position(df, by)
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi")
     )
     share = stats.agg((F.sum("_n") / HOT_KEY_BOUND).alias("share")).scalar()
-    hot = (
-        stats.filter((F.col("_n") > rows_per_chunk) & (F.col("_n") > share) & (F.col("_hi") > F.col("_lo")))
-        .withColumn("_pieces", F.ceil(F.col("_n") * _OVERSPLIT / F.lit(rows_per_chunk)))
-        .select(*keys, "_lo", F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_pieces")), F.lit(1)).alias("_width"))
-    )
+    pieces = F.ceil(F.col("_n") * _OVERSPLIT / F.lit(rows_per_chunk))
+    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces), F.lit(1))
+    return stats.filter(
+        (F.col("_n") > rows_per_chunk) & (F.col("_n") > share) & (F.col("_hi") > F.col("_lo"))
+    ).select(*keys, "_lo", width.alias("_width"))
+
+
+def with_chunks(df: DataFrame, hot: DataFrame, keys: Sequence[str], by: str, only_hot: bool = False) -> DataFrame:
+    """Add ``_chunk``: 0 for ordinary keys, 1, 2, ... in order of ``by`` for hot ones.
+
+    ``only_hot`` keeps the rows of hot keys alone; without such keys that branch is found empty at run time
+    and not executed.
+    """
+    pos = position(df, by)
     chunk = F.floor((pos - F.col("_lo")) / F.col("_width")).cast("long") + 1
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_chunk", F.coalesce(chunk, F.lit(0).cast("long")))
-        .drop("_lo", "_width")
-    )
+    joined = df.join(F.broadcast(hot), list(keys), "inner" if only_hot else "left")
+    return joined.withColumn("_chunk", F.coalesce(chunk, F.lit(0).cast("long"))).drop("_lo", "_width")
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], by: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """``df`` with its chunk numbers.
+
+    Chunk borders come from exact counts and extremes, so every evaluation gives the same chunks.
+    """
+    return with_chunks(df, hot_keys(df, keys, by, rows_per_chunk), keys, by)
 
 
 @dataclass(frozen=True)
@@ -100,12 +111,20 @@ def over_order(
     order: Sequence[str],
     *specs: Spec,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    hot_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add one column per spec, computed per key in ascending ``order`` (a total order per key)."""
+    """Add one column per spec, computed per key in ascending ``order`` (a total order per key).
+
+    ``hot_by`` names the part of the keys to look for hot values in, when the whole keys are so fine that
+    counting them would shuffle almost every row. The input is read once to count, once to compute, and a
+    third time only for hot keys: store it first when it is expensive to compute.
+    """
     keys, order = list(keys), list(order)
+    by = list(hot_by) if hot_by else keys
     kept = df.columns
     inputs = {f"_x{i}": s.expr for i, s in enumerate(specs) if s.expr is not None}
-    cut = split_hot(df, keys, order[0], rows_per_chunk).withColumns(inputs)
+    hot = hot_keys(df, by, order[0], rows_per_chunk)
+    cut = with_chunks(df, hot, by, order[0]).withColumns(inputs)
     part = [*keys, "_chunk"]
     here = Window.partitionBy(*part).orderBy(*order)
     so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -148,7 +167,8 @@ def over_order(
         else:
             raise ValueError(f"unknown spec {spec.kind}")
 
-    summaries = cut.filter(F.col("_chunk") > 0).groupBy(*part).agg(*summary)
+    hot_rows = with_chunks(df, hot, by, order[0], only_hot=True).withColumns(inputs)
+    summaries = hot_rows.groupBy(*part).agg(*summary)
     carry = summaries.withColumns(carried).select(*part, *carried)
     return (
         cut.withColumns(local)

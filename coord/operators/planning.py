@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coord.functions.status import effort_rank, impact_rank, lookup
@@ -62,8 +62,8 @@ def summary_digest(items: DataFrame, root: str = "root", status: str = "status")
 def latest_n(rows: DataFrame, keys: list[str], created: str, tie: str, n: int = 3) -> DataFrame:
     """Newest ``n`` rows per key, numbered from oldest to newest in ``position``."""
     top = O.top_per_key(rows, keys, [F.col(created).desc(), F.col(tie).desc()], n)
-    per = top.groupBy(*keys).agg(F.max("rank").alias("_m"))
-    return top.join(per, keys).withColumn("position", F.col("_m") - F.col("rank") + 1).drop("rank", "_m")
+    kept = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return top.withColumn("position", (kept - F.col("rank") + 1).cast("int")).drop("rank")
 
 
 def whats_next(plans: DataFrame, deps: DataFrame, since: Column, limit: int | None = None) -> DataFrame:

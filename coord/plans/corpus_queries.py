@@ -332,7 +332,7 @@ v AS (
 
 @query("lint_spec", "spec_docs", sql=f"WITH {LINT_SPEC_SQL} SELECT * FROM v")
 def lint_spec(spark, docs):
-    return lint.violations(lint.Corpus(docs), rules=LINT_SPEC_RULES, severity="warning")
+    return lint.violations(lint.Corpus(docs, keep=True), rules=LINT_SPEC_RULES, severity="warning")
 
 
 @query(
@@ -340,7 +340,7 @@ def lint_spec(spark, docs):
     sql=f"WITH {LINT_SPEC_SQL} SELECT severity, rule, count(*) AS violations, false AS passed FROM v GROUP BY ROLLUP (severity, rule)",
 )
 def violation_summary(spark, docs):
-    return lint.violation_summary(lint.violations(lint.Corpus(docs), rules=LINT_SPEC_RULES, severity="warning"))
+    return lint.violation_summary(lint.violations(lint.Corpus(docs, keep=True), rules=LINT_SPEC_RULES, severity="warning"))
 
 
 @query(
@@ -356,7 +356,7 @@ def lint_custom_rule(spark, docs):
         ),
         own,
     )
-    return lint.violations(lint.Corpus(docs), severity="info", known=own)
+    return lint.violations(lint.Corpus(docs, keep=True), severity="info", known=own)
 
 
 @query(
@@ -369,7 +369,7 @@ def lint_custom_rule(spark, docs):
       UNION ALL SELECT path, CASE WHEN lists_sub THEN 6 ELSE 5 END, 'error', 'index-entries', 'listed child does not exist: ' || id || '/gone' FROM x WHERE lists_gone""",
 )
 def lint_index_entries(spark, docs):
-    return lint.violations(lint.Corpus(docs), rules=["index-entries"])
+    return lint.violations(lint.Corpus(docs, keep=True), rules=["index-entries"])
 
 
 @query(
@@ -385,7 +385,7 @@ def lint_index_entries(spark, docs):
         ELSE 'anchor not found: #' || anchor END AS message FROM c WHERE NOT has_doc OR (anchor IS NOT NULL AND NOT has_anchor)""",
 )
 def lint_internal_links(spark, docs):
-    return lint.violations(lint.Corpus(docs), rules=["internal-links"])
+    return lint.violations(lint.Corpus(docs, keep=True), rules=["internal-links"])
 
 
 @query(
@@ -394,7 +394,7 @@ def lint_internal_links(spark, docs):
       'malformed feature reference: ' || target AS message FROM links WHERE kind = 'internal' AND target LIKE '../%' AND (target LIKE '% %' OR target LIKE '%//%')""",
 )
 def lint_feature_ref_syntax(spark, docs):
-    return lint.violations(lint.Corpus(docs), rules=["feature-ref-syntax"])
+    return lint.violations(lint.Corpus(docs, keep=True), rules=["feature-ref-syntax"])
 
 
 @query(

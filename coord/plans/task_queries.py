@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coord.operators import history, tasks
 from coord.plans.registry import AS_OF, query
+from coord.session import cut_lineage
 
 # The task transitions as rows for SQL.
 TRANSITION_ROWS = ", ".join(f"('{s}', '{c}', '{t}')" for (s, c), t in history.TASK_TRANSITIONS.items())
@@ -137,7 +138,8 @@ def plan_progress(spark, plan_tasks, t, tree):
 
 
 def _changes(task_commands):
-    return history.fold(task_commands).filter("outcome = 'ok'")
+    """Accepted changes, stored once: what follows reads them more than once."""
+    return cut_lineage(history.fold(task_commands).filter("outcome = 'ok'"))
 
 
 @query(
@@ -146,7 +148,8 @@ def _changes(task_commands):
       WHERE ok AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY slug""",
 )
 def state_as_of(spark, c):
-    return tasks.state_as_of(_changes(c), F.expr("TIMESTAMP_NTZ '2024-01-15 12:00:00'"))
+    changes = history.fold(c).filter("outcome = 'ok'")
+    return tasks.state_as_of(changes, F.expr("TIMESTAMP_NTZ '2024-01-15 12:00:00'"))
 
 
 @query(
@@ -232,7 +235,7 @@ def time_in_status(spark, c):
       WHERE started_at IS NOT NULL AND finished_at IS NOT NULL""",
 )
 def run_durations(spark, c):
-    return history.run_durations(_changes(c))
+    return history.run_durations(history.fold(c).filter("outcome = 'ok'"))
 
 
 RECORDED = """SELECT slug, seq, ts, CASE WHEN seq % 17 = 0 THEN 'queued' ELSE lag(cmd_status, 1, 'planning')
@@ -270,7 +273,7 @@ def split_board(spark, t):
       SELECT slug, ts, seq, by_agent, 'log', NULL, NULL, 'rejected ' || cmd FROM walk WHERE NOT ok""",
 )
 def task_timeline(spark, c):
-    folded = history.fold(c)
+    folded = cut_lineage(history.fold(c))
     moved = folded.filter("outcome = 'ok'").select("slug", "ts", "seq", "by_agent", "from_status", "to_status")
     noted = folded.filter("outcome <> 'ok'").select(
         "slug", "ts", "seq", "by_agent", F.concat(F.lit("rejected "), "cmd").alias("message")

@@ -42,6 +42,13 @@ class LiveTaskState:
         return rows.groupBy("slug").agg(F.max_by(F.struct(*cols), "_b").alias("s")).select("slug", "s.*")
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read several times below
+        try:
+            self._apply(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _apply(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         old = self._state(spark, batch_id)
         at = F.struct("ts", "seq")
@@ -97,16 +104,22 @@ TIMEOUT_STATE = "needed int, due long, times array<long>, done boolean"
 TIMEOUT_OUT = "decision string, status string, at timestamp, responses int"
 
 
-def decision_timeouts(events: DataFrame) -> DataFrame:
+def decision_timeouts(events: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
     """Decisions resolved or, at their timeout, failed, from one stream of requests and responses.
 
     ``events``: ``decision, ts, who`` (null on the request), ``needed, timeout_s`` (set on the request, the
     timeout may be null). Repeats are dropped per (decision, responder) before the per-decision state, so a
-    decision flooded with responses is spread over tasks first and its state holds one time per person. A
-    timer at the due time fails what is still open.
+    decision flooded with responses is spread over tasks first. The state keeps the ``needed`` earliest
+    times, no more. ``assigned`` (a table: ``decision, who``) drops responses of other people. A timer at the
+    due time fails what is still open.
     """
-    who = F.coalesce(X.stakeholder(F.col("who"))["identity"], F.lit(""))
-    once = events.withColumn("who", who).dropDuplicatesWithinWatermark(["decision", "who"])
+    identity = X.stakeholder(F.col("who"))["identity"]
+    named = events.withColumn("who", F.coalesce(identity, F.lit("")))
+    if assigned is not None:
+        people = assigned.select("decision", identity.alias("who"))
+        people = people.unionByName(people.select("decision", F.lit("").alias("who"))).distinct()
+        named = named.join(people, ["decision", "who"], "left_semi")
+    once = named.dropDuplicatesWithinWatermark(["decision", "who"])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         needed, due, times, done = state.get if state.exists else (None, None, [], False)
@@ -128,7 +141,7 @@ def decision_timeouts(events: DataFrame) -> DataFrame:
                     due = None if pd.isna(timeout) else ms + int(timeout) * 1000
                 else:
                     times.append(ms)
-        times.sort()
+            times = sorted(times)[: needed]  # all of them until the request is seen
         if not done and needed is not None and len(times) >= needed and (due is None or times[needed - 1] <= due):
             done = True
             yield row("completed", times[needed - 1], needed)

@@ -147,7 +147,6 @@ def test_lint_rules(spark):
     src = spark.createDataFrame([("m.go", "package m\n"), ("n.go", "// Features implemented: a\n")], "path string, text string")
     c = lint.Corpus(docs, src, keep=True)
     got = {(r["rule"], r["file"], r["message"]) for r in lint.violations(c, severity="warning").collect()}
-    c.release()
     assert {(r, f) for r, f, _ in got if r == "readme-exists"} == {
         ("readme-exists", "spec/other"), ("readme-exists", "spec/other/sub"), ("readme-exists", "spec/.github/workflows"),
     }
