@@ -166,3 +166,54 @@ def subtree_sums(values: DataFrame, column: str, key: str = "feature") -> DataFr
     each = up.groupBy(key).agg(F.sum(column).alias(column))
     total = values.agg(F.lit(None).cast("string").alias(key), F.sum(column).alias(column))
     return each.unionByName(total)
+
+
+def proposals_of(docs: DataFrame) -> DataFrame:
+    """(feature, proposal) from documents below a feature's ``proposals`` directory."""
+    p = F.col("path")
+    feature = F.regexp_extract(p, r"^spec/features/(.+?)/proposals/([^/]+)/README\.md$", 1)
+    name = F.regexp_extract(p, r"^spec/features/(.+?)/proposals/([^/]+)/README\.md$", 2)
+    return docs.filter(feature != "").select(feature.alias("feature"), name.alias("proposal"))
+
+
+def feature_list(
+    docs: DataFrame, fields: Sequence[str] = (), edges: DataFrame | None = None, sections: DataFrame | None = None,
+    plans: DataFrame | None = None,
+) -> DataFrame:
+    """Features with the requested fields (status, oq, deps, refs, children, plans, proposals).
+
+    Only requested fields enter the plan. ``deps`` is the sorted list from the feature's own document; the
+    others that point at a feature from elsewhere are counts, because a popular feature may have any number
+    of them (``feature_refs``, ``children_on_disk``, ``proposals_of`` give them as rows).
+    """
+    from coord.operators import extract as E
+    from coord.operators.tasks import select_fields
+    from coord.schemas import FEATURE_FIELDS
+
+    def joined(counts: DataFrame, field: str):
+        return lambda df: df.join(counts.withColumnRenamed("feature", "id"), "id", "left").withColumn(
+            field, F.coalesce(field, F.lit(0)).cast("long")
+        )
+
+    def edge_table() -> DataFrame:
+        return edges if edges is not None else E.dependency_edges(docs)
+
+    n = lambda name: F.count(F.lit(1)).alias(name)
+
+    def deps(df: DataFrame) -> DataFrame:
+        own = edge_table().groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("deps"))
+        return df.join(own, "id", "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
+
+    enrich = {
+        "oq": lambda df: joined(open_question_counts(sections if sections is not None else E.sections(docs)), "oq")(df),
+        "deps": deps,
+        "refs": lambda df: joined(feature_refs(edge_table()).groupBy("feature").agg(n("refs")), "refs")(df),
+        "children": lambda df: joined(
+            children_on_disk(features_of(docs)).groupBy(F.col("parent").alias("feature")).agg(n("children")), "children"
+        )(df),
+        "plans": lambda df: joined(
+            (plans if plans is not None else E.plan_features(docs)).groupBy("feature").agg(n("plans")), "plans"
+        )(df),
+        "proposals": lambda df: joined(proposals_of(docs).groupBy("feature").agg(n("proposals")), "proposals")(df),
+    }
+    return select_fields(features_of(docs), list(fields), FEATURE_FIELDS, ["id"], enrich)

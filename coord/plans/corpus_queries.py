@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coord.operators import corpus, extract, lint, search
 from coord.plans.registry import query
+from coord.session import cut_lineage
 from coord.sources import files
 
 
@@ -313,6 +314,38 @@ def open_question_subtrees(spark, docs):
     return corpus.subtree_sums(corpus.open_question_counts(extract.sections(docs)), "oq")
 
 
+PLAN_LINKS = r"""pl AS (SELECT DISTINCT regexp_extract(path, '^spec/plans/(.+)/README\.md$', 1) AS plan,
+  unnest([regexp_extract(text, '\*\*Features:\*\* ([^,]*),', 1), 'src1/f1']) AS feature FROM plan_docs)"""
+
+
+@query(
+    "feature_list", "spec_docs", "plan_docs",
+    sql=rf"""WITH {lines_sql('spec_docs')}, e AS ({EDGES_SQL}), q AS ({OQ_SQL}), {PLAN_LINKS},
+      f AS (SELECT regexp_extract(path, '^spec/features/(.+)/README\.md$', 1) AS id, trim(regexp_extract(text, '\*\*Status:\*\* ([^\n]*)', 1)) AS status FROM spec_docs)
+      SELECT f.id, f.status, q.oq, (SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHERE src = f.id) AS deps, (SELECT count(*) FROM e WHERE dst = f.id) AS refs,
+        (SELECT count(*) FROM pl WHERE pl.feature = f.id) AS plans, 0 AS children, 0 AS proposals FROM f JOIN q ON q.feature = f.id""",
+)
+def feature_list(spark, docs, plan_docs):
+    got = corpus.feature_list(
+        docs, ["status", "oq", "deps", "refs", "plans", "children", "proposals"], edges=cut_lineage(extract.dependency_edges(docs)),
+        plans=extract.plan_features(plan_docs),
+    )
+    return got.withColumn("deps", F.array_join("deps", ","))
+
+
+@query(
+    "search_related", "spec_docs", "plan_docs",
+    sql=rf"""WITH {lines_sql('spec_docs')}, e AS ({EDGES_SQL}), {PLAN_LINKS},
+      m AS (SELECT DISTINCT regexp_extract(path, '^spec/features/(.+)/README\.md$', 1) AS feature FROM spec_docs WHERE contains(lower(text), 'question'))
+      SELECT src AS feature, 'dep' AS relation, dst AS other FROM e WHERE src IN (SELECT feature FROM m) UNION
+      SELECT dst, 'reverse_dep', src FROM e WHERE dst IN (SELECT feature FROM m) UNION
+      SELECT feature, 'plan', plan FROM pl WHERE feature IN (SELECT feature FROM m)""",
+)
+def search_related(spark, docs, plan_docs):
+    found = search.search_specs(docs, "question")
+    return search.related(found, extract.dependency_edges(docs), extract.plan_features(plan_docs))
+
+
 # ---- lint ----
 
 LINT_SPEC_RULES = ["readme-exists", "oq-section", "oq-not-empty", "heading-levels", "forward-refs"]

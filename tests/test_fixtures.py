@@ -53,6 +53,16 @@ def test_select_fields_joins_only_what_is_asked(docs):
     assert rows(full)[0] == ("alpha", 2, "Approved")
 
 
+def test_feature_list(spark, docs):
+    prop = spark.createDataFrame([("spec/features/alpha/proposals/p1/README.md", "# P\n")], docs.schema)
+    got = corpus.feature_list(docs.unionByName(prop), ["oq", "deps", "refs", "children", "proposals", "status"])
+    assert rows(got)[0] == ("alpha", 2, ["beta"], 1, 1, 1, "Approved") and len(rows(got)) == 4
+    lean = corpus.feature_list(docs, ["status"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in lean and "Window" not in lean
+    with pytest.raises(ValueError, match="unknown field"):
+        corpus.feature_list(docs, ["size"])
+
+
 def test_edges_closure_and_tree(spark, docs):
     edges = extract.dependency_edges(docs)
     assert rows(edges) == [("alpha", "beta"), ("gamma", "alpha")]
