@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from coord.operators import ordered as O
 from coord.schemas import TASK_STATUSES, TASK_TRANSITIONS
 
 ABSENT = "absent"
+#: Command code of a row that only carries the start state of its group.
+MARKER = -9
 
 
 @dataclass(frozen=True)
@@ -54,17 +57,21 @@ TASKS = Machine(TASK_STATUSES, TASK_TRANSITIONS, "planning")
 CREATED_TASKS = Machine([*TASK_STATUSES, ABSENT], {**TASK_TRANSITIONS, (ABSENT, "create"): "planning"}, ABSENT)
 
 
-def _starts(pdf: pd.DataFrame, cols: list[str], last: tuple | None) -> np.ndarray:
+def _starts(batch: pa.RecordBatch, cols: list[str], last: tuple | None) -> list[bool]:
     """True where a new group begins, given the group the batch before ended in."""
-    new = np.ones(len(pdf), dtype=bool)
-    if len(pdf) > 1:
-        same = np.ones(len(pdf) - 1, dtype=bool)
-        for c in cols:
-            v = pdf[c].to_numpy()
-            same &= v[1:] == v[:-1]
-        new[1:] = ~same
-    new[0] = last != tuple(pdf[c].iloc[0] for c in cols)
-    return new
+    n = batch.num_rows
+    new = np.zeros(n, dtype=bool)
+    for c in cols:
+        col = batch.column(c)
+        a, b = col.slice(1), col.slice(0, n - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= ~same.to_numpy(zero_copy_only=False)
+    new[0] = last != _key(batch, cols, 0)
+    return new.tolist()
+
+
+def _key(batch: pa.RecordBatch, cols: list[str], i: int) -> tuple:
+    return tuple(batch.column(c)[i].as_py() for c in cols)
 
 
 def fold(
@@ -86,6 +93,10 @@ def fold(
     Rows stream through sorted partitions, so no group is held in memory. A hot key is cut into time
     chunks: each chunk is first reduced to the function it computes from any start state, the functions
     are composed in order, and then every chunk is replayed from its own start state in parallel.
+
+    Start states travel as marker rows ahead of the commands they belong to and are not joined. A join on
+    the same keys would let the planner drop the repartitioning that follows it, and adaptive execution
+    could then read the join's shuffle in another grouping, which a Python operator cannot forbid.
     """
     keys, order = list(keys), list(order)
     kept = commands.columns
@@ -104,56 +115,72 @@ def fold(
             s if (want != -1 and want != s) or table[s][code] < 0 else table[s][code] for s in range(n_states)
         )
 
-    def reduce_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, acc = None, None
+    def reduce_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, acc, ends = None, None, None
         composed: dict = {}
-        for pdf in batches:
-            if not len(pdf):
+
+        def out(done: list[tuple[pa.RecordBatch, tuple]]) -> pa.RecordBatch:
+            keys_ = pa.Table.from_batches([r for r, _ in done]).combine_chunks().to_batches()[0]
+            fns = pa.array([list(f) for _, f in done], pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([*keys_.columns, fns], [*part, "_fn"])
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
             done = []
-            new = _starts(pdf, part, last)
-            codes, wants = pdf["_code"].tolist(), pdf["_want"].tolist()
-            for i in range(len(pdf)):
+            new = _starts(batch, part, last)
+            codes, wants = (batch.column(c).to_numpy().tolist() for c in ("_code", "_want"))
+            for i in range(batch.num_rows):
                 if new[i]:
                     if acc is not None:
-                        done.append((*last, list(acc)))
-                    last, acc = tuple(pdf[c].iloc[i] for c in part), tuple(range(n_states))
+                        done.append((ends, acc))
+                    acc, ends = tuple(range(n_states)), batch.select(part).slice(i, 1)
                 step = (acc, codes[i], wants[i])
                 if step not in composed:
                     m = moves(codes[i], wants[i])
                     composed[step] = tuple(m[s] for s in acc)
                 acc = composed[step]
+            last = _key(batch, part, batch.num_rows - 1)
             if done:
-                yield pd.DataFrame(done, columns=[*part, "_fn"])
+                yield out(done)
         if acc is not None:
-            yield pd.DataFrame([(*last, list(acc))], columns=[*part, "_fn"])
+            yield out([(ends, acc)])
 
-    def chain_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chain_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, initial
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            new, begun = _starts(pdf, keys, last), []
-            firsts = pdf["_first"].tolist()
-            for i, fn in enumerate(pdf["_fn"]):
+            new, begun = _starts(batch, keys, last), []
+            fns, marks = batch.column("_fn").to_pylist(), batch.column("_begin").to_pylist()
+            for i, fn in enumerate(fns):
                 if new[i]:
-                    state = firsts[i]
+                    state = initial
+                if fn is None:
+                    state = marks[i]
                 begun.append(state)
-                state = int(fn[state])
-            last = tuple(pdf[c].iloc[-1] for c in keys)
-            yield pdf[part].assign(_begin=begun)
+                if fn is not None:
+                    state = fn[state]
+            last = _key(batch, keys, batch.num_rows - 1)
+            out = pa.RecordBatch.from_arrays([*batch.select(part).columns, pa.array(begun, pa.int32())], [*part, "_begin"])
+            yield out.filter(pc.is_valid(batch.column("_fn")))
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, initial
-        for pdf in batches:
-            if not len(pdf):
+        cols = [*kept, "_chunk"]
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            new = _starts(pdf, part, last)
-            codes, wants, begins = pdf["_code"].tolist(), pdf["_want"].tolist(), pdf["_begin"].tolist()
-            before, after = [0] * len(pdf), [0] * len(pdf)
+            new = _starts(batch, part, last)
+            codes, wants, marks = (batch.column(c).to_numpy().tolist() for c in ("_code", "_want", "_begin"))
+            before, after = [0] * n, [0] * n
             for i, code in enumerate(codes):
                 if new[i]:
-                    state = begins[i]
+                    state = initial
+                if code == MARKER:
+                    state = marks[i]
+                    continue
                 before[i] = state
                 if wants[i] != -1 and wants[i] != state:
                     after[i] = -2
@@ -161,8 +188,10 @@ def fold(
                     after[i] = table[state][code]
                     if after[i] >= 0:
                         state = after[i]
-            last = tuple(pdf[c].iloc[-1] for c in part)
-            yield pdf.drop(columns=["_code", "_want", "_begin"]).assign(_before=before, _after=after)
+            last = _key(batch, part, n - 1)
+            arrays = [*batch.select(cols).columns, pa.array(before, pa.int32()), pa.array(after, pa.int32())]
+            out = pa.RecordBatch.from_arrays(arrays, [*cols, "_before", "_after"])
+            yield out.filter(pc.not_equal(batch.column("_code"), MARKER))
 
     def schema(*cols: str) -> str:
         types = {f.name: f.dataType.simpleString() for f in coded.schema}
@@ -172,26 +201,30 @@ def fold(
     functions = (
         hot.repartition(*part)
         .sortWithinPartitions(*part, *order)
-        .mapInPandas(reduce_chunks, f"{schema(*part)}, _fn array<int>")
+        .mapInArrow(reduce_chunks, f"{schema(*part)}, _fn array<int>")
+        .withColumn("_begin", F.lit(-1))
     )
-    first = F.lit(initial)
+    firsts = None
     if start is not None:
-        firsts = start.select(*keys, machine.state_code(F.col("status")).alias("_first"))
-        functions = functions.join(firsts, keys, "left")
-        coded = coded.join(firsts, keys, "left")
-        first = F.coalesce(F.col("_first"), F.lit(initial))
-    functions = functions.withColumn("_first", first)
+        firsts = start.select(
+            *keys, F.lit(0).cast("long").alias("_chunk"), machine.state_code(F.col("status")).alias("_begin")
+        )
+        of_hot = firsts.join(F.broadcast(hot_keys.select(*keys)), keys, "left_semi")
+        functions = functions.unionByName(of_hot.withColumn("_fn", F.lit(None).cast("array<int>")))
     begins = (
         functions.repartition(*keys)
         .sortWithinPartitions(*part)
-        .mapInPandas(chain_chunks, f"{schema(*part)}, _begin int")
+        .mapInArrow(chain_chunks, f"{schema(*part)}, _begin int")
     )
-    ready = coded.join(begins, part, "left").withColumn("_begin", F.coalesce("_begin", first))
+    if firsts is not None:
+        begins = begins.unionByName(firsts)
+    markers = begins.withColumns({"_code": F.lit(MARKER), "_want": F.lit(-1), "_mark": F.lit(0)})
+    rows = coded.withColumns({"_begin": F.lit(-1), "_mark": F.lit(1)})
     replayed = (
-        ready.drop("_first")
+        rows.unionByName(markers, allowMissingColumns=True)
         .repartition(*part)
-        .sortWithinPartitions(*part, *order)
-        .mapInPandas(replay, f"{schema(*kept, '_chunk')}, _before int, _after int")
+        .sortWithinPartitions(*part, "_mark", *order)
+        .mapInArrow(replay, f"{schema(*kept, '_chunk')}, _before int, _after int")
     )
     ok = F.col("_after") >= 0
     was = machine.state_name(F.col("_before"))

@@ -122,3 +122,21 @@ def test_fold_continues_from_given_state(spark):
     late = history.fold(spark.createDataFrame(pdf[pdf.ts > half], schema), start=start, rows_per_chunk=60)
     keep = ["slug", "seq", "to_status", "outcome"]
     assert rows(early.unionByName(late).select(*keep)) == rows(full.select(*keep))
+
+
+def test_fold_on_many_files(spark, tmp_path):
+    """Stored input with many files and partitions: groups must stay whole under adaptive execution."""
+    names = history.TASKS.commands
+    df = spark.range(0, 120_000, 1, 12).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.xxhash64("id") % 4000).cast("string"))).alias("slug"),
+        F.col("id").alias("seq"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") % 60_000)).alias("ts"),
+        F.element_at(F.array(*[F.lit(c) for c in names]), (F.abs(F.hash("id")) % len(names) + 1).cast("int")).alias("cmd"),
+        F.lit(None).cast("string").alias("want"),
+    )
+    df.write.parquet(str(tmp_path / "c"))
+    df = spark.read.parquet(str(tmp_path / "c"))
+    want = sequential(df.toPandas(), history.TASK_TRANSITIONS)
+    for chunk in (1_000_000, 5_000):
+        got = history.fold(df, rows_per_chunk=chunk).select("slug", "seq", "from_status", "to_status", "outcome")
+        assert sorted(map(tuple, got.collect())) == want
