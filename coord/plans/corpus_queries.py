@@ -394,10 +394,11 @@ def lint_custom_rule(spark, docs):
 
 @query(
     "lint_index_entries", "wiki_docs",
-    sql=r"""WITH d AS (SELECT path, regexp_extract(path, '^spec/features/(.+)/README\.md$', 1) AS id, text FROM wiki_docs WHERE path NOT LIKE '%/sub/%'),
+    sql=r"""WITH d AS (SELECT path, regexp_extract(path, '^spec/features/(.+)/README\.md$', 1) AS id, text FROM wiki_docs WHERE path NOT LIKE '%/sub/%' AND path NOT LIKE '%/part/%'),
       s AS (SELECT replace(path, 'sub/README.md', 'README.md') AS path FROM wiki_docs WHERE path LIKE '%/sub/%'),
       x AS (SELECT path, id, text, path IN (SELECT path FROM s) AS has_sub, text LIKE '%- [sub](sub/README.md)%' AS lists_sub, text LIKE '%- [gone](gone/)%' AS lists_gone FROM d)
       SELECT path AS file, 3 AS line, 'error' AS severity, 'index-entries' AS rule, 'child not listed: ' || id || '/sub' AS message FROM x WHERE has_sub AND NOT lists_sub
+      UNION ALL SELECT path, 3, 'error', 'index-entries', 'child not listed: ' || id || '/part' FROM x WHERE NOT has_sub
       UNION ALL SELECT path, 5, 'error', 'index-entries', 'listed child does not exist: ' || id || '/sub' FROM x WHERE lists_sub AND NOT has_sub
       UNION ALL SELECT path, CASE WHEN lists_sub THEN 6 ELSE 5 END, 'error', 'index-entries', 'listed child does not exist: ' || id || '/gone' FROM x WHERE lists_gone""",
 )

@@ -128,11 +128,11 @@ SELECT CAST((user_id * 131) % 20000 AS STRING) AS slug, event_id AS seq, ts,
 FROM events
 """,
     "board": """
-SELECT CAST(o_orderkey AS STRING) AS slug,
+SELECT CASE WHEN o_orderkey % 4 = 0 THEN concat('gone', CAST(o_orderkey AS STRING)) ELSE CAST(o_orderkey AS STRING) END AS slug,
        CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'in_progress' ELSE 'queued' END AS status,
        CAST(NULL AS STRING) AS depends_on, concat('agent/r', CAST(o_custkey AS STRING)) AS branch,
        concat('a', CAST(o_custkey % 7 AS STRING)) AS agent
-FROM orders WHERE o_orderkey % 4 <> 0
+FROM orders
 """,
     "task_docs": """
 SELECT CAST(o_orderkey + 50 AS STRING) AS slug,
@@ -169,9 +169,9 @@ SELECT concat('spec/features/', source, '/f', CAST(doc_id AS STRING), '/README.m
               '```', chr(10), '# not a heading [x](y.md)', chr(10), '```', chr(10)) AS text
 FROM documents
 UNION ALL
-SELECT concat('spec/features/', source, '/f', CAST(doc_id AS STRING), '/sub/README.md') AS path,
+SELECT concat('spec/features/', source, '/f', CAST(doc_id AS STRING), CASE WHEN doc_id % 2 = 0 THEN '/sub' ELSE '/part' END, '/README.md') AS path,
        concat('# Sub ', CAST(doc_id AS STRING), chr(10), chr(10), '## Outstanding Questions', chr(10)) AS text
-FROM documents WHERE doc_id % 2 = 0
+FROM documents
 """,
     "plan_docs": """
 SELECT concat('spec/plans/p', CAST(p_partkey AS STRING), '/README.md') AS path,
@@ -212,16 +212,14 @@ SELECT concat('tasks/', source, '/t', CAST(doc_id AS STRING), '.md') AS path,
 FROM documents
 """,
     "listed_children": """
-SELECT concat(r_name, '/', n_name) AS parent, concat(r_name, '/', n_name, '/', c_name) AS child
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 5 <> 0
-UNION ALL
-SELECT concat(r_name, '/', n_name) AS parent, concat(r_name, '/', n_name, '/old', c_name) AS child
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 50 = 0
+SELECT concat(r_name, '/', n_name) AS parent,
+       concat(r_name, '/', n_name, '/', CASE WHEN c_custkey % 5 = 0 THEN 'old' ELSE '' END, c_name) AS child
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """,
     "scenarios": """
 SELECT CAST(l_orderkey AS STRING) AS scenario, concat('f', CAST(l_partkey AS STRING)) AS feature,
        CASE WHEN l_orderkey % 5 = 0 THEN '*' ELSE concat('ac', CAST(l_linenumber AS STRING)) END AS ac
-FROM lineitem WHERE l_partkey % 3 = 0
+FROM lineitem
 """,
     "criteria": """
 SELECT concat('f', CAST(p_partkey AS STRING)) AS feature, concat('ac', CAST(r_regionkey + 1 AS STRING)) AS ac
@@ -249,7 +247,7 @@ FROM orders
 SELECT p_partkey AS src, (p_partkey * p_partkey + 1) % 97 AS dst FROM part
 """,
     "feature_plans": """
-SELECT p_partkey AS feature, concat('plan', CAST(p_partkey % 40 AS STRING)) AS id FROM part WHERE p_partkey % 3 = 0
+SELECT p_partkey AS feature, concat('plan', CAST(p_partkey % 40 AS STRING)) AS id FROM part
 """,
     "leaf_tasks": """
 SELECT concat('proj', CAST(o_custkey % 50 AS STRING), '/c', CAST(o_custkey AS STRING), '/', CAST(o_orderkey AS STRING)) AS path,
