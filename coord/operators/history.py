@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from coord.functions.status import is_terminal, lookup
 from coord.operators import ordered as O
-from coord.schemas import TASK_STATUSES, TASK_TRANSITIONS
+from coord.schemas import (
+    CHAT_TRANSITIONS, PROPOSAL_TRANSITIONS, RUNNER_TRANSITIONS, SESSION_TRANSITIONS, TASK_STATUSES, TASK_TRANSITIONS,
+)
 
 ABSENT = "absent"
 #: Command code of a row that only carries the start state of its group.
@@ -57,6 +59,18 @@ TASKS = Machine(TASK_STATUSES, TASK_TRANSITIONS, "planning")
 CREATED_TASKS = Machine([*TASK_STATUSES, ABSENT], {**TASK_TRANSITIONS, (ABSENT, "create"): "planning"}, ABSENT)
 
 
+def machine(transitions: dict[tuple[str, str], str], initial: str) -> Machine:
+    """Machine over the states its transitions name."""
+    states = {initial, *(s for s, _ in transitions), *transitions.values()}
+    return Machine(sorted(states), transitions, initial)
+
+
+CHATS = machine(CHAT_TRANSITIONS, "created")
+SESSIONS = machine(SESSION_TRANSITIONS, "creating")
+RUNNERS = machine(RUNNER_TRANSITIONS, "registered")
+PROPOSALS = machine(PROPOSAL_TRANSITIONS, "draft")
+
+
 def _starts(batch: pa.RecordBatch, cols: list[str], last: tuple | None) -> list[bool]:
     """True where a new group begins, given the group the batch before ended in."""
     n = batch.num_rows

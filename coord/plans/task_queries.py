@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from coord.operators import history, tasks
 from coord.plans.registry import AS_OF, query
 from coord.session import cut_lineage
+from coord.sources.standins import STANDINS
 
 # The task transitions as rows for SQL.
 TRANSITION_ROWS = ", ".join(f"('{s}', '{c}', '{t}')" for (s, c), t in history.TASK_TRANSITIONS.items())
@@ -279,3 +280,31 @@ def task_timeline(spark, c):
         "slug", "ts", "seq", "by_agent", F.concat(F.lit("rejected "), "cmd").alias("message")
     )
     return tasks.task_timeline(moved, noted)
+
+
+# ---- the other state machines, through the same fold ----
+
+MACHINES = {"chat": history.CHATS, "session": history.SESSIONS, "runner": history.RUNNERS, "proposal": history.PROPOSALS}
+
+
+def _register_machine(name: str, m: history.Machine) -> None:
+    cmds = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(m.commands))
+    STANDINS[f"{name}_commands"] = f"""
+SELECT concat('{name}', CAST(user_id AS STRING), '/', CAST(day(ts) AS STRING)) AS slug, ts, event_id AS seq,
+       CASE event_id % {len(m.commands)} {cmds} END AS cmd FROM events
+"""
+    rows = ", ".join(f"('{s}', '{c}', '{t}')" for (s, c), t in m.transitions.items())
+    sql = f"""WITH RECURSIVE tr(s, c, t) AS (VALUES {rows}),
+      cmds AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY ts, seq) AS rn FROM {name}_commands),
+      walk AS (SELECT slug, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, '{m.initial}' AS st, true AS ok FROM cmds WHERE rn = 1 UNION ALL
+        SELECT c.slug, c.rn, c.seq, coalesce(tr.t, w.st), tr.t IS NOT NULL FROM walk w JOIN cmds c ON c.slug = w.slug AND c.rn = w.rn + 1
+        LEFT JOIN tr ON tr.s = w.st AND tr.c = c.cmd)
+      SELECT slug, seq, st AS to_status, CASE WHEN ok THEN 'ok' ELSE 'invalid_transition' END AS outcome FROM walk WHERE rn > 0"""
+
+    @query(f"fold_{name}_state", f"{name}_commands", sql=sql)
+    def run(spark, commands):
+        return history.fold(commands, m).select("slug", "seq", "to_status", "outcome")
+
+
+for _name, _machine in MACHINES.items():
+    _register_machine(_name, _machine)

@@ -39,22 +39,38 @@ TASK_TRANSITIONS = {
     ("in_progress", "confirm_abort"): "aborted",
 }
 
-# The same for chats, channel sessions, runner hosts and proposals.
+# The same for chats, sessions, runner hosts and proposals.
 CHAT_TRANSITIONS = {
     ("created", "message"): "active",
     ("active", "message"): "active",
     ("active", "finalize"): "finalized",
-    ("created", "abandon"): "abandoned",
     ("active", "abandon"): "abandoned",
 }
+SESSION_TRANSITIONS = {
+    ("creating", "ready"): "running",
+    ("running", "message"): "running",
+    ("running", "stop"): "stopped",
+    ("running", "crash"): "crashed",
+    ("crashed", "restart"): "creating",
+}
 RUNNER_TRANSITIONS = {
-    ("offline", "heartbeat"): "online",
+    ("registered", "heartbeat"): "online",
     ("online", "heartbeat"): "online",
-    ("draining", "heartbeat"): "draining",
     ("online", "drain"): "draining",
     ("online", "timeout"): "offline",
-    ("draining", "timeout"): "offline",
     ("draining", "sessions_closed"): "offline",
+    ("offline", "heartbeat"): "online",
+    ("online", "deregister"): "deregistered",
+    ("offline", "deregister"): "deregistered",
+}
+PROPOSAL_TRANSITIONS = {
+    ("draft", "submit"): "submitted",
+    ("submitted", "withdraw"): "draft",
+    ("submitted", "approve"): "approved",
+    ("submitted", "reject"): "rejected",
+    ("submitted", "implement"): "implemented",
+    ("approved", "implement"): "implemented",
+    ("rejected", "revise"): "draft",
 }
 
 EFFORT_RANK = {"S": 1, "M": 2, "L": 3, "XL": 4}

@@ -101,7 +101,7 @@ def stream_task_state(commands: DataFrame, folder: str | None = None, **options)
 
 
 TIMEOUT_STATE = "needed int, due long, times array<long>, done boolean"
-TIMEOUT_OUT = "decision string, status string, at timestamp, responses int"
+TIMEOUT_OUT = "decision string, status string, at_ms long, responses int"
 
 
 def decision_timeouts(events: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
@@ -126,7 +126,7 @@ def decision_timeouts(events: DataFrame, assigned: DataFrame | None = None) -> D
         times = list(times)
 
         def row(status: str, at_ms: int, n: int) -> pd.DataFrame:
-            return pd.DataFrame({"decision": [key[0]], "status": [status], "at": [pd.Timestamp(at_ms, unit="ms")], "responses": [n]})
+            return pd.DataFrame({"decision": [key[0]], "status": [status], "at_ms": [at_ms], "responses": [n]})
 
         if state.hasTimedOut:
             state.remove()
@@ -134,13 +134,12 @@ def decision_timeouts(events: DataFrame, assigned: DataFrame | None = None) -> D
                 yield row("failed", due, sum(t <= due for t in times))
             return
         for pdf in batches:
-            for ts, who_, n, timeout in zip(pdf["ts"], pdf["who"], pdf["needed"], pdf["timeout_s"]):
-                ms = ts.value // 1_000_000
+            for ms, who_, n, timeout in zip(pdf["ms"], pdf["who"], pdf["needed"], pdf["timeout_s"]):
                 if who_ == "":
                     needed = int(n)
-                    due = None if pd.isna(timeout) else ms + int(timeout) * 1000
+                    due = None if pd.isna(timeout) else int(ms) + int(timeout) * 1000
                 else:
-                    times.append(ms)
+                    times.append(int(ms))
             times = sorted(times)[: needed]  # all of them until the request is seen
         if not done and needed is not None and len(times) >= needed and (due is None or times[needed - 1] <= due):
             done = True
@@ -149,6 +148,7 @@ def decision_timeouts(events: DataFrame, assigned: DataFrame | None = None) -> D
         if due is not None:
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
-    return once.select("decision", "ts", "who", "needed", "timeout_s").groupBy("decision").applyInPandasWithState(
+    rows = once.select("decision", "ts", F.unix_millis("ts").alias("ms"), "who", "needed", "timeout_s")
+    return rows.groupBy("decision").applyInPandasWithState(
         step, TIMEOUT_OUT, TIMEOUT_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    ).select("decision", "status", F.timestamp_millis("at_ms").alias("at"), "responses")
