@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coord.functions import text as X
@@ -27,6 +27,16 @@ def features_of(docs: DataFrame) -> DataFrame:
     ).filter("id IS NOT NULL")
 
 
+def document_type(path: Column) -> Column:
+    """feature, plan, proposal or other, from the path alone."""
+    return (
+        F.when(path.rlike(r"^spec/features/(.+/)?proposals/"), "proposal")
+        .when(path.startswith(X.FEATURES_ROOT), "feature")
+        .when(path.startswith(X.PLANS_ROOT), "plan")
+        .otherwise("other")
+    )
+
+
 def classify_documents(paths: DataFrame, features: DataFrame) -> DataFrame:
     """Type, owning feature and its status per document path.
 
@@ -34,12 +44,7 @@ def classify_documents(paths: DataFrame, features: DataFrame) -> DataFrame:
     ancestors only, a handful of rows each.
     """
     p = F.col("path")
-    kind = (
-        F.when(p.rlike(r"^spec/features/(.+/)?proposals/"), "proposal")
-        .when(p.startswith(X.FEATURES_ROOT), "feature")
-        .when(p.startswith(X.PLANS_ROOT), "plan")
-        .otherwise("other")
-    )
+    kind = document_type(p)
     docs = paths.select("path").distinct()
     folder = F.regexp_extract(p, r"^spec/features/(.+)/[^/]*$", 1)
     ancestors = docs.filter(folder != "").select("path", F.explode_outer(X.prefixes(folder)).alias("id"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coord.functions import text as X
-from coord.operators.corpus import classify_documents, feature_refs, features_of
+from coord.operators.corpus import classify_documents, document_type, feature_refs, features_of
 from coord.operators.extract import enclosing, marked_lines
 
 TYPES = ("feature", "plan", "proposal", "other")
@@ -31,7 +31,8 @@ def search_specs(
     Terms are matched without regard to case; all must occur in the file (in the named sections when
     ``section`` is given), then every line with at least one is a match. Tier 1: a heading holding the whole
     query; 2: a line holding it contiguously; 3: the rest. The document test runs on the whole text before
-    any line is split off, so files without a match cost one scan and no shuffle.
+    any line is split off, so files without a match cost one scan and no shuffle. Type and subtree are decided
+    from the path; the status is joined to the matching lines and never to whole texts.
     """
     if type is not None and type not in TYPES:
         raise ValueError(f"unknown type {type}; known: {', '.join(TYPES)}")
@@ -44,13 +45,8 @@ def search_specs(
         found = found.filter(X.in_subtree(F.col("path"), X.FEATURES_ROOT + feature.strip("/")))
     if classes is None:
         classes = classify_documents(docs.select("path"), features_of(docs))
-    if type is not None or status is not None:
-        wanted = classes
-        if type is not None:
-            wanted = wanted.filter(F.col("type") == type)
-        if status is not None:
-            wanted = wanted.filter(F.col("status") == status)
-        found = found.join(wanted.select("path"), "path", "left_semi")
+    if type is not None:
+        found = found.filter(document_type(F.col("path")) == type)
     low = F.lower("text")
     found = found.filter(reduce(and_, [low.contains(t) for t in terms]))
 
@@ -72,7 +68,10 @@ def search_specs(
         "path", "line", tier.alias("tier"), F.col("line_text").alias("text"), "context",
         F.col("section")["title"].alias("section"),
     )
-    return matches.join(classes, "path", "left").select(
+    placed = matches.join(classes, "path", "left")
+    if status is not None:
+        placed = placed.filter(F.col("status") == status)
+    return placed.select(
         "path", "line", "tier", "text", "context", "section", "feature", "status", "type"
     )
 
