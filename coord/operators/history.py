@@ -313,8 +313,8 @@ def arbitrate_claims(
 def guard_updates(updates: DataFrame, current: DataFrame) -> DataFrame:
     """Optimistic lock for a batch of writes (``slug, ts, seq, expected_status, expected_updated_at``).
 
-    A write whose expectation differs from the current row is a ``conflict``. Among the fresh writes to a
-    row the earliest is accepted; it moves the version, so the later ones conflict too.
+    A write whose expectation differs from the current row is a ``conflict``. The earliest write that passes
+    moves the version, so later guarded ones conflict too. A write without expectations cannot be stale.
     """
     row = current.select("slug", F.col("status").alias("_s"), F.col("updated_at").alias("_u"))
     seen = updates.join(row, "slug", "left")
@@ -324,6 +324,7 @@ def guard_updates(updates: DataFrame, current: DataFrame) -> DataFrame:
     winner = seen.filter("_fresh").groupBy("slug").agg(F.min(F.struct("ts", "seq")).alias("_first"))
     outcome = (
         F.when(F.col("_s").isNull(), "not_found")
+        .when(F.col("expected_status").isNull() & F.col("expected_updated_at").isNull(), "ok")
         .when(F.col("_fresh") & (F.struct("ts", "seq") == F.col("_first")), "ok")
         .otherwise("conflict")
     )

@@ -195,7 +195,7 @@ def arbitrate_claims(spark, requests, t, d):
         AND coalesce(u.expected_updated_at = t.updated_at, true) AS fresh FROM updates u LEFT JOIN tasks t USING (slug)),
       n AS (SELECT *, row_number() OVER (PARTITION BY slug, fresh ORDER BY ts, seq) AS k FROM j)
       SELECT slug, seq, ts, expected_status, expected_updated_at, CASE WHEN status IS NULL THEN 'not_found'
-        WHEN fresh AND k = 1 THEN 'ok' ELSE 'conflict' END AS outcome FROM n""",
+        WHEN (expected_status IS NULL AND expected_updated_at IS NULL) OR (fresh AND k = 1) THEN 'ok' ELSE 'conflict' END AS outcome FROM n""",
 )
 def guard_updates(spark, updates, t):
     return history.guard_updates(updates, t)

@@ -487,3 +487,30 @@ def test_ac_coverage(spark):
     s = spark.createDataFrame([("s1", "f", "*"), ("s1", "f", "a"), ("s2", "f", "a"), ("s2", "f", "zz"), ("s3", "g", "*")], "scenario string, feature string, ac string")
     c = spark.createDataFrame([("f", "a"), ("f", "b"), ("h", "q")], "feature string, ac string")
     assert rows(corpus.ac_coverage(s, c)) == [("f", "a", 2, "covered"), ("f", "b", 1, "covered"), ("f", "zz", 1, "unknown"), ("h", "q", 0, "uncovered")]
+
+
+def test_guarded_updates(spark):
+    cur = spark.createDataFrame([("a", "queued", 5)], "slug string, status string, updated_at int")
+    up = spark.createDataFrame(
+        [("a", 1, 1, "claimed", None), ("a", 2, 2, "queued", 5), ("a", 3, 3, "queued", None), ("a", 4, 4, None, None), ("a", 5, 5, None, 4), ("z", 1, 1, None, None)],
+        "slug string, ts int, seq int, expected_status string, expected_updated_at int",
+    )
+    got = history.guard_updates(up, cur).select("slug", "seq", "outcome")
+    assert rows(got) == [
+        ("a", 1, "conflict"), ("a", 2, "ok"), ("a", 3, "conflict"), ("a", 4, "ok"), ("a", 5, "conflict"), ("z", 1, "not_found"),
+    ]
+
+
+def test_options(spark):
+    req = spark.createDataFrame([("e", float(i)) for i in range(1001)], "endpoint string, latency double")
+    approx, exact = (ops.latency_percentiles(req, ["endpoint"], exact=e).first() for e in (False, True))
+    assert tuple(exact)[1:] == (1001, 500.0, 950.0, 990.0) and abs(approx["p99"] - exact["p99"]) <= 1
+    plans = spark.createDataFrame([("a", "S")], "plan string, effort string")
+    steps, depth = spark.createDataFrame([("a", 1)], "plan string, step int"), spark.createDataFrame([("a", 9)], "plan string, depth int")
+    assert planning.plan_estimate_check(plans, steps, depth).first()["inferred"] == "M"
+    q = spark.createDataFrame(
+        [(1, "d", "resolved", "2024-01-30 00:00:00"), (2, "d", "resolved", "2024-01-01 00:00:00"), (3, "d", "open", None)], "id int, doc string, status string, r string"
+    ).withColumn("resolved_at", F.col("r").cast("timestamp_ntz"))
+    now = F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
+    assert [r["id"] for r in people.recently_resolved(q, now, limit=None, days=7).collect()] == [1]
+    assert sorted(r["id"] for r in people.recently_resolved(q, now, limit=3).collect()) == [1, 2]
