@@ -15,12 +15,27 @@ from pyspark.sql import functions as F
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
     """Periods of activity per key separated by more than ``gap`` without events; ``end`` includes the gap.
 
-    Session windows merge map-side, so a key with very many events is reduced before the shuffle. The
-    bounds are computed from the events and not taken from the window column: a later filter on the window
-    column would be pushed below the merging of sessions and change them.
+    On a table the rows of a key are first reduced, map-side, to one span per stretch of time no longer than
+    the gap: rows that close together always share a session, and a key with very many events shrinks to a
+    few spans before anything is sorted. On a stream the session settings merge locally
+    (``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``, set by ``get_session``).
+
+    The bounds are computed from the events and not taken from the window column: a later filter on the
+    window column would be pushed below the merging of sessions and change them.
     """
-    s = events.groupBy(key, F.session_window("ts", gap).alias("s")).agg(
-        F.min("ts").alias("start"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("events")
+    if events.isStreaming:
+        spans = events.select(key, "ts", F.col("ts").alias("_hi"), F.lit(1).cast("long").alias("_n"))
+        length = gap
+    else:
+        spans = (
+            events.groupBy(key, F.window("ts", gap).alias("_w"))
+            .agg(F.min("ts").alias("ts"), F.max("ts").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+            .drop("_w")
+        )
+        micros = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("_hi") + F.expr(f"INTERVAL {gap}"))
+        length = F.concat(micros.cast("string"), F.lit(" microseconds"))
+    s = spans.groupBy(key, F.session_window("ts", length).alias("s")).agg(
+        F.min("ts").alias("start"), F.max("_hi").alias("last_at"), F.sum("_n").alias("events")
     )
     return s.select(key, "start", (F.col("last_at") + F.expr(f"INTERVAL {gap}")).alias("end"), "last_at", "events")
 
