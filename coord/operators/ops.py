@@ -51,7 +51,7 @@ def counter_rollup(
     secs = F.lit(window_s) if window_s else F.timestamp_diff("SECOND", start, end)
     return out.select(
         *labels, start.alias("window_start"), "samples", F.round("_inc", 6).alias("increase"),
-        F.round(F.col("_inc") / secs, 6).alias("rate"),
+        F.round(F.round("_inc", 6) / secs, 9).alias("rate"),
     )
 
 

@@ -34,7 +34,7 @@ def system_status(spark, heartbeats, tasks):
     sql="""WITH d AS (SELECT user_id, ts, latency AS v, lag(latency) OVER (PARTITION BY user_id ORDER BY ts, request_id) AS p FROM requests)
       SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS samples,
         round(sum(CASE WHEN p IS NULL THEN 0 WHEN v < p THEN v ELSE v - p END), 6) AS increase,
-        round(sum(CASE WHEN p IS NULL THEN 0 WHEN v < p THEN v ELSE v - p END) / 86400, 6) AS rate FROM d GROUP BY 1, 2""",
+        round(round(sum(CASE WHEN p IS NULL THEN 0 WHEN v < p THEN v ELSE v - p END), 6) / 86400, 9) AS rate FROM d GROUP BY 1, 2""",
 )
 def counter_rollup(spark, requests):
     return ops.counter_rollup(requests, ["user_id"], "1 day", "latency", ["ts", "request_id"])
