@@ -118,3 +118,15 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
         "row", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"),
         F.array_join("left", "\n").alias("kept"),
     )
+
+
+def rewritten(docs: DataFrame, **how) -> DataFrame:
+    """The documents with all their columns, texts without shared lines; ``n_chars``, where it is, follows the text.
+
+    Documents that lose no line keep their row as it was, a null text included.
+    """
+    out = dedup_lines(docs, **how)
+    changed = F.col("n_dropped") > 0
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    cell = lambda c: F.when(changed, new[c]).otherwise(F.col("row")[c]) if c in new else F.col("row")[c]
+    return out.select(*[cell(c).alias(c) for c in docs.columns])
