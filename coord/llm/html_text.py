@@ -240,7 +240,7 @@ AROUND = {
 }
 
 
-def layout(r: np.random.Generator, words: list[str]) -> tuple[str, set[str]]:
+def layout(r: np.random.Generator, words: np.ndarray) -> tuple[str, set[str]]:
     """An invented page and the texts of its main blocks, all texts different."""
     main, count = set(), [0]
 
@@ -305,7 +305,7 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, chars: int = SAMPLE_CHAR
         if any({"article", "main"} & set(b.path) for b in own):
             labels = [bool({"article", "main"} & set(b.path)) and not _OUTSIDE & set(b.path) for b in own]
             rows.append((np.stack([vectors.of(b) for b in own]), np.array(labels, np.float32)))
-    r, words = np.random.default_rng(seed), words or ["text", "word", "page", "more", "news"]
+    r, words = np.random.default_rng(seed), np.array(words or ["text", "word", "page", "more", "news"])
     for _ in range(layouts):
         page, main = layout(r, words)
         own = blocks(page)
