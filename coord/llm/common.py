@@ -7,7 +7,6 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coord.session import cut_lineage
 from coord.streaming.io import run_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,6 +15,16 @@ BLANKS = " \t\n\x0b\x0c\r"  # \x20 \x09-\x0D
 __all__ = ["BLANKS", "components", "cut_lineage", "fold_of", "lower_ascii", "run_folder", "table", "text_of", "union_all"]
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and continue from there.
+
+    Unlike a checkpoint, the new plan keeps nothing of the old one, so loops stay as cheap as their first round.
+    """
+    path = run_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
