@@ -51,26 +51,29 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edges: root is the smallest node reachable from it.
 
-    Rounds of contraction: every node joins the neighbour (or itself) with the smallest hash of that round,
-    edges between the merged nodes are mapped and made distinct. A fresh hash each round makes the number of
-    rounds logarithmic for chains as for stars. Minima are combined before the shuffle, so a hub costs one
-    row per task. Each round's tables are written to the shared checkpoint folder. An edge list without
-    rows gives no rows.
+    Rounds of contraction: every node joins the first of its neighbours and itself in an order that is the order
+    of the nodes in the first round (which settles stars around their smallest node) and one of fresh hashes
+    later (which halves chains and trees, in a logarithmic number of rounds). Edges between the merged nodes
+    are mapped and made distinct. Minima are combined before the shuffle, so a hub costs one row per task. Each
+    round writes two tables to the shared checkpoint folder. An edge list without rows gives no rows.
     """
-    kind = edges.schema[a].dataType
-    left = cut_lineage(edges.select(F.col(a).cast(kind).alias("u"), F.col(b).cast(kind).alias("v")).where("u <> v").distinct())
+    left = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).distinct())
     maps: list[DataFrame] = []
-    nodes = cut_lineage(edges.select(F.explode(F.array(a, b)).alias("node")).distinct())
-    state, step = nodes.select("node", F.col("node").alias("at")), 0
     while not left.isEmpty():
-        step += 1
-        both = left.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")), F.struct("u", F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        to = cut_lineage(both.groupBy("u").agg(F.min_by("v", F.struct(F.xxhash64(F.lit(step), "v"), "v")).alias("p")))
-        maps.append(to)
-        state = cut_lineage(state.join(to.withColumnsRenamed({"u": "at"}), "at", "left").select("node", F.coalesce("p", "at").alias("at")))
+        ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")), F.struct("u", F.col("u").alias("v")), F.struct(F.col("v").alias("u"), "v"))
+        both = left.select(F.explode(ends).alias("e")).select("e.u", "e.v")
+        order = F.struct(F.xxhash64(F.lit(len(maps)), "v"), "v") if maps else F.col("v")
+        maps.append(cut_lineage(both.groupBy("u").agg(F.min_by("v", order).alias("p"))))
+        to = maps[-1]
         left = cut_lineage(
-            left.join(to, "u").select("v", F.col("p").alias("pu")).join(to.withColumnsRenamed({"u": "v"}), "v")
+            left.where("u <> v").join(to, "u").select("v", F.col("p").alias("pu")).join(to.withColumnsRenamed({"u": "v"}), "v")
             .select(F.least("pu", "p").alias("u"), F.greatest("pu", "p").alias("v")).where("u <> v").distinct()
         )
+    if not maps:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    state = maps[0].select(F.col("u").alias("node"), F.col("p").alias("at"))
+    for to in maps[1:]:
+        state = state.join(to.withColumnsRenamed({"u": "at"}), "at", "left").select("node", F.coalesce("p", "at").alias("at"))
+    state = cut_lineage(state)
     low = state.groupBy("at").agg(F.min("node").alias("root"))
     return state.join(low, "at").select("node", "root")

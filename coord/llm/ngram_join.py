@@ -193,7 +193,7 @@ def band_links(texts: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, group in groups(batches, ["key", "p", "q"]):
-            codes, names = pd.factorize(pdf["tid"])
+            codes, names = pd.factorize(pdf["tid"], sort=True)
             sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), CHECKS)
             tile, across = pdf["tile"].to_numpy(), (pdf["p"] != pdf["q"]).to_numpy()
             forest, roots = Forest(len(names)), np.arange(len(names))
@@ -218,7 +218,7 @@ def band_links(texts: DataFrame, threshold: float = THRESHOLD, tolerance: float
 def verified(docs: DataFrame, texts: DataFrame, grouped: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(tid, mate, links, text_links) per text and pair of tiles: exact links to the other texts of its group.
 
-    ``mate`` connects the linked texts of a tile pair. Counts of a text add up over its tile pairs. The group's
+    ``mate``, the smallest text reachable there, connects the linked texts of a tile pair. Counts of a text add up over its tile pairs. The group's
     texts are read again and compared as n-gram sets, in tiles of about ``TEXT_TILE`` texts or
     ``TEXT_TILE_GRAMS`` n-grams.
     """
@@ -241,7 +241,7 @@ def verified(docs: DataFrame, texts: DataFrame, grouped: DataFrame, n: int = WOR
 
 def _links(own: pd.DataFrame, make: Grams, bounds: list[tuple[int, int]], threshold: float) -> pd.DataFrame:
     """Links within one pair of tiles (or one tile), counted without listing pairs."""
-    size = len(own)
+    own, size = own.sort_values("tid"), len(own)
     grams = [make.of(t) for t in own["text"]]
     lengths = np.array([len(g) for g in grams])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))

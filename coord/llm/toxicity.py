@@ -19,7 +19,7 @@ SAMPLE_CHARS = 8_000  # longer documents are not in the sample
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN = 16, 8
 WORD_SLOTS, CHAR_SLOTS = 1 << 15, 1 << 14
-EPOCHS, BATCH, RATE = 5, 64, 0.01
+STEPS, BATCH, RATE = 200, 64, 0.01  # a small sample is gone through more often
 CHUNK_WORDS = 30_000
 CLEAN_SHARE = 0.65  # weight of all clean documents of the sample together
 _WORD = re.compile(r"\w+")
@@ -148,12 +148,12 @@ class Network:
             dvec += dtable @ self.p["in_" + side].T
         return g, dvec
 
-    def train(self, texts: list[list[str]], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> None:
+    def train(self, texts: list[list[str]], toxic: np.ndarray, steps: int = STEPS, seed: int = 11) -> None:
         """Each document is as toxic as its most toxic window: only that window is learned from (Adam; Adagrad for the vectors)."""
         r, ids_all, (m, v), step = np.random.default_rng(seed), texts, ({}, {}), 0
         memory = [np.full(len(x), 1e-3, np.float32) for x in (self.words, self.chars)]
         weight = np.where(toxic == 1, (1 - CLEAN_SHARE) / (toxic == 1).sum(), CLEAN_SHARE / (toxic == 0).sum()) * len(toxic)
-        for _ in range(epochs):
+        for _ in range(-(-steps // -(-len(toxic) // BATCH))):
             order = r.permutation(len(toxic))
             for a in range(0, len(order), BATCH):
                 rows = order[a:a + BATCH]
