@@ -85,8 +85,8 @@ def stakeholder(raw: Column) -> Column:
 
 
 def heading_slug(title: Column) -> Column:
-    """Anchor of a heading: lower case, punctuation dropped, blanks to hyphens."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(title)), r"[^a-z0-9 _-]", ""), " ", "-")
+    """Anchor of a heading: lower case, punctuation dropped, letters of all scripts kept, blanks to hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(title)), r"[^\p{L}\p{N} _-]", ""), " ", "-")
 
 
 def initials(title: Column) -> Column:

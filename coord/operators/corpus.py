@@ -138,11 +138,13 @@ def ac_coverage(scenarios: DataFrame, criteria: DataFrame) -> DataFrame:
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows added, removed or changed between two snapshots; unchanged rows are left out.
 
-    Rows are compared by all shared columns through a 64-bit hash pair, so only keys and hashes travel.
+    Rows are compared by all shared columns through a 64-bit hash pair, so only keys and hashes travel. The
+    hashes pass over nulls, so which columns are null is hashed with them.
     """
     keys = list(keys)
     cols = [c for c in old.columns if c in new.columns and c not in keys]
-    digest = F.struct(F.xxhash64(*cols), F.hash(*cols)) if cols else F.struct(F.lit(0))
+    nulls = [F.col(c).isNull() for c in cols]
+    digest = F.struct(F.xxhash64(*cols, *nulls), F.hash(*cols, *nulls)) if cols else F.struct(F.lit(0))
     a = old.select(*keys, digest.alias("_a"))
     b = new.select(*keys, digest.alias("_b"))
     change = (
@@ -151,8 +153,14 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
     return a.join(b, keys, "full").select(*keys, change.alias("change")).filter("change IS NOT NULL")
 
 
-def open_question_counts(sections: DataFrame) -> DataFrame:
-    """Open questions per feature: list items under its Outstanding Questions heading."""
+def open_question_counts(sections: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Open questions per feature: list items under its Outstanding Questions heading.
+
+    With ``docs`` (``path``) features whose README has no heading at all count 0; without it they are missing.
+    """
+    if docs is not None:
+        bare = docs.select("path").join(sections.select("path").distinct(), "path", "left_anti")
+        sections = sections.unionByName(bare, allowMissingColumns=True)
     return (
         sections.withColumn("feature", feature_id(F.col("path")))
         .filter("feature IS NOT NULL")

@@ -19,27 +19,34 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def reach(edges: DataFrame, roots: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(root, node, depth): every node reachable from each root, with its smallest number of steps.
 
     ``roots`` has ``root``; without it every source is one. A root reaches itself only through a cycle.
     Each round expands only the pairs found in the round before and drops those already known, so cycles
-    end the loop by themselves.
+    end the loop by themselves. Known pairs lie in a few tables: a table is merged with the one before it once
+    it has half its rows, so their number is logarithmic in the result and does not grow with the depth.
     """
     e = cut_lineage(edges.select("src", "dst").distinct())
     first = e.select(F.col("src").alias("root"), F.col("dst").alias("node"))
     if roots is not None:
         first = first.join(roots.select("root").distinct(), "root", "left_semi")
     frontier = cut_lineage(first.withColumn("depth", F.lit(1)))
-    found = [frontier]
     step = e.withColumnRenamed("src", "node")
-    for depth in range(2, max_rounds + 2):
-        if frontier.isEmpty():
-            break
+    found, sizes, depth = [frontier], [frontier.count()], 1
+    while sizes[-1] and not frontier.isEmpty():
+        depth += 1
         nxt = frontier.join(step, "node").select("root", F.col("dst").alias("node")).distinct()
         known = _union(found).select("root", "node")
         frontier = cut_lineage(nxt.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        size = frontier.count()
+        if not size:
+            break
         found.append(frontier)
+        sizes.append(size)
+        while len(found) > 1 and sizes[-2] <= 2 * sizes[-1]:
+            found[-2:] = [cut_lineage(_union(found[-2:]))]
+            sizes[-2:] = [sum(sizes[-2:])]
     return _union(found)
 
 
@@ -52,7 +59,7 @@ def transitive_refs(edges: DataFrame, roots: DataFrame | None = None) -> DataFra
     return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots)
 
 
-def paths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+def paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth, path, cycle): the dependency tree below each root, one row per path.
 
     A node already on its own path is emitted once with ``cycle`` true and not followed. The number of
@@ -65,7 +72,7 @@ def paths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> D
     )
     found: list[DataFrame] = []
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while True:
         depth += 1
         grown = frontier.join(e, "node").select(
             "root", F.col("dst").alias("node"), F.lit(depth).alias("depth"),

@@ -9,6 +9,7 @@ plain window. Keys of ordinary size keep the single-window plan and are not summ
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -208,7 +209,9 @@ def exact_quantiles(
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
     cum = over_order(counts, keys, [value], running_sum("_cum", F.col("_m")), rows_per_chunk=rows_per_chunk)
     totals = counts.groupBy(*keys).agg(F.sum("_m").alias("samples"))
-    ranked = cum.join(totals, keys)
+    # null keys are groups like others
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.lit(True))
+    ranked = cum.alias("a").join(totals.alias("b"), same).select("a.*", "b.samples")
     aggs = []
     for name, q in fractions.items():
         target = F.lit(q) * (F.col("samples") - 1)

@@ -16,8 +16,12 @@ def _whole_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     files = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
     )
-    name = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
-    below = F.regexp_extract(F.url_decode(name), r"^.*?" + root.replace(".", r"\.") + "/(.*)$", 1)
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    # percent codes only: a plus sign in a path is a plus sign
+    name = F.url_decode(F.replace(plain(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B")))
+    below = F.substring(name, F.length(plain(F.lit(top))) + 2, F.length(name))
     return files.select(below.alias("path"), F.col("value").alias("text"))
 
 

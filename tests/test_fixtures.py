@@ -514,3 +514,44 @@ def test_options(spark):
     now = F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
     assert [r["id"] for r in people.recently_resolved(q, now, limit=None, days=7).collect()] == [1]
     assert sorted(r["id"] for r in people.recently_resolved(q, now, limit=3).collect()) == [1, 2]
+
+
+def test_snapshot_diff_sees_values_moving_between_columns(spark):
+    from coord.operators.corpus import snapshot_diff
+
+    schema = "id int, reason string, summary string"
+    old, new = spark.createDataFrame([(1, "x", None), (2, "y", None)], schema), spark.createDataFrame([(1, None, "x"), (2, "y", None)], schema)
+    assert [tuple(r) for r in snapshot_diff(old, new, ["id"]).collect()] == [(1, "changed")]
+
+
+def test_bad_policies_are_invalid(spark):
+    from coord.operators.people import tally_decisions
+
+    decisions = spark.createDataFrame([("a", "min", None), ("b", "min", 0), ("c", "bogus", None), ("d", None, None)], "decision string, policy string, min_n int")
+    assigned = spark.createDataFrame([(d, "ann@x") for d in "abcd"], "decision string, stakeholder string")
+    responses = spark.createDataFrame([(d, "ann@x", "yes", i, i) for i, d in enumerate("abcd")], "decision string, stakeholder string, response string, ts int, seq int")
+    got = {r.decision: r.outcome for r in tally_decisions(decisions, assigned, responses).collect()}
+    assert got == {"a": "invalid", "b": "invalid", "c": "invalid", "d": "yes"}
+
+
+def test_long_chain_and_null_keyed_quantiles(spark):
+    from coord.operators import graph
+    from coord.operators.ordered import exact_quantiles
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(24)], "src int, dst int")
+    got = graph.reach(chain, spark.createDataFrame([(0,)], "root int"))
+    assert sorted((r.node, r.depth) for r in got.collect()) == [(i, i) for i in range(1, 25)]
+    values = spark.createDataFrame([(None, 1.0), (None, 3.0), ("k", 5.0)], "g string, v double")
+    assert {r.g: (r.samples, r.p50) for r in exact_quantiles(values, ["g"], "v", {"p50": 0.5}).collect()} == {None: (2, 2.0), "k": (1, 5.0)}
+
+
+def test_paths_with_plus_signs_and_slugs_with_umlauts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from coord.functions.text import heading_slug
+    from coord.sources.files import scan_spec_corpus
+
+    (tmp_path / "a.b" / "x+y z").mkdir(parents=True)
+    (tmp_path / "a.b" / "x+y z" / "README.md").write_text("# T\n")
+    assert [r.path for r in scan_spec_corpus(spark, str(tmp_path / "a.b")).collect()] == ["x+y z/README.md"]
+    assert spark.range(1).select(heading_slug(F.lit("Größe & Maß"))).first()[0] == "größe--maß"
