@@ -96,7 +96,7 @@ def fold(
     cmd: str = "cmd",
     expected: str | None = None,
     start: DataFrame | None = None,
-    rows_per_chunk: int = O.ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Apply each key's commands in order; adds ``from_status``, ``to_status`` and ``outcome`` to every row.
 
@@ -104,9 +104,10 @@ def fold(
     column ``expected`` names a status other than the current one). Rejected commands change nothing.
     ``start`` may give a state per key (column ``status``) to continue from.
 
-    Rows stream through sorted partitions, so no group is held in memory. A hot key is cut into time
-    chunks: each chunk is first reduced to the function it computes from any start state, the functions
-    are composed in order, and then every chunk is replayed from its own start state in parallel.
+    Rows stream through sorted partitions, so no group is held in memory. A key that crosses the borders of
+    range partitions is cut into chunks: each chunk is first reduced to the function it computes from any
+    start state, the functions are composed in order, and then every chunk is replayed from its own start
+    state in parallel. The commands are stored in the shared checkpoint folder.
 
     Start states travel as marker rows ahead of the commands they belong to and are not joined. A join on
     the same keys would let the planner drop the repartitioning that follows it, and adaptive execution
@@ -119,9 +120,7 @@ def fold(
     codes_ = {
         "_code": machine.code(F.col(cmd)), "_want": machine.state_code(F.col(expected)) if expected else F.lit(-1),
     }
-    hot_keys = O.hot_keys(commands, keys, order[0], rows_per_chunk)
-    coded = O.with_chunks(commands, hot_keys, keys, order[0]).withColumns(codes_)
-    hot_rows = O.with_chunks(commands, hot_keys, keys, order[0], only_hot=True).withColumns(codes_)
+    coded, split_keys = O.in_chunks(commands.withColumns(codes_), keys, order, chunks)
     part = [*keys, "_chunk"]
 
     def moves(code: int, want: int) -> tuple[int, ...]:
@@ -211,7 +210,7 @@ def fold(
         types = {f.name: f.dataType.simpleString() for f in coded.schema}
         return ", ".join(f"`{c}` {types[c]}" for c in cols)
 
-    hot = hot_rows.select(*part, *[o for o in order if o not in part], "_code", "_want")
+    hot = coded.filter("_chunk > 0").select(*part, *[o for o in order if o not in part], "_code", "_want")
     functions = (
         hot.repartition(*part)
         .sortWithinPartitions(*part, *order)
@@ -223,7 +222,9 @@ def fold(
         firsts = start.select(
             *keys, F.lit(0).cast("long").alias("_chunk"), machine.state_code(F.col("status")).alias("_begin")
         )
-        of_hot = firsts.join(F.broadcast(hot_keys.select(*keys)), keys, "left_semi")
+        names = [f"_k{i}" for i in range(len(keys))]
+        split_keys = split_keys.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+        of_hot = firsts.join(F.broadcast(split_keys), O.same_keys(keys, names), "left_semi")
         functions = functions.unionByName(of_hot.withColumn("_fn", F.lit(None).cast("array<int>")))
     begins = (
         functions.repartition(*keys)
@@ -332,10 +333,10 @@ def guard_updates(updates: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def time_in_status(
-    changes: DataFrame, as_of: Column, rows_per_chunk: int = O.ROWS_PER_CHUNK
+    changes: DataFrame, as_of: Column, chunks: int | None = None
 ) -> DataFrame:
     """Dwell time of each accepted status change (``slug, ts, seq, to_status``); the last runs to ``as_of``."""
-    nxt = O.over_order(changes, ["slug"], ["ts", "seq"], O.lead("next_ts", F.col("ts")), rows_per_chunk=rows_per_chunk)
+    nxt = O.over_order(changes, ["slug"], ["ts", "seq"], O.lead("next_ts", F.col("ts")), chunks=chunks)
     until = F.coalesce("next_ts", as_of)
     return nxt.select(
         "slug", "seq", F.col("to_status").alias("status"), F.col("ts").alias("entered_at"),
@@ -357,14 +358,14 @@ def run_durations(changes: DataFrame) -> DataFrame:
 
 
 def validate_history(
-    changes: DataFrame, machine: Machine = TASKS, rows_per_chunk: int = O.ROWS_PER_CHUNK
+    changes: DataFrame, machine: Machine = TASKS, chunks: int | None = None
 ) -> DataFrame:
     """Check recorded changes (``slug, ts, seq, from_status, to_status``): continuous, and each one legal."""
     legal_pairs = sorted({(s, t) for (s, _), t in machine.transitions.items()})
     pair = F.concat_ws(">", F.col("from_status"), F.col("to_status"))
     legal = pair.isin([f"{s}>{t}" for s, t in legal_pairs])
     prev = O.over_order(
-        changes, ["slug"], ["ts", "seq"], O.lag("previous", F.col("to_status")), rows_per_chunk=rows_per_chunk
+        changes, ["slug"], ["ts", "seq"], O.lag("previous", F.col("to_status")), chunks=chunks
     )
     continuous = F.coalesce(F.col("previous"), F.lit(machine.initial)) == F.col("from_status")
     return prev.select(

@@ -38,10 +38,10 @@ def system_status(agents: DataFrame, tasks: DataFrame, as_of: Column, timeout_s:
 
 def counter_rollup(
     samples: DataFrame, labels: Sequence[str], window: str, value: str = "value", order: Sequence[str] = ("ts", "seq"),
-    window_s: int | None = None, rows_per_chunk: int = O.ROWS_PER_CHUNK,
+    window_s: int | None = None, chunks: int | None = None,
 ) -> DataFrame:
     """Increase and per-second rate of counters per label set and window; a drop means a restart from 0."""
-    prev = O.over_order(samples, labels, order, O.lag("_prev", F.col(value)), rows_per_chunk=rows_per_chunk)
+    prev = O.over_order(samples, labels, order, O.lag("_prev", F.col(value)), chunks=chunks)
     v, p = F.col(value), F.col("_prev")
     delta = F.when(p.isNull(), 0.0).when(v < p, v).otherwise(v - p)
     out = prev.groupBy(*labels, F.window(order[0], window).alias("w")).agg(
@@ -96,10 +96,10 @@ def authorize_requests(requests: DataFrame, grants: DataFrame, ttl_s: int = 300)
 
 def crash_loops(
     restarts: DataFrame, interval: str = "1 HOUR", threshold: int = 3, budget: int = 3, key: str = "project_id",
-    rows_per_chunk: int = O.ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Restarts in the trailing interval at each restart time, whether that is a loop, and the budget left."""
-    n = O.trailing_count(restarts, [key], "ts", interval, "restarts", rows_per_chunk)
+    n = O.trailing_count(restarts, [key], "ts", interval, "restarts", chunks)
     return n.select(
         key, "ts", "restarts", (F.col("restarts") >= threshold).alias("looping"),
         F.greatest(F.lit(0), budget - F.col("restarts")).cast("long").alias("budget_left"),
@@ -108,15 +108,15 @@ def crash_loops(
 
 def failure_streaks(
     checks: DataFrame, key: str = "project_id", max_failures: int = 3, order: Sequence[str] = ("ts", "seq"),
-    rows_per_chunk: int = O.ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Consecutive failed health checks at each check; a success or ``degraded`` resets, ``failed`` from the limit on."""
     bad = F.col("health") == "unhealthy"
     counted = cut_lineage(
-        O.over_order(checks, [key], order, O.running_sum("_bad", bad.cast("long")), rows_per_chunk=rows_per_chunk)
+        O.over_order(checks, [key], order, O.running_sum("_bad", bad.cast("long")), chunks=chunks)
     )
     marked = O.over_order(
-        counted, [key], order, O.last_known("_at_reset", F.when(~bad, F.col("_bad"))), rows_per_chunk=rows_per_chunk
+        counted, [key], order, O.last_known("_at_reset", F.when(~bad, F.col("_bad"))), chunks=chunks
     )
     streak = F.col("_bad") - F.coalesce("_at_reset", F.lit(0))
     return marked.select(
@@ -130,7 +130,7 @@ RATE_LIMITS = {"execute": (10, True), "credentials": (30, False), "query": (60,
 
 
 def rate_limit_audit(
-    requests: DataFrame, limits: dict[str, tuple[int, bool]] = RATE_LIMITS, rows_per_chunk: int = O.ROWS_PER_CHUNK
+    requests: DataFrame, limits: dict[str, tuple[int, bool]] = RATE_LIMITS, chunks: int | None = None
 ) -> DataFrame:
     """Position of each request in its fixed minute, what remains, and when the window resets.
 
@@ -145,8 +145,7 @@ def rate_limit_audit(
         }
     )
     ranked = O.over_order(
-        keyed, ["user_id", "category", "_project", "_minute"], ["ts", "request_id"], O.rank("n"), rows_per_chunk=rows_per_chunk,
-        hot_by=["user_id", "category"],
+        keyed, ["user_id", "category", "_project", "_minute"], ["ts", "request_id"], O.rank("n"), chunks=chunks,
     )
     return ranked.select(
         "request_id", "user_id", "category", "n", limit.alias("rate_limit"), (F.col("n") > limit).alias("over"),
@@ -191,12 +190,12 @@ LIFECYCLE_PAIRS = {"creating": "running", "paused": "resumed", "failed": "restar
 
 
 def lifecycle_durations(
-    events: DataFrame, key: str = "project_id", pairs: dict[str, str] = LIFECYCLE_PAIRS, rows_per_chunk: int = O.ROWS_PER_CHUNK
+    events: DataFrame, key: str = "project_id", pairs: dict[str, str] = LIFECYCLE_PAIRS, chunks: int | None = None
 ) -> DataFrame:
     """Intervals between an opening event and the closing one that directly follows it in the project."""
     nxt = O.over_order(
         events, [key], ["ts", "seq"], O.lead("_next", F.struct(F.col("type").alias("type"), F.col("ts").alias("ts"))),
-        rows_per_chunk=rows_per_chunk,
+        chunks=chunks,
     )
     return nxt.filter(lookup(F.col("type"), pairs) == F.col("_next.type")).select(
         key, F.col("type").alias("opened_by"), F.col("_next.type").alias("closed_by"), F.col("ts").alias("opened_at"),
@@ -204,9 +203,9 @@ def lifecycle_durations(
     )
 
 
-def liveness_gaps(heartbeats: DataFrame, timeout_s: int, as_of: Column, key: str = "agent", rows_per_chunk: int = O.ROWS_PER_CHUNK) -> DataFrame:
+def liveness_gaps(heartbeats: DataFrame, timeout_s: int, as_of: Column, key: str = "agent", chunks: int | None = None) -> DataFrame:
     """Offline periods: a heartbeat with no other within the timeout; ``back_at`` is null while it lasts."""
-    nxt = O.over_order(heartbeats, [key], ["ts", "seq"], O.lead("_next", F.col("ts")), rows_per_chunk=rows_per_chunk)
+    nxt = O.over_order(heartbeats, [key], ["ts", "seq"], O.lead("_next", F.col("ts")), chunks=chunks)
     until = F.coalesce("_next", as_of)
     offline = F.col("ts") + F.expr(f"INTERVAL {timeout_s} SECONDS")
     return nxt.filter(offline < until).select(key, F.col("ts").alias("last_seen"), offline.alias("offline_at"), F.col("_next").alias("back_at"))

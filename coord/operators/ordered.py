@@ -1,9 +1,11 @@
 """Ordered per-key computations that stay balanced when one key holds a large share of the rows.
 
-A window over ``PARTITION BY key ORDER BY ts`` sends every row of a key to one task. Here a key with many
-rows is first cut into consecutive time chunks. Each chunk is processed on its own and what it needs from
-the chunks before (or the one after) comes from per-chunk summaries, which are few. The result equals the
-plain window. Keys of ordinary size keep the single-window plan and are not summarised at all.
+A window over ``PARTITION BY key ORDER BY ts`` sends every row of a key to one task. Here the rows are first
+dealt by range over (keys, order) into partitions of about equal size and stored with their partition number,
+so a key with many rows lies in several partitions, in order. Each part of a key is processed on its own; what
+it needs from the parts before (or the one after) comes from per-part summaries. Only a key that crosses a
+border between partitions has summaries, so there are at most two per partition. The plan is the same for
+every size, and nulls, NaN, infinities and strings are placed by the order the engine sorts them in.
 """
 
 from __future__ import annotations
@@ -14,64 +16,36 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ROWS_PER_CHUNK = 1_000_000
-#: A key is hot only above total / HOT_KEY_BOUND rows, so there are at most this many hot keys.
-HOT_KEY_BOUND = 100_000
-_OVERSPLIT = 4
+from coord.session import stored
 
 
-def position(df: DataFrame, name: str) -> Column:
-    """A whole number that grows with the column; equal values share one number."""
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        days = F.datediff(col, F.lit("1970-01-01").cast("date")).cast("long")
-        return days * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-    if isinstance(kind, T.DateType):
-        return F.datediff(col, F.lit("1970-01-01").cast("date")).cast("long")
-    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return F.floor(col.cast("double") * 1000).cast("long")
-    return col.cast("long")
+def same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Null-safe equality of two lists of columns; true for empty ones."""
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)], F.lit(True))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], by: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Keys with more than ``rows_per_chunk`` rows, with the start and width of their time chunks.
+def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_chunk``, split keys): 0 for a key that lies in one partition, else 1 and more in order.
 
-    At most ``HOT_KEY_BOUND`` rows by the pigeonhole principle: a key must also hold more than that
-    fraction of all rows. Counting combines map-side.
+    The rows are stored, because another evaluation could draw other borders. ``chunks`` sets the number of
+    range partitions (the session's shuffle partitions, merged when small, without it). A border splits at
+    most one key, so the split keys are fewer than the partitions, whatever the data: they may be broadcast.
     """
-    pos = position(df, by)
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi")
+    keys = list(keys)
+    by = [*keys, *[o for o in order if o not in keys]]
+    dealt = df.repartitionByRange(chunks, *by) if chunks else df.repartitionByRange(*by)
+    rows = stored(dealt.withColumn("_part", F.spark_partition_id().cast("long")))
+    key = F.struct(*keys)
+    ends = rows.groupBy("_part").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    ends = ends.select("_part", F.explode(F.array("lo", "hi")).alias("key"))
+    split = ends.groupBy("key").agg(F.countDistinct("_part").alias("n")).filter("n > 1").select("key.*")
+    names = [f"_k{i}" for i in range(len(keys))]
+    marks = split.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.lit(True).alias("_split"))
+    marked = rows.join(F.broadcast(marks), same_keys(keys, names), "left").withColumn(
+        "_chunk", F.when(F.col("_split"), F.col("_part") + 1).otherwise(F.lit(0).cast("long"))
     )
-    share = stats.agg((F.sum("_n") / HOT_KEY_BOUND).alias("share")).scalar()
-    pieces = F.ceil(F.col("_n") * _OVERSPLIT / F.lit(rows_per_chunk))
-    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces), F.lit(1))
-    return stats.filter(
-        (F.col("_n") > rows_per_chunk) & (F.col("_n") > share) & (F.col("_hi") > F.col("_lo"))
-    ).select(*keys, "_lo", width.alias("_width"))
-
-
-def with_chunks(df: DataFrame, hot: DataFrame, keys: Sequence[str], by: str, only_hot: bool = False) -> DataFrame:
-    """Add ``_chunk``: 0 for ordinary keys, 1, 2, ... in order of ``by`` for hot ones.
-
-    ``only_hot`` keeps the rows of hot keys alone; without such keys that branch is found empty at run time
-    and not executed.
-    """
-    pos = position(df, by)
-    chunk = F.floor((pos - F.col("_lo")) / F.col("_width")).cast("long") + 1
-    joined = df.join(F.broadcast(hot), list(keys), "inner" if only_hot else "left")
-    return joined.withColumn("_chunk", F.coalesce(chunk, F.lit(0).cast("long"))).drop("_lo", "_width")
-
-
-def split_hot(df: DataFrame, keys: Sequence[str], by: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """``df`` with its chunk numbers.
-
-    Chunk borders come from exact counts and extremes, so every evaluation gives the same chunks.
-    """
-    return with_chunks(df, hot_keys(df, keys, by, rows_per_chunk), keys, by)
+    return marked.drop(*names, "_split", "_part"), split
 
 
 @dataclass(frozen=True)
@@ -111,26 +85,22 @@ def over_order(
     keys: Sequence[str],
     order: Sequence[str],
     *specs: Spec,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    hot_by: Sequence[str] | None = None,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Add one column per spec, computed per key in ascending ``order`` (a total order per key).
 
-    ``hot_by`` names the part of the keys to look for hot values in, when the whole keys are so fine that
-    counting them would shuffle almost every row. The input is read once to count, once to compute, and a
-    third time only for hot keys: store it first when it is expensive to compute.
+    The input is evaluated once (and sampled for the borders), stored in the shared checkpoint folder, and
+    the result is computed from there. Null keys are a key like others.
     """
     keys, order = list(keys), list(order)
-    by = list(hot_by) if hot_by else keys
     kept = df.columns
     inputs = {f"_x{i}": s.expr for i, s in enumerate(specs) if s.expr is not None}
-    hot = hot_keys(df, by, order[0], rows_per_chunk)
-    cut = with_chunks(df, hot, by, order[0]).withColumns(inputs)
+    cut, _ = in_chunks(df.withColumns(inputs), keys, order, chunks)
     part = [*keys, "_chunk"]
     here = Window.partitionBy(*part).orderBy(*order)
     so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chunks = Window.partitionBy(*keys).orderBy("_chunk")
-    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.partitionBy(*keys).orderBy("_chunk")
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*order)
 
     local: dict[str, Column] = {}
@@ -142,12 +112,12 @@ def over_order(
         if spec.kind == "lag":
             local[loc] = F.lag(F.struct(x)).over(here)
             summary.append(F.max_by(F.struct(x), at).alias(f"_s{i}"))
-            carried[car] = F.lag(f"_s{i}").over(chunks)
+            carried[car] = F.lag(f"_s{i}").over(parts)
             final[spec.name] = F.coalesce(F.col(loc), F.col(car))[f"_x{i}"]
         elif spec.kind == "lead":
             local[loc] = F.lead(F.struct(x)).over(here)
             summary.append(F.min_by(F.struct(x), at).alias(f"_s{i}"))
-            carried[car] = F.lead(f"_s{i}").over(chunks)
+            carried[car] = F.lead(f"_s{i}").over(parts)
             final[spec.name] = F.coalesce(F.col(loc), F.col(car))[f"_x{i}"]
         elif spec.kind == "rank":
             local[loc] = F.row_number().over(here)
@@ -168,19 +138,20 @@ def over_order(
         else:
             raise ValueError(f"unknown spec {spec.kind}")
 
-    hot_rows = with_chunks(df, hot, by, order[0], only_hot=True).withColumns(inputs)
-    summaries = hot_rows.groupBy(*part).agg(*summary)
-    carry = summaries.withColumns(carried).select(*part, *carried)
+    summaries = cut.filter("_chunk > 0").groupBy(*part).agg(*summary)
+    names = [f"_k{i}" for i in range(len(part))]
+    carry = summaries.withColumns(carried).select(*[F.col(c).alias(n) for c, n in zip(part, names)], *carried)
+    # one row per split key and partition, at most two per partition
     return (
         cut.withColumns(local)
-        .join(carry, part, "left")
+        .join(F.broadcast(carry), same_keys(part, names), "left")
         .select(*kept, *[c.alias(n) for n, c in final.items()])
     )
 
 
 def trailing_count(
     df: DataFrame, keys: Sequence[str], ts: str, interval: str, name: str = "trailing",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Rows of the key in ``[ts - interval, ts]``, one output row per (key, ts).
 
@@ -192,13 +163,13 @@ def trailing_count(
         *keys, (F.col(ts) + F.expr(f"INTERVAL {interval}")).alias(ts), (-F.col("_d")).alias("_d"), F.lit(1).alias("_k")
     )
     moves = enter.withColumn("_k", F.lit(0)).unionByName(leave)
-    summed = over_order(moves, keys, [ts, "_k"], running_sum(name, F.col("_d")), rows_per_chunk=rows_per_chunk)
+    summed = over_order(moves, keys, [ts, "_k"], running_sum(name, F.col("_d")), chunks=chunks)
     return summed.filter(F.col("_k") == 0).select(*keys, ts, F.col("_d").alias("n_at"), name)
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float],
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles per key from value counts, without holding a group in memory.
 
@@ -207,10 +178,10 @@ def exact_quantiles(
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
-    cum = over_order(counts, keys, [value], running_sum("_cum", F.col("_m")), rows_per_chunk=rows_per_chunk)
+    cum = over_order(counts, keys, [value], running_sum("_cum", F.col("_m")), chunks=chunks)
     totals = counts.groupBy(*keys).agg(F.sum("_m").alias("samples"))
     # null keys are groups like others
-    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.lit(True))
+    same = same_keys([f"a.{k}" for k in keys], [f"b.{k}" for k in keys])
     ranked = cum.alias("a").join(totals.alias("b"), same).select("a.*", "b.samples")
     aggs = []
     for name, q in fractions.items():

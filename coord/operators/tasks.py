@@ -185,7 +185,7 @@ def state_as_of(changes: DataFrame, at: Column) -> DataFrame:
 
 
 def states_as_of(
-    changes: DataFrame, asked: DataFrame, rows_per_chunk: int = O.ROWS_PER_CHUNK
+    changes: DataFrame, asked: DataFrame, chunks: int | None = None
 ) -> DataFrame:
     """Status for each asked (``slug, ts``): as-of join by merging both tables in time order.
 
@@ -199,7 +199,7 @@ def states_as_of(
     )
     filled = O.over_order(
         moves.unionByName(marks), ["slug"], ["ts", "_side", "_seq"],
-        O.last_known("status", F.col("to_status")), rows_per_chunk=rows_per_chunk,
+        O.last_known("status", F.col("to_status")), chunks=chunks,
     )
     return filled.filter(F.col("_side") == 1).select("slug", "ts", "status")
 

@@ -95,7 +95,7 @@ FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY s_suppkey
 """,
     "plan_tasks": """
 SELECT l_orderkey % 2000 AS plan, l_linenumber AS plan_task, CAST(l_orderkey AS STRING) AS task
-FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber
+FROM lineitem GROUP BY l_orderkey, l_linenumber
 """,
     "spans": """
 SELECT CAST(l_orderkey AS STRING) AS trace_id, l_linenumber AS span_id,
@@ -204,7 +204,7 @@ FROM orders
 """,
     "task_files": """
 SELECT concat('tasks/', source, '/t', CAST(doc_id AS STRING), '.md') AS path,
-       concat(CASE WHEN doc_id % 11 = 0 THEN 'Task' ELSE '# Task' END, ' ', CAST(doc_id AS STRING), chr(10), chr(10), 'About ', lang, '.', chr(10), chr(10),
+       concat(CASE WHEN doc_id % 11 = 0 THEN 'Task' ELSE '# Task' END, ' ', CAST(doc_id AS STRING), chr(10), chr(10), 'About ', lang, '.', chr(10), chr(10), coalesce(text, ''), chr(10), chr(10),
               CASE WHEN doc_id % 13 = 0 THEN '' ELSE concat('## Dependencies', chr(10), chr(10),
                 CASE WHEN doc_id % 2 = 0 THEN 'None' ELSE concat('- t', CAST(doc_id - 1 AS STRING), chr(10), '- other') END, chr(10), chr(10)) END,
               CASE WHEN doc_id % 17 = 0 THEN '' ELSE concat('## Summary', chr(10), chr(10),
@@ -385,7 +385,7 @@ SELECT event_id, event_type AS type, concat(props, repeat('x', CAST(event_id % 1
 SELECT CASE n_regionkey WHEN 0 THEN 'signup' WHEN 1 THEN 'view' WHEN 2 THEN 'click' WHEN 3 THEN 'error' ELSE 'other' END AS type, n_name AS recipient FROM nation
 """,
     "chat_activity": """
-SELECT user_id % 40 AS chat_id, ts FROM events WHERE event_type = 'click'
+SELECT user_id % 40 AS chat_id, ts FROM events
 """,
     "decision_events": """
 SELECT concat('d', CAST(c_custkey AS STRING)) AS decision, TIMESTAMP '1992-01-01 00:00:00' AS ts, CAST(NULL AS STRING) AS who,

@@ -25,8 +25,8 @@ class LiveTaskState:
     to its task is answered ``invalid_transition`` and changes nothing.
     """
 
-    def __init__(self, folder: str, machine: history.Machine = history.TASKS, compact_every: int = 20, rows_per_chunk: int = O.ROWS_PER_CHUNK):
-        self.folder, self.machine, self.every, self.rows_per_chunk = folder, machine, compact_every, rows_per_chunk
+    def __init__(self, folder: str, machine: history.Machine = history.TASKS, compact_every: int = 20, chunks: int | None = None):
+        self.folder, self.machine, self.every, self.chunks = folder, machine, compact_every, chunks
 
     def _state(self, spark, batch_id: int) -> DataFrame | None:
         """Latest state per task before ``batch_id``."""
@@ -60,7 +60,7 @@ class LiveTaskState:
             late = seen.filter(F.coalesce("_late", F.lit(False))).select(*batch.columns, "status")
             fresh = seen.filter(~F.coalesce("_late", F.lit(False))).select(*batch.columns)
             start = old.select("slug", "status")
-        folded = history.fold(fresh, self.machine, start=start, rows_per_chunk=self.rows_per_chunk)
+        folded = history.fold(fresh, self.machine, start=start, chunks=self.chunks)
         refused = late.select(
             *batch.columns, F.col("status").alias("from_status"), F.col("status").alias("to_status"),
             F.lit("invalid_transition").alias("outcome"),

@@ -39,27 +39,62 @@ def test_over_order_equals_plain_window(skewed):
     )
     got = O.over_order(
         skewed, ["k"], ["ts", "i"], O.lag("lag", F.col("v")), O.lead("lead", F.col("v")), O.rank("rn"),
-        O.running_sum("s", F.col("v")), O.last_known("f", F.col("v")), rows_per_chunk=100,
+        O.running_sum("s", F.col("v")), O.last_known("f", F.col("v")), chunks=30,
     ).select("k", "i", "lag", "lead", "rn", "s", "f")
     assert rows(got) == rows(want)
 
 
-def test_split_hot_only_splits_hot_keys(skewed):
-    cut = O.split_hot(skewed, ["k"], "ts", 100)
-    chunks = {r["k"]: r["n"] for r in cut.groupBy("k").agg(F.countDistinct("_chunk").alias("n")).collect()}
-    assert chunks["hot"] > 10 and all(n == 1 for k, n in chunks.items() if k != "hot")
-    assert cut.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] < 200
+def test_chunks_are_even_and_in_order(skewed):
+    cut, split = O.in_chunks(skewed, ["k"], ["ts", "i"], 30)
+    per = cut.groupBy("k", "_chunk").agg(F.count("*").alias("n"), F.min(F.struct("ts", "i")).alias("lo"), F.max(F.struct("ts", "i")).alias("hi"))
+    hot = per.where("k = 'hot'").orderBy("_chunk").collect()
+    assert len(hot) > 10 and max(r["n"] for r in hot) < 300
+    assert all(a["hi"] < b["lo"] for a, b in zip(hot, hot[1:]))
+    assert "hot" in {r["k"] for r in split.collect()} and split.count() < 30
+    assert cut.where("_chunk = 0").select("k").join(split, "k", "left_semi").isEmpty()
+
+
+AWKWARD = {
+    "null key": [(None, float(i % 50), i) for i in range(400)] + [("b", 1.0, 1000)],
+    "one moment": [("a", 5.0, i) for i in range(400)] + [("b", 5.0, 1000)],
+    "stray value": [("a", -1e300, 9999)] + [("a", 1.0 + i / 1000, i) for i in range(400)],
+    "NaN and infinities": [("a", [float("nan"), float("inf"), float("-inf"), None, 1.5][i % 5], i) for i in range(400)],
+    "nothing": [],
+}
+
+
+@pytest.mark.parametrize("chunks", [1, 7, None])
+@pytest.mark.parametrize("case", AWKWARD)
+def test_awkward_keys_and_orders(spark, case, chunks):
+    df = spark.createDataFrame(AWKWARD[case], "k string, x double, i long")
+    w = Window.partitionBy("k").orderBy("x", "i")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("k", "i", F.lag("i").over(w).alias("lag"), F.lead("i").over(w).alias("lead"), F.row_number().over(w).cast("long").alias("n"), F.sum("i").over(run).alias("s"))
+    got = O.over_order(df, ["k"], ["x", "i"], O.lag("lag", F.col("i")), O.lead("lead", F.col("i")), O.rank("n"), O.running_sum("s", F.col("i")), chunks=chunks)
+    assert rows(got.select(*want.columns)) == rows(want)
+
+
+def test_string_order(spark):
+    df = spark.createDataFrame([("a", f"{(i * 37) % 211}x", i) for i in range(400)], "k string, x string, i long")
+    want = df.select("k", "i", F.row_number().over(Window.partitionBy("k").orderBy("x", "i")).cast("long").alias("n"))
+    assert rows(O.over_order(df, ["k"], ["x", "i"], O.rank("n"), chunks=9).select("k", "i", "n")) == rows(want)
+
+
+def test_quantiles_do_not_depend_on_the_number_of_chunks(spark):
+    values = [float(i) for i in range(3000)] + [float("nan"), float("inf")]
+    df = spark.createDataFrame([(None, v) for v in values], "k string, x double")
+    assert [rows(O.exact_quantiles(df, ["k"], "x", {"p50": 0.5}, c)) for c in (1, 13)] == [[(None, 3002, 1500.5)]] * 2
 
 
 def test_trailing_count(skewed):
     w = Window.partitionBy("k").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-600_000_000, 0)
     want = skewed.select("k", "ts", F.count("*").over(w).alias("n")).distinct()
-    got = O.trailing_count(skewed, ["k"], "ts", "10 MINUTES", "n", rows_per_chunk=100).select("k", "ts", "n")
+    got = O.trailing_count(skewed, ["k"], "ts", "10 MINUTES", "n", chunks=30).select("k", "ts", "n")
     assert rows(got) == rows(want)
 
 
 def test_exact_quantiles(skewed):
-    got = {r["k"]: r for r in O.exact_quantiles(skewed, ["k"], "x", {"p50": 0.5, "p95": 0.95}, 100).collect()}
+    got = {r["k"]: r for r in O.exact_quantiles(skewed, ["k"], "x", {"p50": 0.5, "p95": 0.95}, 30).collect()}
     for k, g in skewed.toPandas().groupby("k"):
         assert got[k]["p50"] == pytest.approx(g["x"].quantile(0.5))
         assert got[k]["p95"] == pytest.approx(g["x"].quantile(0.95))
@@ -100,11 +135,11 @@ def sequential(pdf, table, initial="planning"):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk", [60, 1_000_000])
-def test_fold_matches_sequential(spark, chunk):
+@pytest.mark.parametrize("chunks", [60, 1, None])
+def test_fold_matches_sequential(spark, chunks):
     pdf = commands(spark)
     df = spark.createDataFrame(pdf, "slug string, seq long, cmd string, want string, ts timestamp_ntz")
-    got = history.fold(df, expected="want", rows_per_chunk=chunk).repartition(7)
+    got = history.fold(df, expected="want", chunks=chunks).repartition(7)
     got = sorted(map(tuple, got.select("slug", "seq", "from_status", "to_status", "outcome").collect()))
     assert got == sequential(pdf, history.TASK_TRANSITIONS)
     # terminal states are never left
@@ -119,7 +154,7 @@ def test_fold_continues_from_given_state(spark):
     full = history.fold(spark.createDataFrame(pdf, schema))
     early = history.fold(spark.createDataFrame(pdf[pdf.ts <= half], schema))
     start = history.task_states(early).select("slug", "status")
-    late = history.fold(spark.createDataFrame(pdf[pdf.ts > half], schema), start=start, rows_per_chunk=60)
+    late = history.fold(spark.createDataFrame(pdf[pdf.ts > half], schema), start=start, chunks=60)
     keep = ["slug", "seq", "to_status", "outcome"]
     assert rows(early.unionByName(late).select(*keep)) == rows(full.select(*keep))
 
@@ -137,6 +172,6 @@ def test_fold_on_many_files(spark, tmp_path):
     df.write.parquet(str(tmp_path / "c"))
     df = spark.read.parquet(str(tmp_path / "c"))
     want = sequential(df.toPandas(), history.TASK_TRANSITIONS)
-    for chunk in (1_000_000, 5_000):
-        got = history.fold(df, rows_per_chunk=chunk).select("slug", "seq", "from_status", "to_status", "outcome")
+    for chunks in (None, 24):
+        got = history.fold(df, chunks=chunks).select("slug", "seq", "from_status", "to_status", "outcome")
         assert sorted(map(tuple, got.collect())) == want

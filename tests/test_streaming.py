@@ -29,10 +29,10 @@ def feed(spark, df, parts=3, column="ts"):
     return open_stream(spark, folder, files_per_trigger=1)
 
 
-@pytest.mark.parametrize("every,chunk", [(20, 1_000_000), (2, 30)])
-def test_live_task_state_equals_fold(spark, sf, every, chunk):
+@pytest.mark.parametrize("every,chunks", [(20, None), (2, 30)])
+def test_live_task_state_equals_fold(spark, sf, every, chunks):
     commands = standin(spark, sf, "task_commands").select("slug", "seq", "ts", "cmd")
-    live = state.stream_task_state(feed(spark, commands, 4), compact_every=every, rows_per_chunk=chunk)
+    live = state.stream_task_state(feed(spark, commands, 4), compact_every=every, chunks=chunks)
     want = history.fold(commands)
     keep = ["slug", "seq", "from_status", "to_status", "outcome"]
     assert rows(live.outcomes(spark).select(*keep)) == rows(want.select(*keep))
