@@ -37,6 +37,33 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def fence_lines(text: Column, line_list: Column) -> Column:
+    """Places (from 0) of the lines that open or close fenced code.
+
+    A fence is closed by the same sign, at least as long and with nothing after it; other fence lines inside are
+    code. One of backticks opens only without a backtick behind it. An open fence runs to the end.
+    """
+    found = F.filter(
+        F.transform(
+            line_list,
+            lambda x, i: F.struct(
+                i.alias("at"), F.regexp_extract(x, r"^ {0,3}(`{3,}|~{3,})", 1).alias("sign"),
+                x.rlike(r"^ {0,3}(`{3,}|~{3,})[ \t]*$").alias("bare"), x.rlike(r"^ {0,3}(`{3,}[^`]*|~{3,}.*)$").alias("opens"),
+            ),
+        ),
+        lambda f: f["sign"] != "",
+    )
+
+    def step(acc: Column, f: Column) -> Column:
+        counts = F.when(acc["sign"] == "", f["opens"]).otherwise(f["bare"] & f["sign"].startswith(acc["sign"]))
+        sign = F.when(acc["sign"] == "", f["sign"]).otherwise("")
+        return F.when(counts, F.struct(sign.alias("sign"), F.concat(acc["at"], F.array(f["at"])).alias("at"))).otherwise(acc)
+
+    start = F.struct(F.lit("").alias("sign"), F.array().cast("array<int>").alias("at"))
+    some = text.contains("```") | text.contains("~~~")
+    return F.when(some, F.aggregate(found, start, step)["at"]).otherwise(F.array().cast("array<int>"))
+
+
 def marked_lines(
     docs: DataFrame, extra: Column | None = None, context: int | None = None, levels: bool = False
 ) -> DataFrame:
@@ -46,8 +73,9 @@ def marked_lines(
     also the latest heading of each level (``h1`` .. ``h6``). With
     ``context`` each extra line carries the lines around it, cut at the ends of the file.
     """
-    arr = docs.filter("text IS NOT NULL").select("path", line_array(F.col("text")).alias("_ls"))
-    rows = arr.select("path", F.size("_ls").alias("n_lines"), "_ls", F.posexplode_outer("_ls").alias("_i", "line_text"))
+    arr = docs.filter("text IS NOT NULL").select("path", "text", line_array(F.col("text")).alias("_ls"))
+    arr = arr.select("path", "_ls", fence_lines(F.col("text"), F.col("_ls")).alias("_fences"))
+    rows = arr.select("path", F.size("_ls").alias("n_lines"), "_ls", "_fences", F.posexplode_outer("_ls").alias("_i", "line_text"))
     t, i = F.col("line_text"), F.col("_i")
     want = F.coalesce(extra, F.lit(False)) if extra is not None else F.lit(False)
     around = []
@@ -57,7 +85,8 @@ def marked_lines(
         near = F.transform(near, lambda x, k: F.struct((start + k).alias("line"), x.alias("text")))
         around = [F.when(want, near).alias("context")]
     rows = rows.filter(t.rlike(MARK) | want).select(
-        "path", "n_lines", (i + 1).alias("line"), "line_text", t.rlike(FENCE).alias("_fence"),
+        "path", "n_lines", (i + 1).alias("line"), "line_text",
+        (t.rlike(FENCE) & F.array_contains("_fences", i)).alias("_fence"), t.rlike(FENCE).alias("_like"),
         t.rlike(HEADING).alias("_head"), t.rlike(ITEM).alias("_item"), (F.trim(t) == NONE_LINE).alias("_none"),
         want.alias("is_extra"), *around,
     )
@@ -69,12 +98,12 @@ def marked_lines(
     is_heading = F.col("_head") & prose
     level = F.when(is_heading, F.length(F.regexp_extract("line_text", "^(#{1,6})", 1)))
     title = F.when(is_heading, F.trim(F.regexp_extract("line_text", r"^#{1,6}[ \t]+(.*)$", 1)))
-    rows = rows.filter("NOT _fence").withColumns(
+    rows = rows.filter("NOT _fence AND (NOT _like OR is_extra)").withColumns(
         {
             "level": level, "title": title, "is_heading": is_heading,
             "is_item": F.col("_item") & prose, "is_none": F.col("_none") & prose,
         }
-    ).drop("_fence", "_head", "_item", "_none")
+    ).drop("_fence", "_like", "_head", "_item", "_none")
     latest = lambda cond: F.last(F.when(cond, F.struct("line", "title")), ignorenulls=True).over(upto)
     heads = {"section": latest(F.col("is_heading"))}
     if levels:

@@ -171,7 +171,7 @@ def ingest_boards(spark, docs):
 @query(
     "ingest_task_docs", "task_files",
     sql=r"""SELECT path, nullif(regexp_extract(text, '^# ([^\n]*)', 1), '') AS title,
-      CASE WHEN text LIKE '# %' THEN trim(split_part(text, chr(10), 3)) ELSE '' END AS description,
+      CASE WHEN text LIKE '# %' THEN regexp_replace(split_part(substr(text, strpos(text, chr(10)) + 1), chr(10) || '## ', 1), '^\s+|\s+$', '', 'g') ELSE '' END AS description,
       CASE WHEN text LIKE '%- other%' THEN regexp_extract(text, '- (t\d+)', 1) || ',other' ELSE '' END AS depends_on,
       CASE WHEN text LIKE '%Did %' THEN regexp_extract(text, '(Did [^\n]*)', 1) ELSE '' END AS summary,
       CASE WHEN text NOT LIKE '# %' THEN 'missing title' WHEN text NOT LIKE '%## Dependencies%' THEN 'missing Dependencies section'

@@ -555,3 +555,13 @@ def test_paths_with_plus_signs_and_slugs_with_umlauts(spark, tmp_path):
     (tmp_path / "a.b" / "x+y z" / "README.md").write_text("# T\n")
     assert [r.path for r in scan_spec_corpus(spark, str(tmp_path / "a.b")).collect()] == ["x+y z/README.md"]
     assert spark.range(1).select(heading_slug(F.lit("Größe & Maß"))).first()[0] == "größe--maß"
+
+
+def test_fences_close_with_their_own_sign(spark):
+    text = "\n".join([
+        "# A", "````", "```", "# inner", "```", "````", "~~~ text", "```", "# also inner", "~~~", "# B", "``` x ``` # C", "## C",
+        "```", "~~~", "# no", "``` not closed", "# neither",
+    ])
+    docs = spark.createDataFrame([("p", text), ("q", "~~~\n# in"), ("r", "# out\n```\n```\n# out 2")], "path string, text string")
+    got = extract.sections(docs).orderBy("path", "start_line").collect()
+    assert [(r["path"], r["title"]) for r in got] == [("p", "A"), ("p", "B"), ("p", "C"), ("r", "out"), ("r", "out 2")]
