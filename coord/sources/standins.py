@@ -385,7 +385,7 @@ SELECT event_id, event_type AS type, concat(props, repeat('x', CAST(event_id % 1
 SELECT CASE n_regionkey WHEN 0 THEN 'signup' WHEN 1 THEN 'view' WHEN 2 THEN 'click' WHEN 3 THEN 'error' ELSE 'other' END AS type, n_name AS recipient FROM nation
 """,
     "chat_activity": """
-SELECT user_id % 40 AS chat_id, ts FROM events
+SELECT user_id AS chat_id, ts FROM events
 """,
     "decision_events": """
 SELECT concat('d', CAST(c_custkey AS STRING)) AS decision, TIMESTAMP '1992-01-01 00:00:00' AS ts, CAST(NULL AS STRING) AS who,
