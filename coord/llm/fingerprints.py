@@ -114,16 +114,12 @@ def with_next(docs: DataFrame, rows_per_range: int = 5_000) -> DataFrame:
 
 
 def _range_of(place: Column, bounds: Column, n: int) -> Column:
-    """Number of bounds at or below the place, by halving."""
+    """Number of bounds at or below the place, by halving: one fold over the step widths, whatever their number."""
     if n == 0:
         return F.lit(0)
-    step = 1 << (n.bit_length() - 1)
-    at = F.lit(0)
-    while step:
-        ahead = at + step
-        at = F.when((ahead <= n) & (F.get(bounds, F.least(ahead, F.lit(n)) - 1) <= place), ahead).otherwise(at)
-        step >>= 1
-    return at
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    onward = lambda at, step: (at + step <= n) & (F.get(bounds, F.least(at + step, F.lit(n)) - 1) <= place)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(onward(at, step), at + step).otherwise(at))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
