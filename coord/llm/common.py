@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coord.streaming.io import run_folder
@@ -12,7 +12,7 @@ from coord.streaming.io import run_folder
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"  # \x20 \x09-\x0D
 
-__all__ = ["BLANKS", "components", "cut_lineage", "fold_of", "lower_ascii", "run_folder", "table", "text_of", "union_all"]
+__all__ = ["BLANKS", "components", "cut_lineage", "fold_of", "lower_ascii", "run_folder", "smallest_hashes", "table", "text_of", "union_all"]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -48,6 +48,27 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def smallest_hashes(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """At most ``per_label`` rows of each label from distinct (doc_id, label): those with the smallest hashes of their ids.
+
+    The number of rows of a label tells below which hash about ``per_label`` of them lie (with six standard
+    deviations to spare), so the task that ranks a label reads about that many, however many there are. One
+    number per label reaches the driver.
+    """
+    rows = cut_lineage(rows.select("doc_id", label))
+    enough = per_label + 6 * per_label**0.5 + 20
+    below = []
+    for r in rows.groupBy(label).count().collect():
+        top = int(2**64 * enough / r["count"]) - 2**63
+        below += [F.lit(r[label]), F.lit(min(top, 2**63 - 1))]
+    if not below:
+        return rows
+    h = F.xxhash64("doc_id")
+    near = rows.where(h <= F.element_at(F.create_map(*below), F.col(label)))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(h, "doc_id"))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= per_label).drop("_rank")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edges: root is the smallest node reachable from it.
 

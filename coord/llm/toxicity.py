@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coord.llm.common import fold_of
+from coord.llm.common import fold_of, smallest_hashes
 
 FOLDS = 5
 SAMPLE_PER_LABEL = 1_200  # labelled documents of each kind that the network is trained on
@@ -213,15 +213,15 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, per_label: int = SAMPLE_PER_LABEL, chars: int = SAMPLE_CHARS) -> Network | None:
     """A network trained on at most ``per_label`` documents of each label, of at most ``chars`` characters.
 
-    Only documents whose fold is not 0 are used, those with the smallest hashes of their ids. None if a label
-    is missing there.
+    Only documents whose fold is not 0 are used, those with the smallest hashes of their ids. They are chosen
+    by id alone, then their texts (one for each id) are fetched: at most two times ``per_label`` ids are
+    broadcast and as many texts reach the driver. None if a label is missing there.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     short = docs.where((F.length("text") <= chars) & (F.length("text") > 0)).select("doc_id", "text")
-    picked = []
-    for label in (0, 1):
-        joined = short.join(known.where(F.col("toxic") == label), "doc_id")
-        picked += joined.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic").limit(per_label).collect()
+    chosen = smallest_hashes(short.select("doc_id").distinct().join(known, "doc_id"), "toxic", per_label)
+    met = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    picked = sorted(met.select("toxic", F.xxhash64("doc_id").alias("h"), "doc_id", "text").collect())
     toxic = np.array([r["toxic"] for r in picked], np.float32)
     if not len(picked) or toxic.min() == toxic.max():
         return None
