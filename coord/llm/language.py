@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coord.llm.common import fold_of
+from coord.llm.common import fold_of, smallest_hashes
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE_PER_LANG = 400  # documents per language that its prototype is bundled from
@@ -104,12 +104,14 @@ class Profiles:
 def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CHARS) -> Profiles | None:
     """Prototypes from at most ``per_lang`` documents per language, outside the held-out fold, of at most ``chars`` characters.
 
-    The documents with the smallest hashes of their ids are taken; the tasks bundle them and only one sum per
-    batch and language comes back. None without any.
+    The documents with the smallest hashes of their ids are chosen by id alone (rows without an id are not),
+    then their texts, one for each id, are fetched; at most ``per_lang`` ids per language are broadcast. The
+    tasks bundle the texts and only one sum per batch and language comes back. None without any.
     """
-    rows = docs.where(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & (F.length("text") <= chars)).select("doc_id", "lang", "text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    sample = rows.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("lang", "text")
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") <= chars)).select("doc_id", "lang", "text")
+    rows = rows.where(F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
+    chosen = smallest_hashes(rows.select("doc_id", "lang").distinct(), "lang", per_lang)
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space = Space()

@@ -6,9 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coord.llm import decontam, fingerprints, html_text, language, licenses, line_dedup, mixing, ngram_join, pii, toxicity
-from coord.llm.common import components
+from coord.llm.common import components, smallest_hashes
 
 LONG = "  This line is long enough to be counted as shared by all.\t"
 
@@ -229,6 +230,17 @@ def test_revealing_terms(docs_of, rows_of):
     assert pii.find(docs_of([])).count() == 0
 
 
+def test_sample_of_smallest_hashes(spark):
+    rows = spark.range(5_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "rare").otherwise("often").alias("lang"))
+    got = {(r["lang"], r["doc_id"]) for r in smallest_hashes(rows, "lang", 60).collect()}
+    order = [(r["lang"], r["doc_id"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    want = {x for lang in ("rare", "often") for x in [o for o in order if o[0] == lang][:60]}
+    assert got == want and len(got) == 120
+    assert smallest_hashes(rows.where("false"), "lang", 60).count() == 0
+    few = {r["doc_id"] for r in smallest_hashes(rows.where("doc_id in (0, 50, 1)"), "lang", 60).collect()}
+    assert few == {0, 1, 50}
+
+
 def test_language_profiles(docs_of):
     r = random.Random(4)
     syl = {"xx": ["ka", "to", "ri"], "yy": ["blu", "gen", "osk"]}
