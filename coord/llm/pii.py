@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,10 +15,10 @@ from coord.llm.common import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-CONTEXT_WORDS = 6  # words on each side of a mention that count as its context
-MIN_CONTEXTS = 3  # different contexts in which a term must stand beside an entity
+UNSEEN = 0.5  # documents in which a term is taken to stand without the entity, beyond those counted
 GENERALISE, REMOVE = 0.8, 0.95  # disclosure from which a term is generalised, removed
-MAX_TERM = 64  # longer words are no terms
+MAX_TERM = 64  # longer terms are known by their digest
+HELD_TERMS, HELD_PLACES = 200_000, 100_000  # terms and places a task holds before it passes them on
 #: Characters and patterns of the kinds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -91,109 +92,121 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def contexts(text: str, spans: list[Span]) -> Iterator[tuple[str, bytes, str, int, int, int]]:
-    """(kind, hash of the entity, term, start, end, hash of the context) for the words around each mention.
+def term_of(word: str) -> str:
+    """The term a word is counted as: in small letters; a long one by its digest, which no word can be."""
+    low = word.lower()
+    return low if len(low) <= MAX_TERM else "#" + xxhash.xxh128_hexdigest(low.encode("utf-8", "surrogatepass"))
 
-    A context is the words beside a mention, outside all mentions; equal contexts of an entity count once.
-    """
-    covered = sorted((a, b) for _, a, b in spans)
-    merged: list[list[int]] = []
-    for a, b in covered:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    reach = CONTEXT_WORDS * (MAX_TERM + 16)
-    for kind, a, b in spans:
-        before = [(m[0], m.start(), m.end()) for m in WORD.finditer(text, max(0, a - reach), a)][-CONTEXT_WORDS:]
-        after = []
-        for m in WORD.finditer(text, b, min(len(text), b + reach)):
-            after.append((m[0], m.start(), m.end()))
-            if len(after) == CONTEXT_WORDS:
-                break
-        words = [w for w in before + after if len(w[0]) <= MAX_TERM and not any(x < w[2] and w[1] < y for x, y in _near(merged, w[1], w[2]))]
-        about = xxhash.xxh64_intdigest(" ".join(w[0].lower() for w in words)) - (1 << 63)
-        entity = f"{kind}:{text[a:b].lower()}"
-        for w, s, e in words:
-            yield kind, xxhash.xxh128_digest(entity), w.lower(), s, e, about
-
-
-def _near(merged: list[list[int]], a: int, b: int) -> list[list[int]]:
-    """Mentions that may touch a..b, by halving."""
-    lo, hi = 0, len(merged)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if merged[mid][1] <= a:
-            lo = mid + 1
-        else:
-            hi = mid
-    return merged[lo:lo + 1]
+
+def outside(text: str, spans: list[Span]) -> str:
+    """The text with its mentions blanked, so that places stay and no word reaches into a mention."""
+    parts, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if b > at:
+            parts += [text[at:max(a, at)], " " * (b - max(a, at))]
+            at = b
+    return "".join(parts) + text[at:]
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, base, counts of the kinds, near): base spans of every text, and the terms near them."""
+    """(doc_id, th, base, counts of the kinds, entities, places, counted) from one pass over the texts.
+
+    One row for each document: its base spans, the hashes of the entities it mentions and, if there are any, the
+    places of all its words outside mentions. Rows whose ``counted`` is not null are no documents: they hold, for
+    terms, the number of documents of a task in which they stand outside mentions. Both sides cut words alike.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter[str] = Counter()
+
+        def counts() -> pd.DataFrame:
+            terms = [{"term": t, "n": n} for t, n in held.items()]
+            held.clear()
+            return pd.DataFrame({"doc_id": pd.Series([None], dtype=object), "th": 0, "base": "", **{f"n_{k}": 0 for k in KINDS}, "entities": [[]], "places": [[]], "counted": [terms]})
+
         for pdf in batches:
-            base, near, counts = [], [], {k: [] for k in KINDS}
-            for text in pdf["text"]:
-                spans = base_spans(text or "")
-                base.append(joined(spans))
-                for k in KINDS:
-                    counts[k].append(sum(s[0] == k for s in spans))
-                near.append([dict(zip(("kind", "entity", "term", "s", "e", "about"), c)) for c in contexts(text or "", spans)] if spans else [])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "base": base, **{f"n_{k}": v for k, v in counts.items()}, "near": near})
+            start, words, out = 0, 0, []
+            for at, text in enumerate(pdf["text"], 1):
+                text = text or ""
+                spans = base_spans(text)
+                rest = outside(text, spans) if spans else text
+                held.update({term_of(w) for w in set(WORD.findall(rest))})
+                entities = list({xxhash.xxh128_digest(f"{k}:{text[a:b].lower()}") for k, a, b in spans})
+                places = [{"term": term_of(m[0]), "s": m.start(), "e": m.end()} for m in WORD.finditer(rest)] if spans else []
+                out.append((joined(spans), *(sum(s[0] == k for s in spans) for k in KINDS), entities, places))
+                words += len(places)
+                if words >= HELD_PLACES or at == len(pdf):
+                    made = pd.DataFrame(out, columns=["base", *(f"n_{k}" for k in KINDS), "entities", "places"])
+                    yield pd.concat([pdf[["doc_id", "th"]].iloc[start:at].reset_index(drop=True), made], axis=1).assign(counted=None)
+                    start, words, out = at, 0, []
+                if len(held) >= HELD_TERMS:
+                    yield counts()
+        if held:
+            yield counts()
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, th long, base string, n_email long, n_ip long, n_card long, n_phone long, near array<struct<kind:string,entity:binary,term:string,s:int,e:int,about:long>>")
+    return rows.mapInPandas(run, f"doc_id {kind}, th long, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<binary>, places array<struct<term:string,s:int,e:int>>, counted array<struct<term:string,n:long>>")
 
 
-def disclosures(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def pairs_of(found: DataFrame) -> DataFrame:
+    """(doc_id, th, entity, term) for every entity of a document and every term anywhere in it."""
+    own = found.where(F.col("counted").isNull() & (F.size("entities") > 0))
+    terms = own.select("doc_id", "th", "entities", F.explode(F.array_distinct(F.col("places.term"))).alias("term"))
+    return terms.select("doc_id", "th", F.explode("entities").alias("entity"), "term")
+
+
+def disclosures(found: DataFrame) -> DataFrame:
     """(entity, term, disclosure): how much of what identifies an entity its terms give away, from the whole corpus.
 
-    With the corpus in documents, a term t tells log2(p(e, t) / (p(e) p(t))) bits about an entity e, of the
-    -log2 p(e) bits that single it out; disclosure is the quotient, 1 when t stands only where e does. Only
-    pairs seen in ``min_contexts`` different contexts count, so copies and words seen once prove nothing.
-    Document frequencies are counted for the terms of such pairs only, over all documents.
+    A term t tells log2(p(e | t) / p(e)) bits about an entity e, of the -log2 p(e) bits that single it out;
+    disclosure is the quotient, of every pair that shares a document. All counts are of documents (rows, so ids
+    play no part), exact, and of words cut by one rule. p(e | t) is estimated low: documents with both, over
+    those with t and ``UNSEEN`` more. So a term seen in one document discloses less of its entity than one that
+    stands with it again and again, the less the more often the entity is met without it. An entity that
+    every document holds has nothing left to disclose.
     """
-    near = found.select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.entity", "x.term", "x.about")
-    per_doc = near.select("entity", "term", "about", "doc_id", "th").distinct()
-    pairs = per_doc.groupBy("entity", "term").agg(F.approx_count_distinct("about", 0.02).alias("contexts"), F.count_distinct("doc_id", "th").alias("both"))
-    pairs = cut_lineage(pairs.where(F.col("contexts") >= min_contexts))
-    entities = near.select("entity", "doc_id", "th").distinct().groupBy("entity").agg(F.count("*").alias("with_e"))
-    terms = pairs.select("term").distinct()
-    if terms.isEmpty():
-        with_t = terms.select("term", F.lit(1).cast("long").alias("with_t"))
-    else:
-        words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
-        with_t = docs.select(F.explode(words).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("with_t"))
-    n = docs.count()
-    told = pairs.join(entities, "entity").join(with_t, "term")
-    bits = F.log2(F.col("both") * F.lit(float(n)) / (F.col("with_e") * F.greatest("with_t", "both")))
-    return told.select("entity", "term", (bits / F.log2(F.lit(float(n)) / F.col("with_e"))).alias("disclosure")).where("disclosure is not null")
-
-
-def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+    documents = found.where(F.col("counted").isNull())
+    both = pairs_of(found).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    with_e = documents.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_e"))
+    with_t = found.select(F.explode("counted").alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("with_t"))
+    n = F.lit(float(documents.count()))
+    told = both.join(with_t, "term").join(with_e.where(F.col("with_e") < n), "entity")
+    bits = F.log2(F.col("both") * n / ((F.col("with_t") + UNSEEN) * F.col("with_e")))
+    return told.select("entity", "term", (bits / F.log2(n / F.col("with_e"))).alias("disclosure"))
+
+
+def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, th, base, n_email, n_ip, n_card, n_phone, added) for every document.
 
-    ``added`` lists (start, end, action) of the terms beside a mention whose disclosure of that entity reaches a
-    threshold: from ``generalise`` on they are generalised, from ``remove`` on removed.
+    ``added`` lists (start, end, action) of all places, anywhere in a document, of the terms whose disclosure of
+    an entity that the document mentions reaches a threshold: from ``generalise`` on they are generalised, from
+    ``remove`` on removed.
 
-    Every text is read once; what follows runs on mentions and the few words around them. Pairs of entity and
-    term are counted before they are shuffled, and joined on both, so an entity in a third of all documents
-    is split like its terms. Null text is empty: no spans. Repeated rows are found apart and alike. An empty
-    table gives no rows. Other columns are ignored.
+    Every text is read once; what follows runs on the documents with mentions. Pairs of entity and term are
+    counted before they are shuffled, and joined on both, so an entity in a third of all documents is split
+    like its terms; there are as many as a document has entities times distinct words. Null text is empty: no
+    spans. Repeated rows are found apart and alike. An empty table gives no rows. Other columns are ignored.
     """
+    @F.pandas_udf("array<struct<s:int,e:int,action:string>>")
+    def placed(places: pd.Series, hits: pd.Series) -> pd.Series:
+        out = []
+        for own, found in zip(places, hits):
+            action = {x["term"]: x["action"] for x in found}
+            out.append([{"s": x["s"], "e": x["e"], "action": action[x["term"]]} for x in own if x["term"] in action])
+        return pd.Series(out)
+
     found = cut_lineage(mentions(docs))
-    strong = disclosures(found, docs, min_contexts).where(F.col("disclosure") >= generalise)
-    near = found.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.entity", "x.term", "x.s", "x.e")
-    hit = near.join(strong, ["entity", "term"]).groupBy("doc_id", "th", "s", "e").agg(F.max("disclosure").alias("d"))
+    strong = cut_lineage(disclosures(found).where(F.col("disclosure") >= generalise))
+    hit = pairs_of(found).join(strong, ["entity", "term"]).groupBy("doc_id", "th", "term").agg(F.max("disclosure").alias("d"))
     action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
-    added = hit.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("s", "e", action.alias("action")))).alias("added"))
-    a, b = found.drop("near").alias("a"), added.alias("b")
+    hits = hit.groupBy("doc_id", "th").agg(F.collect_list(F.struct("term", action.alias("action"))).alias("hits"))
+    documents = found.where(F.col("counted").isNull()).drop("counted")
+    a, b = documents.where(F.size("entities") > 0).alias("a"), hits.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))
     none = F.array().cast("array<struct<s:int,e:int,action:string>>")
-    return a.join(b, same, "left").select("a.*", F.coalesce("b.added", none).alias("added"))
+    met = a.join(b, same, "left").select("a.*", F.when(F.col("hits").isNull(), none).otherwise(placed("places", F.coalesce("hits", F.array().cast("array<struct<term:string,action:string>>")))).alias("added"))
+    rest = documents.where(F.size("entities") == 0).withColumn("added", none)
+    return met.unionByName(rest).drop("entities", "places")
 
 
 def all_spans() -> Column:

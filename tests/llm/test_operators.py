@@ -230,6 +230,36 @@ def test_revealing_terms(docs_of, rows_of):
     assert pii.find(docs_of([])).count() == 0
 
 
+def test_revealing_terms_anywhere_in_the_document(docs_of):
+    far = " ".join(["plain"] * 30)
+    rows = [(i, f"zorblax {far} boss@firm.example {far} Zorblax quendri") for i in range(4)]
+    rows += [(10, f"once@firm.example {far} hapaxen"), (11, f"spread {far} twice@firm.example"), (None, f"anon@firm.example {far} vexilon")]
+    rows += [(100 + i, f"{far} spread") for i in range(60)]
+    got = {x.doc_id: x for x in pii.find(docs_of(rows)).collect()}
+    marked = {i: [(t[x.s:x.e], x.action) for x in got[i].added] for i, t in rows}
+    for i in range(4):  # sixty words away, beside no mention, and at every place
+        assert marked[i] == [("zorblax", "remove"), ("Zorblax", "remove"), ("quendri", "remove")]
+    assert marked[10] == [("hapaxen", "generalise")] and marked[None] == [("vexilon", "generalise")]  # entities of one document, ids or none
+    assert not marked[11] and not any(marked[100 + i] for i in range(60))
+    clean = {x.doc_id: x.clean_text for x in pii.sanitised(docs_of(rows)).collect()}
+    assert "orblax" not in clean[0] and clean[10] == f"[EMAIL] {far} [TERM]"
+
+
+def test_disclosure_is_exact(docs_of):
+    r = random.Random(8)
+    names = ["alpha", "beta", "gamma", "delta", "omega²x", "straße", "longword" * 12]
+    rows = [(r.choice([i, None]), " ".join([*r.sample(names, 3), *r.sample([f"p{k}@x.example" for k in "abc"], r.randrange(3))])) for i in range(40)] + [(None, "alpha pa@x.example")] * 2 + [(50, "every")]
+    sets = [({m for m in re.findall(r"p\w@x\.example", t)}, set(re.findall(r"[^\W\d_]{2,}", re.sub(r"\S+@\S+", " ", t)))) for _, t in rows]
+    want, n = [], len(rows)
+    for e in {e for es, _ in sets for e in es}:
+        for t in {t for es, ts in sets if e in es for t in ts}:
+            both, with_e, with_t = sum(e in es and t in ts for es, ts in sets), sum(e in es for es, _ in sets), sum(t in ts for _, ts in sets)
+            want.append(np.log2(both * n / ((with_t + pii.UNSEEN) * with_e)) / np.log2(n / with_e))
+    got = [x.disclosure for x in pii.disclosures(pii.mentions(docs_of(rows))).collect()]
+    assert np.allclose(sorted(got), sorted(want))
+    assert pii.find(docs_of([(1, "all@x.example word")] * 3)).count() == 3  # an entity of every document
+
+
 def test_sample_of_smallest_hashes(spark):
     rows = spark.range(5_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "rare").otherwise("often").alias("lang"))
     got = {(r["lang"], r["doc_id"]) for r in smallest_hashes(rows, "lang", 60).collect()}
