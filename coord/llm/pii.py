@@ -148,15 +148,25 @@ def mentions(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"doc_id {kind}, th long, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<binary>, places array<struct<term:string,s:int,e:int>>, counted array<struct<term:string,n:long>>")
 
 
-def pairs_of(found: DataFrame) -> DataFrame:
-    """(doc_id, th, entity, term) for every entity of a document and every term anywhere in it."""
-    own = found.where(F.col("counted").isNull() & (F.size("entities") > 0))
+def pairs_of(found: DataFrame, least: float = 0.0) -> DataFrame:
+    """(doc_id, th, entity, term, with_t) for every entity of a document and every term anywhere in it that may disclose ``least``.
+
+    No pair has more documents than its entity, so a term in more than m**least * n**(1 - least) documents, with m
+    those of the most frequent entity and n all of them, is below ``least`` with every entity. Such
+    terms go before entities and terms are paired; nothing else is left out. ``with_t`` counts the term's documents.
+    """
+    documents = found.where(F.col("counted").isNull())
+    with_t = found.select(F.explode("counted").alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("with_t"))
+    if least > 0:
+        most = documents.select(F.explode("entities").alias("entity")).groupBy("entity").count().agg(F.max("count")).first()[0] or 0
+        with_t = with_t.where(F.col("with_t") + UNSEEN <= most**least * documents.count() ** (1 - least) * (1 + 1e-9))
+    own = documents.where(F.size("entities") > 0)
     terms = own.select("doc_id", "th", "entities", F.explode(F.array_distinct(F.col("places.term"))).alias("term"))
-    return terms.select("doc_id", "th", F.explode("entities").alias("entity"), "term")
+    return terms.join(with_t, "term").select("doc_id", "th", F.explode("entities").alias("entity"), "term", "with_t")
 
 
-def disclosures(found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure): how much of what identifies an entity its terms give away, from the whole corpus.
+def disclosures(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(entity, term, disclosure) of ``pairs_of``: how much of what identifies an entity its terms give away, from the whole corpus.
 
     A term t tells log2(p(e | t) / p(e)) bits about an entity e, of the -log2 p(e) bits that single it out;
     disclosure is the quotient, of every pair that shares a document. All counts are of documents (rows, so ids
@@ -166,11 +176,10 @@ def disclosures(found: DataFrame) -> DataFrame:
     every document holds has nothing left to disclose.
     """
     documents = found.where(F.col("counted").isNull())
-    both = pairs_of(found).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("with_t").alias("with_t"))
     with_e = documents.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_e"))
-    with_t = found.select(F.explode("counted").alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("with_t"))
     n = F.lit(float(documents.count()))
-    told = both.join(with_t, "term").join(with_e.where(F.col("with_e") < n), "entity")
+    told = both.join(with_e.where(F.col("with_e") < n), "entity")
     bits = F.log2(F.col("both") * n / ((F.col("with_t") + UNSEEN) * F.col("with_e")))
     return told.select("entity", "term", (bits / F.log2(n / F.col("with_e"))).alias("disclosure"))
 
@@ -196,8 +205,9 @@ def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE
         return pd.Series(out)
 
     found = cut_lineage(mentions(docs))
-    strong = cut_lineage(disclosures(found).where(F.col("disclosure") >= generalise))
-    hit = pairs_of(found).join(strong, ["entity", "term"]).groupBy("doc_id", "th", "term").agg(F.max("disclosure").alias("d"))
+    pairs = cut_lineage(pairs_of(found, generalise))
+    strong = cut_lineage(disclosures(found, pairs).where(F.col("disclosure") >= generalise))
+    hit = pairs.select("doc_id", "th", "entity", "term").join(strong, ["entity", "term"]).groupBy("doc_id", "th", "term").agg(F.max("disclosure").alias("d"))
     action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
     hits = hit.groupBy("doc_id", "th").agg(F.collect_list(F.struct("term", action.alias("action"))).alias("hits"))
     documents = found.where(F.col("counted").isNull()).drop("counted")
