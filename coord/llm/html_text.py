@@ -24,8 +24,9 @@ CHUNK_BLOCKS = 4_000
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = "script|style|noscript|template|svg|textarea|iframe"
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_CLOSED_SVG = r"<svg(?=[\s/>])(?:\s++|/(?!>)|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)|\"[^\"]*+\"|'[^']*+'|[^\s/>=\"']++)*+/>"  # its start tag closes it; a slash in an unquoted value does not
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    rf"<!--(?:-?>|.*?(?:-->|\Z))|{_CLOSED_SVG}|<({SKIPPED})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

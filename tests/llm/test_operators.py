@@ -318,3 +318,9 @@ def test_html_blocks_and_labels(spark):
     got = {x.page_id: x.text for x in html_text.main_text(pages, layouts=200).select("row.page_id", "text").collect()}
     assert got == {1: "Head & line\nFirst para of text. More.\nSecond para of text here.", 2: "", 3: "", 4: ""}
     assert html_text.main_text(pages.where("false"), layouts=20).count() == 0
+
+
+def test_html_elements_that_close_themselves():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    for own in ("<svg/>", "<svg />", '<svg class="i"/>', "<SVG class='a>b' viewBox=\"0 0 1 1\" />", "<svg hidden/>", "<!-->", "<!--->", "<!---->", "<!-- a > b -->", "<svg class='i'><path d='M0'/><text>No</text></svg>", "<svg width=5/>No</svg>", "<script/>No</script>", "<!--x->No-->"):
+        assert texts(f"<article>{own}<p>Whole article here.</p><p>More{own} text.</p></article>") == ["Whole article here.", "More text."], own
