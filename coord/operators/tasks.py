@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from coord.functions.status import is_terminal
 from coord.functions.text import parent_path
 from coord.operators import ordered as O
+from coord.operators.graph import reach
 from coord.schemas import TASK_FIELDS
 
 
@@ -141,7 +142,7 @@ def _derived(counts: dict[str, str]) -> Column:
 
 
 def plan_progress(plan_tasks: DataFrame, tasks: DataFrame, subtasks: DataFrame | None = None) -> DataFrame:
-    """Derived status per (plan, plan_task) from linked execution tasks and their sub-tasks.
+    """Derived status per (plan, plan_task) from linked execution tasks and their sub-tasks at every depth.
 
     Execution tasks in no plan come out with a null plan and ``unplanned`` true. ``subtasks`` has
     ``slug, parent``. Ruling where the design is silent: failed beats blocked beats in_progress.
@@ -149,7 +150,8 @@ def plan_progress(plan_tasks: DataFrame, tasks: DataFrame, subtasks: DataFrame |
     live = tasks.select("slug", "status")
     links = plan_tasks.select("plan", "plan_task", F.col("task").alias("slug")).distinct()
     if subtasks is not None:
-        below = links.join(subtasks.select(F.col("slug").alias("_sub"), F.col("parent").alias("slug")), "slug")
+        below = reach(subtasks.select(F.col("parent").alias("src"), F.col("slug").alias("dst")), links.select(F.col("slug").alias("root")))
+        below = links.join(below.select(F.col("root").alias("slug"), F.col("node").alias("_sub")), "slug")
         links = links.unionByName(below.select("plan", "plan_task", F.col("_sub").alias("slug"))).distinct()
     planned = links.join(live, "slug", "left")
     s = F.col("status")

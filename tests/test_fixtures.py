@@ -367,6 +367,14 @@ def test_plan_progress(spark):
     ]
 
 
+def test_plan_progress_counts_sub_tasks_at_every_depth(spark):
+    pt = spark.createDataFrame([("p", 1, "a"), ("p", 2, "z")], "plan string, plan_task int, task string")
+    t = spark.createDataFrame([("a", "completed"), ("b", "completed"), ("c", "completed"), ("d", "failed"), ("z", "completed"), ("u", "queued")], "slug string, status string")
+    sub = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("b", "c"), ("u", None)], "slug string, parent string")
+    got = rows(tasks.plan_progress(pt, t, sub).select("plan_task", "task", "status", "done", "linked"))
+    assert got == [(1, None, "failed", 3, 4), (2, None, "completed", 1, 1), (None, "u", "queued", 0, 1)]
+
+
 def test_paging_covers_everything(spark):
     df = spark.range(45).withColumnRenamed("id", "k")
     seen, cursor = [], None
