@@ -12,7 +12,7 @@ from coord.streaming.io import run_folder
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"  # \x20 \x09-\x0D
 
-__all__ = ["BLANKS", "components", "cut_lineage", "fold_of", "lower_ascii", "run_folder", "smallest_hashes", "table", "text_of", "union_all"]
+__all__ = ["BLANKS", "components", "cut_lineage", "fold_of", "hot_join", "lower_ascii", "run_folder", "smallest_hashes", "table", "text_of", "union_all"]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -98,3 +98,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = cut_lineage(state)
     low = state.groupBy("at").agg(F.min("node").alias("root"))
     return state.join(low, "at").select("node", "root")
+
+
+def hot_join(rows: DataFrame, found: DataFrame, key: str, share: int = 1_000) -> DataFrame:
+    """Left join of stored ``rows`` to ``found``, which has at most one row per ``key``, with hot keys split.
+
+    Keys that hold more than one in ``share`` of the rows are fewer than ``share``, whatever the data: what was
+    found for them is broadcast and their rows stay where they are. All other keys are joined by a shuffle in
+    which none is large. Null keys match nothing and are not shuffled.
+    """
+    n = rows.count()
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") * share > n).select(key)
+    near = hot.join(found, key, "left").withColumn("_hot", F.lit(True))
+    seen = rows.join(F.broadcast(near), key, "left")
+    here = F.col("_hot").isNotNull() | F.col(key).isNull()
+    far = seen.where(~here).select(*rows.columns).join(found, key, "left")
+    return seen.where(here).drop("_hot").unionByName(far)
