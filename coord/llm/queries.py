@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coord.llm import decontam, filter_audit, fingerprints, html_text, language, licenses, line_dedup, mixing, ngram_join, pii, toxicity
+from coord.llm import decontam, filter_audit, fingerprints, hamming_dedup, html_text, language, licenses, line_dedup, mixing, ngram_join, pii, toxicity
 from coord.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,9 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every filter removes in every order, per source."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_hamming_dedup")
+def op13_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every document."""
+    return hamming_dedup.near_duplicates(table(spark, sf_dir, "documents"))
