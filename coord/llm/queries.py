@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coord.llm import decontam, filter_audit, fingerprints, hamming_dedup, html_text, language, licenses, line_dedup, mixing, ngram_join, pii, toxicity
+from coord.llm import conversation_repair, decontam, filter_audit, fingerprints, hamming_dedup, html_text, language, licenses, line_dedup, mixing, ngram_join, pii, toxicity
 from coord.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,62 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-duplicates of every document."""
     return hamming_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _repair_sql() -> str:
+    def grown(state: str, cost: str, audit: str, line: str = "''") -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{audit}', 'r': {state}.r || {line}}} END"
+
+    def least(*ways: str) -> str:
+        return f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    both = "chr(10) || 'user:' || chr(10) || 'assistant:'"
+    kept = lambda state, initial: f"CASE WHEN i = '{initial}' AND NOT gone THEN {grown(state, 'late', 'K', 'chr(10) || role || chr(58) || text')} END"
+    renamed = lambda state, role: f"CASE WHEN NOT gone THEN {grown(state, '2 + late', 'R', role + ' || text')} END"
+    gone = lambda state: grown(state, "3", "D")
+    return rf"""
+WITH RECURSIVE
+tab AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) r(i))),
+h AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+crc AS (
+  SELECT h.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(s)), lambda k: CAST(ascii(s[k + 1]) AS BIGINT))),
+                              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS how FROM h, tab),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+         unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM crc WHERE how <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM damaged),
+faulty AS (
+  SELECT *, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+rows_ AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS late FROM faulty),
+step(conv_id, pos, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {{'c': 0, 'a': '', 'r': ''}}, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, r VARCHAR)),
+         CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, r VARCHAR)), CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, r VARCHAR)) FROM rows_
+  UNION ALL
+  SELECT conv_id, pos, {gone('p0')}, {least(gone('p1'), kept('p0', 's'))},
+         {least(gone('p2'), *[f(p, x) for p in ('p0', 'p1', 'p3') for f, x in ((kept, 'u'), (renamed, user))])},
+         {least(gone('p3'), kept('p2', 'a'), renamed('p2', assistant))}
+  FROM (SELECT r.*, s0 AS p0, s1 AS p1, {least('s2', *[grown(x, '2', 'I', user) for x in ('s0', 's1', 's3')])} AS p2,
+               {least('s3', grown('s2', '2', 'I', assistant), *[grown(x, '4', 'II', both) for x in ('s0', 's1')])} AS p3
+        FROM step JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM step.conv_id AND r.pos = step.pos + 1)),
+sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pos > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id),
+best AS (
+  SELECT sums.*, {least('s0', grown('s1', '4', 'II', both), grown('s2', '2', 'I', assistant), 's3')} AS b
+  FROM sums JOIN step ON step.conv_id IS NOT DISTINCT FROM sums.conv_id AND step.pos = sums.n)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id"""
+
+
+@query("op12_conversation_repair", _repair_sql())
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    convs = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(convs), convs)
