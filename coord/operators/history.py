@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -42,6 +43,16 @@ class Machine:
             for s in self.states
         ]
 
+    def steps(self) -> np.ndarray:
+        """[command][guard + 2][state before] -> state after; guard -2 never matches, -1 is none."""
+        table, n = self.table(), len(self.states)
+        out = np.tile(np.arange(n), (len(self.commands) + 1, n + 2, 1))
+        for s, row in enumerate(table):
+            for c, to in enumerate(row):
+                if to >= 0:
+                    out[c, [1, s + 2], s] = to
+        return out
+
     def code(self, cmd: Column) -> Column:
         return lookup(cmd, {c: i for i, c in enumerate(self.commands)}, F.lit(len(self.commands))).cast("int")
 
@@ -71,7 +82,47 @@ RUNNERS = machine(RUNNER_TRANSITIONS, "registered")
 PROPOSALS = machine(PROPOSAL_TRANSITIONS, "draft")
 
 
-def _starts(batch: pa.RecordBatch, cols: list[str], last: tuple | None) -> list[bool]:
+def prefixes(steps: np.ndarray, new: np.ndarray, carry: np.ndarray) -> np.ndarray:
+    """Composition of the steps of a group up to and including each row; ``new`` marks the first row of a group.
+
+    A step is a vector: the state after, per state before. The rows are cut into about sqrt(n) blocks of as many
+    rows. All blocks advance together, row by row, each from the identity; then what came before a block
+    (``carry`` ahead of the first one) is put in front of its rows that no new group has cut off.
+    """
+    n, states = steps.shape
+    width = max(1, math.isqrt(n))
+    blocks = -(-n // width)
+    identity = np.arange(states)
+    steps = np.concatenate([steps, np.tile(identity, (blocks * width - n, 1))]).reshape(blocks, width, states)
+    new = np.concatenate([new, np.zeros(blocks * width - n, bool)]).reshape(blocks, width)
+    out, at = np.empty_like(steps), np.tile(identity, (blocks, 1))
+    for k in range(width):
+        at = np.take_along_axis(steps[:, k], np.where(new[:, k, None], identity, at), axis=1)
+        out[:, k] = at
+    cut = np.logical_or.accumulate(new, axis=1)
+    for b in range(blocks):
+        out[b, ~cut[b]] = out[b, ~cut[b]][:, carry]
+        carry = out[b, -1]
+    return out.reshape(-1, states)[:n]
+
+
+def walk(machine: Machine, codes: np.ndarray, wants: np.ndarray, new: np.ndarray, starts: np.ndarray, carry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(state before, state after or -1 not allowed or -2 guard failed, compositions) of each row.
+
+    ``starts`` holds, on every row, the state its group begins in; ``carry`` what the open group was composed to before.
+    """
+    table = np.array(machine.table())
+    steps = machine.steps()[np.maximum(codes, 0), wants + 2]
+    steps[codes == MARKER] = np.arange(len(machine.states))
+    carry = np.arange(len(machine.states)) if carry is None else carry
+    done = prefixes(steps, new, carry)
+    held = np.concatenate([carry[None], done[:-1]])
+    before = np.where(new, starts, held[np.arange(len(codes)), starts])
+    after = np.where((wants != -1) & (wants != before), -2, table[before, np.maximum(codes, 0)])
+    return before, after, done
+
+
+def _starts(batch: pa.RecordBatch, cols: list[str], last: tuple | None) -> np.ndarray:
     """True where a new group begins, given the group the batch before ended in."""
     n = batch.num_rows
     new = np.zeros(n, dtype=bool)
@@ -81,7 +132,7 @@ def _starts(batch: pa.RecordBatch, cols: list[str], last: tuple | None) -> list[
         same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
         new[1:] |= ~same.to_numpy(zero_copy_only=False)
     new[0] = last != _key(batch, cols, 0)
-    return new.tolist()
+    return new
 
 
 def _key(batch: pa.RecordBatch, cols: list[str], i: int) -> tuple:
@@ -115,7 +166,7 @@ def fold(
     """
     keys, order = list(keys), list(order)
     kept = commands.columns
-    table, n_states = machine.table(), len(machine.states)
+    n_states = len(machine.states)
     initial = list(machine.states).index(machine.initial)
     codes_ = {
         "_code": machine.code(F.col(cmd)), "_want": machine.state_code(F.col(expected)) if expected else F.lit(-1),
@@ -123,48 +174,34 @@ def fold(
     coded, split_keys = O.in_chunks(commands.withColumns(codes_), keys, order, chunks)
     part = [*keys, "_chunk"]
 
-    def moves(code: int, want: int) -> tuple[int, ...]:
-        return tuple(
-            s if (want != -1 and want != s) or table[s][code] < 0 else table[s][code] for s in range(n_states)
-        )
-
     def reduce_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, acc, ends = None, None, None
-        composed: dict = {}
-
-        def out(done: list[tuple[pa.RecordBatch, tuple]]) -> pa.RecordBatch:
-            keys_ = pa.Table.from_batches([r for r, _ in done]).combine_chunks().to_batches()[0]
-            fns = pa.array([list(f) for _, f in done], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([*keys_.columns, fns], [*part, "_fn"])
-
+        steps, last, open_ = machine.steps(), None, None  # open_: (key, composition) of the chunk that may go on
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            done = []
             new = _starts(batch, part, last)
-            codes, wants = (batch.column(c).to_numpy().tolist() for c in ("_code", "_want"))
-            for i in range(batch.num_rows):
-                if new[i]:
-                    if acc is not None:
-                        done.append((ends, acc))
-                    acc, ends = tuple(range(n_states)), batch.select(part).slice(i, 1)
-                step = (acc, codes[i], wants[i])
-                if step not in composed:
-                    m = moves(codes[i], wants[i])
-                    composed[step] = tuple(m[s] for s in acc)
-                acc = composed[step]
-            last = _key(batch, part, batch.num_rows - 1)
-            if done:
-                yield out(done)
-        if acc is not None:
-            yield out([(ends, acc)])
+            codes, wants = (batch.column(c).to_numpy() for c in ("_code", "_want"))
+            done = prefixes(steps[codes, wants + 2], new, open_[1] if open_ else np.arange(n_states))
+            ends = np.append(np.flatnonzero(new[1:]), n - 1)
+            if open_ and new[0]:
+                yield out(*open_)
+            if len(ends) > 1:
+                yield out(batch.select(part).take(pa.array(ends[:-1])), done[ends[:-1]])
+            last, open_ = _key(batch, part, n - 1), (batch.select(part).slice(n - 1, 1), done[-1])
+        if open_:
+            yield out(*open_)
+
+    def out(keys_: pa.RecordBatch, functions: np.ndarray) -> pa.RecordBatch:
+        fns = pa.array(list(functions.reshape(-1, n_states).astype(np.int32)), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([*keys_.columns, fns], [*part, "_fn"])
 
     def chain_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, initial
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new, begun = _starts(batch, keys, last), []
+            new, begun = _starts(batch, keys, last).tolist(), []
             fns, marks = batch.column("_fn").to_pylist(), batch.column("_begin").to_pylist()
             for i, fn in enumerate(fns):
                 if new[i]:
@@ -179,32 +216,20 @@ def fold(
             yield out.filter(pc.is_valid(batch.column("_fn")))
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, initial
+        last, state, carry = None, initial, None
         cols = [*kept, "_chunk"]
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
             new = _starts(batch, part, last)
-            codes, wants, marks = (batch.column(c).to_numpy().tolist() for c in ("_code", "_want", "_begin"))
-            before, after = [0] * n, [0] * n
-            for i, code in enumerate(codes):
-                if new[i]:
-                    state = initial
-                if code == MARKER:
-                    state = marks[i]
-                    continue
-                before[i] = state
-                if wants[i] != -1 and wants[i] != state:
-                    after[i] = -2
-                else:
-                    after[i] = table[state][code]
-                    if after[i] >= 0:
-                        state = after[i]
-            last = _key(batch, part, n - 1)
+            codes, wants, marks = (batch.column(c).to_numpy() for c in ("_code", "_want", "_begin"))
+            firsts = np.where(codes == MARKER, marks, initial)[new]  # a marker stands ahead of its chunk
+            starts = np.concatenate([[state], firsts])[np.cumsum(new)]
+            before, after, done = walk(machine, codes, wants, new, starts, carry)
+            last, state, carry = _key(batch, part, batch.num_rows - 1), starts[-1], done[-1]
             arrays = [*batch.select(cols).columns, pa.array(before, pa.int32()), pa.array(after, pa.int32())]
-            out = pa.RecordBatch.from_arrays(arrays, [*cols, "_before", "_after"])
-            yield out.filter(pc.not_equal(batch.column("_code"), MARKER))
+            rows = pa.RecordBatch.from_arrays(arrays, [*cols, "_before", "_after"])
+            yield rows.filter(pc.not_equal(batch.column("_code"), MARKER))
 
     def schema(*cols: str) -> str:
         types = {f.name: f.dataType.simpleString() for f in coded.schema}

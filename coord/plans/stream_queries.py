@@ -43,7 +43,7 @@ def stream_task_state(spark, commands):
 )
 def stream_task_current(spark, commands):
     live = state.stream_task_state(commands.select("slug", "seq", "ts", "cmd"))
-    return live.current(spark).select("slug", "status", "last_ts")
+    return _plain(live.current(spark).select("slug", "status", "last_ts"))
 
 
 def sessions_sql(table: str, key: str, gap: str, out: str, closed: bool) -> str:
@@ -130,15 +130,32 @@ def sustained_alerts(spark, requests):
     return windows.sustained(windows.error_rate(requests, []), "1 minute", "10 minutes")
 
 
+@query(
+    "stream_sustained_alerts", "requests", stream=("requests",),
+    sql=f"WITH {ALERTS_SQL}, {RUNS_SQL} SELECT * FROM runs WHERE until + INTERVAL 1 MINUTE + INTERVAL 999 MICROSECONDS <= {MARK}",
+)
+def stream_sustained_alerts(spark, requests):
+    rates = windows.error_rate(event_time(requests, DELAY), [], staged=True)
+    return _run(windows.sustained(rates, "1 minute", "10 minutes"), "sustained")
+
+
+SLOW_SQL = """SELECT 'slow' AS alert, 'all' AS subject, time_bucket(INTERVAL '1 day', ts) AS window_start, time_bucket(INTERVAL '1 day', ts) + INTERVAL 1 DAY AS window_end,
+      round(quantile_disc(latency, 0.99), 6) AS figure FROM requests GROUP BY ALL HAVING quantile_disc(latency, 0.99) > 30"""
+
+
 @query(
     "slow_windows", "requests",
-    sql="""SELECT 'slow' AS alert, 'all' AS subject, time_bucket(INTERVAL '1 day', ts) AS window_start, time_bucket(INTERVAL '1 day', ts) + INTERVAL 1 DAY AS window_end,
-      round(quantile_disc(latency, 0.99), 6) AS figure FROM requests GROUP BY ALL HAVING quantile_disc(latency, 0.99) > 30""",
+    sql=SLOW_SQL,
 )
 def slow_windows(spark, requests):
     return windows.slow_alert(requests, [], length="1 day").withColumn("figure", F.round("figure", 6))
 
 
+@query("stream_slow_windows", "requests", stream=("requests",), sql=f"SELECT * FROM ({SLOW_SQL}) WHERE window_end <= {MARK}")
+def stream_slow_windows(spark, requests):
+    return _run(windows.slow_alert(event_time(requests, DELAY), [], length="1 day").withColumn("figure", F.round("figure", 6)), "slow")
+
+
 @query("dedup_messages", "messages", sql="SELECT DISTINCT message_id FROM messages")
 def dedup_messages(spark, rows):
     return messages.dedup_messages(rows).select("message_id")
@@ -181,18 +198,53 @@ def stream_notifications(spark, notices, subscriptions):
     return _run(messages.notifications(notices, subscriptions), "notices")
 
 
-@query(
-    "stream_decision_timeouts", "decision_events",
-    sql="""WITH d AS (SELECT decision, ts AS asked, needed, ts + to_seconds(timeout_s) AS due FROM decision_events WHERE who IS NULL),
+DECISIONS_SQL = """WITH decision_events AS (SELECT * FROM decision_requests
+        UNION ALL SELECT decision, min(ts) AS ts, who, any_value(needed) AS needed, any_value(timeout_s) AS timeout_s FROM decision_answers GROUP BY decision, who),
+      d AS (SELECT decision, ts AS asked, needed, ts + to_seconds(timeout_s) AS due FROM decision_events WHERE who IS NULL),
       r AS (SELECT d.decision, e.ts, row_number() OVER (PARTITION BY d.decision ORDER BY e.ts) AS n FROM d JOIN decision_events e ON e.decision = d.decision AND e.who IS NOT NULL),
       g AS (SELECT d.decision, d.needed, d.due, max(r.ts) FILTER (r.n = d.needed) AS at_, count(r.n) FILTER (r.ts <= d.due) AS early FROM d LEFT JOIN r ON r.decision = d.decision GROUP BY ALL)
       SELECT decision, CASE WHEN at_ IS NOT NULL AND (due IS NULL OR at_ <= due) THEN 'completed' ELSE 'failed' END AS status,
         CASE WHEN at_ IS NOT NULL AND (due IS NULL OR at_ <= due) THEN at_ ELSE due END AS at_time,
         CASE WHEN at_ IS NOT NULL AND (due IS NULL OR at_ <= due) THEN needed ELSE early END AS responses FROM g
-      WHERE (at_ IS NOT NULL AND (due IS NULL OR at_ <= due)) OR due <= (SELECT max(ts) - INTERVAL 1 HOUR FROM decision_events)""",
-)
-def stream_decision_timeouts(spark, events):
-    folder = run_folder(spark, "decision-events")
-    events.write.parquet(folder)
-    out = state.decision_timeouts(event_time(open_stream(spark, folder), DELAY))
-    return _run(out, "decisions").withColumnRenamed("at", "at_time")
+      WHERE (at_ IS NOT NULL AND (due IS NULL OR at_ <= due)) OR due <= (SELECT max(ts) - INTERVAL 1 HOUR FROM decision_answers)"""
+
+
+@query("stream_decision_timeouts", "decision_requests", "decision_answers", stream=("decision_requests", "decision_answers"), sql=DECISIONS_SQL)
+def stream_decision_timeouts(spark, requests, answers):
+    with state.keyed_store(spark):
+        out = state.decision_timeouts(event_time(requests.unionByName(answers), DELAY), keep_days=3650)
+        return _run(out, "decisions").withColumnRenamed("at", "at_time")
+
+
+RUNNER_SQL = f"""WITH RECURSIVE ev AS (
+        SELECT runner, date_trunc('milliseconds', ts) AS ms, kind, session, row_number() OVER (PARTITION BY runner ORDER BY date_trunc('milliseconds', ts), seq) AS rn
+        FROM runner_events WHERE date_trunc('milliseconds', ts) < date_trunc('milliseconds', {MARK})),
+      walk AS (
+        SELECT DISTINCT runner, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS ms, '' AS cause, '' AS s0, '' AS s1, '' AS s2, '' AS s3, CAST(NULL AS TIMESTAMP) AS lost, 'registered' AS status, CAST(NULL AS TIMESTAMP) AS beat, CAST([] AS VARCHAR[]) AS open FROM ev
+        UNION ALL
+        SELECT runner, rn, ms, kind, s0, s1, s2, CASE WHEN s2 = 'draining' AND len(open) = 0 THEN 'offline' ELSE s2 END, lost,
+               CASE WHEN s2 = 'deregistered' THEN 'registered' WHEN s2 = 'draining' AND len(open) = 0 THEN 'offline' ELSE s2 END,
+               CASE WHEN s2 = 'deregistered' THEN NULL WHEN kind = 'heartbeat' AND s1 IN ('registered', 'online', 'offline') THEN ms ELSE beat END,
+               CASE WHEN s2 = 'deregistered' THEN [] ELSE open END
+        FROM (SELECT *, CASE WHEN kind = 'heartbeat' AND s1 IN ('registered', 'online', 'offline') THEN 'online' WHEN kind = 'drain' AND s1 = 'online' THEN 'draining'
+                             WHEN kind = 'deregister' AND s1 IN ('online', 'offline') THEN 'deregistered' ELSE s1 END AS s2
+              FROM (SELECT w.runner, ev.rn, ev.ms, ev.kind, w.status AS s0, CASE WHEN w.status = 'online' AND w.beat + INTERVAL 6 HOUR < ev.ms THEN 'offline' ELSE w.status END AS s1,
+                           w.beat + INTERVAL 6 HOUR AS lost, w.beat,
+                           CASE ev.kind WHEN 'session_opened' THEN list_append(list_filter(w.open, lambda x: x <> ev.session), ev.session)
+                                        WHEN 'session_closed' THEN list_filter(w.open, lambda x: x <> ev.session) ELSE w.open END AS open
+                    FROM walk w JOIN ev ON ev.runner = w.runner AND ev.rn = w.rn + 1))),
+      moves AS (
+        SELECT runner, lost AS at_time, s0 AS from_status, s1 AS to_status, 'timeout' AS cause FROM walk WHERE s0 <> s1
+        UNION ALL SELECT runner, ms, s1, s2, cause FROM walk WHERE s1 <> s2
+        UNION ALL SELECT runner, ms, s2, s3, 'sessions_closed' FROM walk WHERE s2 <> s3
+        UNION ALL SELECT runner, beat + INTERVAL 6 HOUR, 'online', 'offline', 'timeout'
+          FROM (SELECT runner, arg_max(status, rn) AS status, arg_max(beat, rn) AS beat FROM walk WHERE rn > 0 GROUP BY runner)
+          WHERE status = 'online' AND beat + INTERVAL 6 HOUR < {MARK})
+      SELECT runner, at_time, from_status, to_status, cause FROM moves"""
+
+
+@query("stream_runner_status", "runner_events", stream=("runner_events",), sql=RUNNER_SQL.replace("FROM events", "FROM runner_events"))
+def stream_runner_status(spark, events):
+    with state.keyed_store(spark):
+        out = state.runner_status(event_time(events, DELAY), timeout_s=6 * 3600)
+        return _run(out, "runners").withColumnRenamed("at", "at_time")

@@ -387,14 +387,22 @@ SELECT CASE n_regionkey WHEN 0 THEN 'signup' WHEN 1 THEN 'view' WHEN 2 THEN 'cli
     "chat_activity": """
 SELECT user_id AS chat_id, ts FROM events
 """,
-    "decision_events": """
+    "decision_requests": """
 SELECT concat('d', CAST(c_custkey AS STRING)) AS decision, TIMESTAMP '1992-01-01 00:00:00' AS ts, CAST(NULL AS STRING) AS who,
        CAST(1 + c_custkey % 4 AS INT) AS needed, CASE WHEN c_custkey % 3 > 0 THEN CAST(15768000 * (c_custkey % 12) AS BIGINT) END AS timeout_s
 FROM customer
-UNION ALL
-SELECT concat('d', CAST(o_custkey AS STRING)) AS decision, min(o_orderdate) AS ts, concat('s', CAST(o_orderkey % 5 AS STRING)) AS who,
+""",
+    "decision_answers": """
+SELECT concat('d', CAST(o_custkey AS STRING)) AS decision, o_orderdate AS ts, concat('s', CAST(o_orderkey % 5 AS STRING)) AS who,
        CAST(NULL AS INT) AS needed, CAST(NULL AS BIGINT) AS timeout_s
-FROM orders GROUP BY o_custkey, o_orderkey % 5
+FROM orders
+""",
+    "runner_events": """
+SELECT concat('h', CAST(user_id % 15 AS STRING)) AS runner, ts, event_id AS seq,
+       CASE WHEN event_type = 'click' THEN 'heartbeat' WHEN event_type = 'view' THEN 'session_opened' WHEN event_type = 'purchase' THEN 'session_closed'
+            WHEN event_type = 'error' THEN 'drain' WHEN event_id % 3 = 0 THEN 'deregister' ELSE 'heartbeat' END AS kind,
+       CASE WHEN event_type IN ('view', 'purchase') THEN concat('s', CAST(event_id % 3 AS STRING)) END AS session
+FROM events
 """,
 }
 

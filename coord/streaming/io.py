@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +43,3 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     )
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(folder + "/out")
-
-
-def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, int], None], folder: str | None = None) -> None:
-    """Process what is there now, handing each micro-batch to ``step``."""
-    folder = folder or run_folder(stream.sparkSession, name)
-    q = (
-        stream.writeStream.foreachBatch(step).trigger(availableNow=True)
-        .option("checkpointLocation", folder + "/progress").start()
-    )
-    q.awaitTermination()

@@ -1,117 +1,212 @@
-"""Custom state: live task state, decision timeouts."""
+"""State per key in the engine's own store: live task state, decision timeouts, runner status."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from coord.functions import text as X
 from coord.operators import history
-from coord.operators import ordered as O
-from coord.streaming.io import run_batches, run_folder
+from coord.streaming.io import run_folder
+
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def keyed_store(spark: SparkSession):
+    """Queries started here keep their state in the store for single keys, of which a checkpoint writes only what changed."""
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def packed(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """One row per key and Arrow batch, with a list of each column: a hot key reaches its state as a few rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pa.Table.from_batches([batch]).group_by(key, use_threads=False).aggregate([(c, "list") for c in columns])
+            yield from lists.select([key, *[f"{c}_list" for c in columns]]).rename_columns([key, *columns]).to_batches()
+
+    kinds = ", ".join(f"`{c}` array<{kind}>" for c, kind in columns.items())
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, {kinds}")
+
+
+class _TaskFold(StatefulProcessor):
+    """Status of a task and the time of its last command; answers every command."""
+
+    def __init__(self, machine: history.Machine):
+        self.machine = machine
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.task = handle.getValueState("task", "state int, ts long, seq long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        lists = pd.concat(list(rows), ignore_index=True)
+        ts, seq, code, want = (np.concatenate([np.asarray(x, np.int64) for x in lists[c]]) for c in ("ts", "seq", "code", "want"))
+        cmd = np.concatenate([np.asarray(x, object) for x in lists["cmd"]])
+        order = np.lexsort((seq, ts))
+        ts, seq, code, want, cmd = ts[order], seq[order], code[order], want[order], cmd[order]
+        state, last = list(self.machine.states).index(self.machine.initial), None
+        late = np.zeros(len(ts), bool)
+        if self.task.exists():
+            state, *last = self.task.get()
+            late = (ts < last[0]) | ((ts == last[0]) & (seq <= last[1]))
+        before, after = np.full(len(ts), state), np.full(len(ts), -1)
+        on = np.flatnonzero(~late)
+        if len(on):
+            new = np.zeros(len(on), bool)
+            new[0] = True
+            before[on], after[on], done = history.walk(self.machine, code[on], want[on], new, np.full(len(on), state))
+            self.task.update((int(done[-1][state]), int(ts[on[-1]]), int(seq[on[-1]])))
+        yield pd.DataFrame({"slug": [key[0]], "ts": [ts], "seq": [seq], "cmd": [cmd], "before": [before.astype(np.int32)], "after": [after.astype(np.int32)]})
+
+    def close(self) -> None:
+        pass
+
+
+def task_outcomes(commands: DataFrame, machine: history.Machine = history.TASKS, expected: str | None = None) -> DataFrame:
+    """Stream of ``slug, ts, seq, cmd, from_status, to_status, outcome`` for a stream of commands.
+
+    A task's commands of a micro-batch arrive as lists, are put in order and folded at once from the stored
+    state; so a batch costs what it holds, whatever the state holds. A command not later than the last one
+    applied to its task by a batch before is answered ``invalid_transition`` and changes nothing; the column
+    ``expected`` may name a status to guard by. The lists of one task and batch are in memory together:
+    bound the batches (files or offsets per trigger), not the tasks.
+    """
+    kind = commands.schema["ts"].dataType
+    rows = commands.select(
+        "slug", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("seq").cast("long").alias("seq"), "cmd",
+        machine.code(F.col("cmd")).cast("long").alias("code"), (machine.state_code(F.col(expected)) if expected else F.lit(-1)).cast("long").alias("want"),
+    )
+    columns = {"ts": "bigint", "seq": "bigint", "cmd": "string", "code": "bigint", "want": "bigint"}
+    folded = packed(rows, "slug", columns).groupBy("slug").transformWithStateInPandas(
+        statefulProcessor=_TaskFold(machine), outputStructType="slug string, ts array<long>, seq array<long>, cmd array<string>, before array<int>, after array<int>",
+        outputMode="append", timeMode="none",
+    )
+    one = folded.select("slug", F.explode(F.arrays_zip("ts", "seq", "cmd", "before", "after")).alias("r")).select("slug", "r.*")
+    ok, was = F.col("after") >= 0, machine.state_name(F.col("before"))
+    outcome = F.when(ok, "ok").when(F.col("after") == -2, "conflict").when(was == history.ABSENT, "not_found").otherwise("invalid_transition")
+    return one.select(
+        "slug", F.timestamp_micros("ts").cast(kind).alias("ts"), "seq", "cmd", was.alias("from_status"),
+        machine.state_name(F.when(ok, F.col("after")).otherwise(F.col("before"))).alias("to_status"), outcome.alias("outcome"),
+    )
 
 
 class LiveTaskState:
-    """Task state kept up to date from a command stream, one micro-batch after another.
+    """Task state kept up to date from a command stream; ``folder`` holds the answers and the engine's checkpoint.
 
-    Each batch runs the ordinary skew-safe fold, started from the state left by the batches before. Only
-    the tasks a batch touches are written, as ``state/batch=N``; every ``compact_every`` batches the whole
-    state is written once, so reading never goes back further. Folders are overwritten on replay, which
-    makes the outcome rows and the state exact after a failure. A command older than the last one applied
-    to its task is answered ``invalid_transition`` and changes nothing.
+    Another object on the same folder goes on where the last run ended, and reads the state without new commands.
     """
 
-    def __init__(self, folder: str, machine: history.Machine = history.TASKS, compact_every: int = 20, chunks: int | None = None):
-        self.folder, self.machine, self.every, self.chunks = folder, machine, compact_every, chunks
-
-    def _state(self, spark, batch_id: int) -> DataFrame | None:
-        """Latest state per task before ``batch_id``."""
-        if batch_id == 0:
-            return None
-        first = (batch_id - 1) // self.every * self.every
-        folders = [f"{self.folder}/state/batch={i}" for i in range(first, batch_id)]
-        parts = [spark.read.parquet(f).withColumn("_b", F.lit(i)) for i, f in enumerate(folders)]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        cols = [c for c in rows.columns if c not in ("slug", "_b")]
-        return rows.groupBy("slug").agg(F.max_by(F.struct(*cols), "_b").alias("s")).select("slug", "s.*")
-
-    def step(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read several times below
-        try:
-            self._apply(batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    def _apply(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = self._state(spark, batch_id)
-        at = F.struct("ts", "seq")
-        if old is None:
-            late = batch.filter(F.lit(False)).withColumn("status", F.lit(""))
-            fresh, start = batch, None
-        else:
-            seen = batch.join(old, "slug", "left").withColumn("_late", at <= F.struct("last_ts", "last_seq"))
-            late = seen.filter(F.coalesce("_late", F.lit(False))).select(*batch.columns, "status")
-            fresh = seen.filter(~F.coalesce("_late", F.lit(False))).select(*batch.columns)
-            start = old.select("slug", "status")
-        folded = history.fold(fresh, self.machine, start=start, chunks=self.chunks)
-        refused = late.select(
-            *batch.columns, F.col("status").alias("from_status"), F.col("status").alias("to_status"),
-            F.lit("invalid_transition").alias("outcome"),
-        )
-        target = f"{self.folder}/outcomes/batch={batch_id}"
-        folded.unionByName(refused).write.mode("overwrite").parquet(target)
-        stored = spark.read.parquet(target)
-        touched = stored.groupBy("slug").agg(
-            F.max_by("to_status", at).alias("status"), F.max(at).alias("_last")
-        ).select("slug", "status", F.col("_last.ts").alias("last_ts"), F.col("_last.seq").alias("last_seq"))
-        if old is not None:
-            # A late row must not set the clock of its task back.
-            prior = old.select("slug", F.col("status").alias("_s"), F.struct("last_ts", "last_seq").alias("_p"))
-            both = touched.join(prior, "slug", "left")
-            keep = F.col("_p").isNotNull() & (F.col("_p") >= F.struct("last_ts", "last_seq"))
-            touched = both.select(
-                "slug", F.when(keep, F.col("_s")).otherwise(F.col("status")).alias("status"),
-                F.when(keep, F.col("_p.last_ts")).otherwise(F.col("last_ts")).alias("last_ts"),
-                F.when(keep, F.col("_p.last_seq")).otherwise(F.col("last_seq")).alias("last_seq"),
+    def __init__(self, folder: str, machine: history.Machine = history.TASKS):
+        self.folder, self.machine = folder, machine
+
+    def run(self, commands: DataFrame, expected: str | None = None) -> None:
+        """Process what the stream holds now."""
+        with keyed_store(commands.sparkSession):
+            query = (
+                task_outcomes(commands, self.machine, expected).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+                .option("path", f"{self.folder}/outcomes").option("checkpointLocation", f"{self.folder}/progress").start()
             )
-            if batch_id % self.every == 0:
-                touched = touched.unionByName(old.join(touched.select("slug"), "slug", "left_anti"))
-        touched.write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch_id}")
-        self.last_batch = batch_id
+            query.awaitTermination()
 
-    def outcomes(self, spark) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/outcomes").drop("batch")
+    def outcomes(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/outcomes")
 
-    def current(self, spark) -> DataFrame:
-        return self._state(spark, self.last_batch + 1)
+    def current(self, spark: SparkSession) -> DataFrame:
+        """(slug, status, last_ts, last_seq) from the state store."""
+        rows = spark.read.format("statestore").option("stateVarName", "task").load(f"{self.folder}/progress")
+        return rows.select(
+            "key.slug", self.machine.state_name(F.col("value.state")).alias("status"), F.timestamp_micros("value.ts").alias("last_ts"), F.col("value.seq").alias("last_seq"),
+        )
 
 
 def stream_task_state(commands: DataFrame, folder: str | None = None, **options) -> LiveTaskState:
     """Run a command stream to its end; read the result from the returned state."""
     live = LiveTaskState(folder or run_folder(commands.sparkSession, "task-state"), **options)
-    run_batches(commands, "task-state", live.step, live.folder)
+    live.run(commands)
     return live
 
 
-TIMEOUT_STATE = "needed int, due long, times array<long>, done boolean"
-TIMEOUT_OUT = "decision string, status string, at_ms long, responses int"
+class _Decision(StatefulProcessor):
+    """Earliest answer per person of an open decision; a mark for a closed one. Every state has a timer that ends it."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.asked = handle.getValueState("asked", "needed int, due long, closed boolean")
+        self.answers = handle.getMapState("answers", "who string", "ms long")
 
+    def _row(self, key, status: str, at_ms: int, n: int) -> pd.DataFrame:
+        return pd.DataFrame({"decision": [key[0]], "status": [status], "at_ms": [at_ms], "responses": [n]})
 
-def decision_timeouts(events: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
+    def _end_at(self, ms: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        self.handle.registerTimer(ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        needed, due, closed = self.asked.get() if self.asked.exists() else (None, None, False)
+        latest, mark = 0, timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            latest = max(latest, int(pdf["ms"].max()))
+            if closed:
+                continue
+            for ms, n, timeout in pdf.loc[pdf["who"] == "", ["ms", "needed", "timeout_s"]].itertuples(index=False):
+                needed, due = int(n), None if pd.isna(timeout) else int(ms) + int(timeout) * 1000
+            for who, ms in pdf[pdf["who"] != ""].groupby("who")["ms"].min().items():
+                if not self.answers.containsKey((who,)) or ms < self.answers.getValue((who,))[0]:
+                    self.answers.updateValue((who,), (int(ms),))
+        if not closed and needed is not None:
+            times = sorted(v[0] for _, v in self.answers.iterator())
+            if len(times) >= needed and (due is None or times[needed - 1] <= due):
+                yield self._row(key, "completed", times[needed - 1], needed)
+                closed = True
+                self.answers.clear()
+        self.asked.update((needed, due, closed))
+        if closed or due is None:
+            self._end_at(max(latest, mark) + self.keep_ms)
+        else:
+            self._end_at(max(due, mark + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        needed, due, closed = self.asked.get() if self.asked.exists() else (None, None, True)
+        if not closed and due is not None:
+            yield self._row(key, "failed", due, sum(v[0] <= due for _, v in self.answers.iterator()))
+        self.asked.clear()
+        self.answers.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def decision_timeouts(events: DataFrame, assigned: DataFrame | None = None, keep_days: int = 365) -> DataFrame:
     """Decisions resolved or, at their timeout, failed, from one stream of requests and responses.
 
     ``events``: ``decision, ts, who`` (null on the request), ``needed, timeout_s`` (set on the request, the
-    timeout may be null). Repeats are dropped per (decision, responder) before the per-decision state, so a
-    decision flooded with responses is spread over tasks first. The state keeps the ``needed`` earliest
-    times, no more. ``assigned`` (a table: ``decision, who``) drops responses of other people. A timer at the
-    due time fails what is still open.
+    timeout may be null). Of several responses of one person the earliest counts. ``assigned`` (a table:
+    ``decision, who``) drops responses of other people. A timer at the due time fails what is still open.
+
+    State of a decision: the answers of its people while it is open, nothing but a mark once it is completed.
+    Every state has a timer: the due time; ``keep_days`` after its latest event where there is no request (yet,
+    or any more), no due time, or the decision is completed. When it fires the state is gone.
     """
     identity = X.stakeholder(F.col("who"))["identity"]
     named = events.withColumn("who", F.coalesce(identity, F.lit("")))
@@ -119,36 +214,95 @@ def decision_timeouts(events: DataFrame, assigned: DataFrame | None = None) -> D
         people = assigned.select("decision", identity.alias("who"))
         people = people.unionByName(people.select("decision", F.lit("").alias("who"))).distinct()
         named = named.join(people, ["decision", "who"], "left_semi")
-    once = named.dropDuplicatesWithinWatermark(["decision", "who"])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        needed, due, times, done = state.get if state.exists else (None, None, [], False)
-        times = list(times)
-
-        def row(status: str, at_ms: int, n: int) -> pd.DataFrame:
-            return pd.DataFrame({"decision": [key[0]], "status": [status], "at_ms": [at_ms], "responses": [n]})
-
-        if state.hasTimedOut:
-            state.remove()
-            if not done:
-                yield row("failed", due, sum(t <= due for t in times))
-            return
-        for pdf in batches:
-            for ms, who_, n, timeout in zip(pdf["ms"], pdf["who"], pdf["needed"], pdf["timeout_s"]):
-                if who_ == "":
-                    needed = int(n)
-                    due = None if pd.isna(timeout) else int(ms) + int(timeout) * 1000
-                else:
-                    times.append(int(ms))
-            times = sorted(times)[: needed]  # all of them until the request is seen
-        if not done and needed is not None and len(times) >= needed and (due is None or times[needed - 1] <= due):
-            done = True
-            yield row("completed", times[needed - 1], needed)
-        state.update((needed, due, times, done))
-        if due is not None:
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    rows = once.select("decision", "ts", F.unix_millis("ts").alias("ms"), "who", "needed", "timeout_s")
-    return rows.groupBy("decision").applyInPandasWithState(
-        step, TIMEOUT_OUT, TIMEOUT_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    ).select("decision", "status", F.timestamp_millis("at_ms").alias("at"), "responses")
+    rows = named.select("decision", "ts", F.unix_millis("ts").alias("ms"), "who", F.col("needed").cast("long"), F.col("timeout_s").cast("long"))
+    out = rows.groupBy("decision").transformWithStateInPandas(
+        statefulProcessor=_Decision(keep_days * 86_400_000), outputStructType="decision string, status string, at_ms long, responses int", outputMode="append", timeMode="eventTime",
+    )
+    return out.select("decision", "status", F.timestamp_millis("at_ms").alias("at"), "responses")
+
+
+class _Runner(StatefulProcessor):
+    """Status of a runner host and its open sessions, moved in event time."""
+
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.host = handle.getValueState("host", "status string, beat long")
+        self.sessions = handle.getMapState("sessions", "session string", "since long")
+        self.waiting = handle.getMapState("waiting", "ms long, seq long, kind string, session string", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for ms, seq, kind, session in zip(pdf["ms"], pdf["seq"], pdf["kind"], pdf["session"]):
+                self.waiting.updateValue((int(ms), int(seq), kind, session or ""), (True,))
+                self.handle.registerTimer(int(ms))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        due = sorted(tuple(k) for k in self.waiting.keys() if k[0] <= now)
+        status, beat = self.host.get() if self.host.exists() else ("registered", None)
+        out: list[tuple] = []
+
+        def move(ms: int, to: str, cause: str) -> None:
+            nonlocal status
+            if to != status:
+                out.append((key[0], ms, status, to, cause))
+                status = to
+
+        def time_passes(until: int) -> None:
+            if status == "online" and beat is not None and beat + self.timeout_ms <= until:
+                move(beat + self.timeout_ms, "offline", "timeout")
+
+        for ms, seq, kind, session in due:
+            time_passes(ms - 1)  # a heartbeat at the very end of the time counts
+            if kind == "heartbeat":
+                if status in ("registered", "online", "offline"):
+                    move(ms, "online", "heartbeat")
+                    beat = ms
+                    self.handle.registerTimer(ms + self.timeout_ms + 1)
+            elif kind == "session_opened":
+                self.sessions.updateValue((session,), (ms,))
+            elif kind == "session_closed":
+                self.sessions.removeKey((session,))
+            elif kind == "drain" and status == "online":
+                move(ms, "draining", "drain")
+            elif kind == "deregister" and status in ("online", "offline"):
+                move(ms, "deregistered", "deregister")
+                status, beat = "registered", None
+                self.sessions.clear()
+            if status == "draining" and not any(True for _ in self.sessions.keys()):
+                move(ms, "offline", "sessions_closed")
+            self.waiting.removeKey((ms, seq, kind, session))
+        time_passes(now - 1)
+        if status == "registered":
+            self.host.clear()
+        elif due or out:
+            self.host.update((status, beat))
+        yield pd.DataFrame(out, columns=["runner", "at_ms", "from_status", "to_status", "cause"])
+
+    def close(self) -> None:
+        pass
+
+
+def runner_status(events: DataFrame, timeout_s: int = 120) -> DataFrame:
+    """Status changes of runner hosts (``runner, at, from_status, to_status, cause``) from one stream of host and session events.
+
+    ``events``: ``runner, ts, seq, kind, session``; kinds ``heartbeat``, ``drain``, ``deregister``,
+    ``session_opened``, ``session_closed``. A host is online from its first heartbeat, offline ``timeout_s``
+    after the last one, draining from ``drain`` until its last session closes (at once without any), and online
+    again by a heartbeat when offline. Heartbeats of a draining host keep it draining.
+
+    Events wait for the watermark and are applied in the order of their times (then ``seq``), whatever batch
+    brought them, so the changes are those of the whole log. State of a host: its status, its open sessions and
+    the events not yet due; a deregistered host leaves none
+    (a later heartbeat registers it anew).
+    """
+    rows = events.select("runner", "ts", F.unix_millis("ts").alias("ms"), F.col("seq").cast("long").alias("seq"), "kind", "session")
+    out = rows.groupBy("runner").transformWithStateInPandas(
+        statefulProcessor=_Runner(timeout_s * 1000), outputStructType="runner string, at_ms long, from_status string, to_status string, cause string",
+        outputMode="append", timeMode="eventTime",
+    )
+    return out.select("runner", F.timestamp_millis("at_ms").alias("at"), "from_status", "to_status", "cause")

@@ -63,32 +63,41 @@ def _windowed(events: DataFrame, length: str, slide: str | None, keys: list[str]
 
 
 def _out(df: DataFrame, alert: str, keys: list[str]) -> DataFrame:
+    """``ts`` is the time of the window, by which a second stage on a stream goes on."""
     subject = F.concat_ws("/", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("all")
     return df.select(
         F.lit(alert).alias("alert"), subject.alias("subject"), F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"), F.col("figure"),
+        F.col("w.end").alias("window_end"), F.col("figure"), F.window_time("w").alias("ts"),
     )
 
 
-def error_rate(requests: DataFrame, keys: list[str], length: str = "5 minutes", slide: str | None = "1 minute", above: float = 0.05) -> DataFrame:
-    """Windows in which more than ``above`` of the requests failed with a 5xx code."""
+def _stage(staged: bool, df: DataFrame, alert: str, keys: list[str]) -> DataFrame:
+    out = _out(df, alert, keys)
+    return out if staged else out.drop("ts")
+
+
+def error_rate(requests: DataFrame, keys: list[str], length: str = "5 minutes", slide: str | None = "1 minute", above: float = 0.05, staged: bool = False) -> DataFrame:
+    """Windows in which more than ``above`` of the requests failed with a 5xx code.
+
+    ``staged`` alerts, here and below, keep the time ``ts`` of the window, for ``sustained``.
+    """
     bad = F.count_if(F.col("status_code") >= 500)
-    return _out(
+    return _stage(staged, 
         _windowed(requests, length, slide, keys).agg((bad / F.count(F.lit(1))).alias("figure")).filter(F.col("figure") > above),
         "error_rate", keys,
     )
 
 
-def count_alert(events: DataFrame, alert: str, keys: list[str], above: int, length: str, slide: str | None = None) -> DataFrame:
+def count_alert(events: DataFrame, alert: str, keys: list[str], above: int, length: str, slide: str | None = None, staged: bool = False) -> DataFrame:
     """Windows with more than ``above`` events (health-check failures, evictions)."""
     n = _windowed(events, length, slide, keys).agg(F.count(F.lit(1)).cast("double").alias("figure"))
-    return _out(n.filter(F.col("figure") > above), alert, keys)
+    return _stage(staged, n.filter(F.col("figure") > above), alert, keys)
 
 
-def slow_alert(samples: DataFrame, keys: list[str], value: str = "latency", above: float = 30.0, length: str = "5 minutes", slide: str | None = None) -> DataFrame:
+def slow_alert(samples: DataFrame, keys: list[str], value: str = "latency", above: float = 30.0, length: str = "5 minutes", slide: str | None = None, staged: bool = False) -> DataFrame:
     """Windows whose P99 exceeds ``above``; the quantile is a mergeable sketch, so state stays small."""
     p = _windowed(samples, length, slide, keys).agg(F.percentile_approx(value, 0.99, 10_000).alias("figure"))
-    return _out(p.filter(F.col("figure") > above), "slow", keys)
+    return _stage(staged, p.filter(F.col("figure") > above), "slow", keys)
 
 
 def alerts(parts: list[DataFrame]) -> DataFrame:
@@ -98,9 +107,10 @@ def alerts(parts: list[DataFrame]) -> DataFrame:
 def sustained(windows: DataFrame, slide: str, at_least: str) -> DataFrame:
     """Alerts that fire in consecutive windows for ``at_least``: a second stage of sessions over the windows.
 
-    Windows start ``slide`` apart; a session of their starts with that gap is an unbroken run.
+    Windows start ``slide`` apart; a session of their times with that gap is an unbroken run. On a stream the
+    windows must be staged: both stages then run in one query, the second with the watermark that the first passes on.
     """
-    w = windows.withColumn("ts", F.col("window_start"))
+    w = windows if "ts" in windows.columns else windows.withColumn("ts", F.col("window_start"))
     runs = w.groupBy("alert", "subject", F.session_window("ts", slide_gap(slide)).alias("s")).agg(
         F.count(F.lit(1)).alias("windows"), F.min("window_start").alias("since"), F.max("window_end").alias("until")
     )

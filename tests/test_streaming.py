@@ -1,5 +1,6 @@
 """Streams fed in several micro-batches against the batch operators."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def feed(spark, df, parts=3, column="ts"):
     cuts = [r[0] for r in df.select(F.percentile(F.unix_micros(F.col(column).cast("timestamp")), [i / parts for i in range(1, parts)])).collect()][0]
     t = F.unix_micros(F.col(column).cast("timestamp"))
     lo = None
-    for hi in [*cuts, None]:
+    for hi in [*(cuts or []), None]:
         piece = df if lo is None else df.filter(t > lo)
         piece = piece if hi is None else piece.filter(t <= hi)
         piece.coalesce(1).write.mode("append").parquet(folder)
@@ -29,10 +30,10 @@ def feed(spark, df, parts=3, column="ts"):
     return open_stream(spark, folder, files_per_trigger=1)
 
 
-@pytest.mark.parametrize("every,chunks", [(20, None), (2, 30)])
-def test_live_task_state_equals_fold(spark, sf, every, chunks):
+@pytest.mark.parametrize("parts", [1, 4])
+def test_live_task_state_equals_fold(spark, sf, parts):
     commands = standin(spark, sf, "task_commands").select("slug", "seq", "ts", "cmd")
-    live = state.stream_task_state(feed(spark, commands, 4), compact_every=every, chunks=chunks)
+    live = state.stream_task_state(feed(spark, commands, parts))
     want = history.fold(commands)
     keep = ["slug", "seq", "from_status", "to_status", "outcome"]
     assert rows(live.outcomes(spark).select(*keep)) == rows(want.select(*keep))
@@ -40,6 +41,30 @@ def test_live_task_state_equals_fold(spark, sf, every, chunks):
     assert rows(live.current(spark).select("slug", "status")) == rows(final)
 
 
+def test_live_task_state_goes_on_after_a_restart(spark):
+    folder, live = run_folder(spark, "restart"), run_folder(spark, "live")
+    cmds = [("t", k, f"2024-01-01 00:0{k}:00", c, g) for k, (c, g) in enumerate([("enqueue", None), ("claim", "queued"), ("claim", "queued"), ("start", None)])]
+    df = spark.createDataFrame(cmds, "slug string, seq int, ts string, cmd string, guard string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for k in range(4):
+        df.where(f"seq = {k}").coalesce(1).write.mode("append").parquet(folder)
+        state.LiveTaskState(live).run(open_stream(spark, folder), expected="guard")
+    again = state.LiveTaskState(live)
+    assert rows(again.current(spark).select("slug", "status", "last_seq")) == [("t", "in_progress", 3)]
+    again.run(open_stream(spark, folder), expected="guard")  # nothing new
+    assert [r.outcome for r in again.outcomes(spark).orderBy("seq").collect()] == ["ok", "ok", "conflict", "ok"]
+
+
+def test_prefixes_are_compositions():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 7, 100, 333):
+        steps, new, carry = r.integers(0, 5, (n, 5)), r.random(n) < 0.2, r.integers(0, 5, 5)
+        at, want = carry, []
+        for step, first in zip(steps, new):
+            at = step[np.arange(5) if first else at]
+            want.append(at)
+        assert (history.prefixes(steps, new, carry) == np.array(want)).all()
+
+
 def test_late_command_is_refused(spark):
     cmds = [("t", 1, "2024-01-01 00:01:00", "enqueue"), ("t", 3, "2024-01-01 00:03:00", "claim"), ("t", 2, "2024-01-01 00:02:00", "claim"), ("t", 4, "2024-01-01 00:04:00", "start")]
     folder = run_folder(spark, "late")
@@ -93,3 +118,84 @@ def test_sustained(spark):
     w = [("e", "s", pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m)) for m in (0, 1, 2, 3, 10, 11)]
     df = spark.createDataFrame(pd.DataFrame(w, columns=["alert", "subject", "window_start"])).withColumn("window_end", F.col("window_start") + F.expr("INTERVAL 5 MINUTES"))
     assert rows(windows.sustained(df, "1 minute", "8 minutes").select("windows")) == [(4,)]
+
+
+def test_sustained_alerts_are_one_stream(spark, sf):
+    requests = standin(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp"))
+    rate = lambda df, **how: windows.error_rate(df, [], "6 hours", "1 hour", 0.2, **how)
+    got = run_available(windows.sustained(rate(event_time(feed(spark, requests, 4), "1 hour"), staged=True), "1 hour", "9 hours"), "sus")
+    want = windows.sustained(rate(requests), "1 hour", "9 hours").withColumn("shut", F.col("until") + F.expr("INTERVAL 1 HOUR"))
+    assert got.count() > 3 and rows(got) == rows(closed(want, "shut", requests).drop("shut"))
+
+
+def runner_log(events, timeout, mark):
+    """Plain replay of (runner, second, seq, kind, session) up to a second."""
+    out = []
+    for runner in sorted({e[0] for e in events}):
+        status, beat, open_ = "registered", None, set()
+        def lapse(until):
+            nonlocal status
+            if status == "online" and beat + timeout < until:
+                out.append((runner, beat + timeout, status, "offline", "timeout"))
+                status = "offline"
+        for _, t, _, kind, session in sorted(e for e in events if e[0] == runner and e[1] < mark):
+            lapse(t)
+            was = status
+            if kind == "heartbeat" and status != "draining":
+                status, beat = "online", t
+            elif kind == "session_opened":
+                open_.add(session)
+            elif kind == "session_closed":
+                open_.discard(session)
+            elif kind == "drain" and status == "online":
+                status = "draining"
+            elif kind == "deregister" and status in ("online", "offline"):
+                out.append((runner, t, status, "deregistered", kind))
+                was = status = "registered"
+                open_ = set()
+            if status != was:
+                out.append((runner, t, was, status, kind))
+            if status == "draining" and not open_:
+                out.append((runner, t, "draining", "offline", "sessions_closed"))
+                status = "offline"
+        lapse(mark)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_runner_goes_offline_with_its_last_session(spark, parts):
+    r = np.random.default_rng(parts)
+    kinds = ["heartbeat", "heartbeat", "session_opened", "session_closed", "drain", "deregister"]
+    events = [(f"h{r.integers(3)}", int(r.integers(0, 9000)), k, kinds[r.integers(6)], f"s{r.integers(2)}") for k in range(300)]
+    events += [("drained", 10, 400, "heartbeat", None), ("drained", 20, 401, "session_opened", "a"), ("drained", 30, 402, "session_opened", "b"), ("drained", 40, 403, "drain", None),
+               ("drained", 50, 404, "session_closed", "a"), ("drained", 5000, 405, "heartbeat", None), ("drained", 6000, 406, "session_closed", "b"), ("clock", 10_000, 407, "drain", None)]
+    df = spark.createDataFrame(events, "runner string, s long, seq long, kind string, session string").withColumn("ts", F.timestamp_seconds("s"))
+    with state.keyed_store(spark):
+        got = run_available(state.runner_status(event_time(feed(spark, df, parts), "1 minute"), timeout_s=600), "runner")
+    seen = sorted((x[0], int(x[1]), *x[2:]) for x in map(tuple, got.select("runner", F.unix_seconds("at"), "from_status", "to_status", "cause").collect()))
+    assert seen == runner_log(events, 600, 9940)
+    assert ("drained", 6000, "draining", "offline", "sessions_closed") in seen
+
+
+def test_decision_state_is_freed(spark):
+    t = lambda h: f"2024-01-01 00:00:00".replace("01 00", f"{1 + h // 24:02d} {h % 24:02d}")
+    cmds = [
+        ("a", t(0), None, 2, 36_000), ("a", t(1), "x", None, None), ("a", t(2), "x", None, None), ("a", t(3), "y", None, None), ("a", t(4), "z", None, None),
+        ("b", t(0), None, 1, 3600), ("b", t(5), "x", None, None),  # after its timer
+        ("c", t(1), "x", None, None),  # no request
+        ("d", t(0), None, 3, None), ("d", t(2), "x", None, None),  # no timeout
+        ("clock", t(24 * 9), None, 1, 3600),
+    ]
+    df = spark.createDataFrame(cmds, "decision string, ts string, who string, needed int, timeout_s long").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder, feed_ = run_folder(spark, "decisions"), run_folder(spark, "feed")
+    for batch in (df.where("decision <> 'clock' and ts < '2024-01-01 04:30:00'"), df.where("ts = '2024-01-01 05:00:00'"), df.where("decision = 'clock'")):
+        batch.coalesce(1).write.mode("append").parquet(feed_)
+    with state.keyed_store(spark):
+        out = state.decision_timeouts(event_time(open_stream(spark, feed_, 1), "1 hour"), keep_days=2)
+        query = out.writeStream.format("parquet").trigger(availableNow=True).option("path", folder + "/out").option("checkpointLocation", folder + "/progress").start()
+        query.awaitTermination()
+    got = {(x.decision, x.status, x.responses) for x in spark.read.parquet(folder + "/out").collect()}
+    assert got == {("a", "completed", 2), ("b", "failed", 0)}
+    left = spark.read.format("statestore").option("stateVarName", "asked").load(folder + "/progress")
+    assert [x[0] for x in left.select("key.decision").collect()] == ["clock"]
+    assert spark.read.format("statestore").option("stateVarName", "answers").load(folder + "/progress").count() == 0
