@@ -59,30 +59,35 @@ class Shingles:
         return np.unique(out)
 
 
-def signature(shingles: np.ndarray, count: int = SIGNATURE) -> np.ndarray:
-    """The last ``BITS`` bits (mixed) of the least values of ``count`` hash functions over the shingles."""
+def hash_functions(count: int = SIGNATURE) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of hash functions modulo 2^32."""
     r = np.random.default_rng(20250307)
-    a, b = r.integers(0, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 2**32, count, dtype=np.uint32)
-    x, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(count, np.iinfo(np.uint32).max, np.uint32)
+    return r.integers(0, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 2**32, count, dtype=np.uint32)
+
+
+def signature(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The last ``BITS`` bits (mixed) of the least value of each hash function over the shingles."""
+    a, b = functions
+    x, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
     for k in range(0, len(x), 256):  # bounded memory for long texts
         np.minimum(out, (x[k:k + 256, None] * a + b).min(axis=0), out=out)
     return _mix(out.astype(np.uint64)).astype(np.uint16)
 
 
-def index_keys(sig: np.ndarray, chunks: int = CHUNKS, errors: int = ERRORS) -> np.ndarray:
-    """One key per chunk and set of ``errors`` values left out of it.
+def index_keys(sigs: np.ndarray, chunks: int = CHUNKS, errors: int = ERRORS) -> np.ndarray:
+    """One key per row of signatures, chunk and set of ``errors`` values left out of it.
 
     Two signatures that differ in fewer than ``chunks * (errors + 1)`` values have a chunk with at most
     ``errors`` differences, so they agree in the key that leaves these values out.
     """
     out = []
-    for c, part in enumerate(np.split(sig.astype(np.uint64), chunks)):
-        for wrong in itertools.combinations(range(len(part)), errors):
-            key = np.array([c + 1], np.uint64)
-            for i, v in enumerate(part):
-                key = _mix(key * np.uint64(31) + (np.uint64(1 << BITS) if i in wrong else v))
-            out.append(key[0])
-    return np.array(out, np.uint64).view(np.int64)
+    for c, part in enumerate(np.split(sigs.astype(np.uint64), chunks, axis=1)):
+        for wrong in itertools.combinations(range(part.shape[1]), errors):
+            key = np.full(len(sigs), c + 1, np.uint64)
+            for i in range(part.shape[1]):
+                key = _mix(key * np.uint64(31) + (np.uint64(1 << BITS) if i in wrong else part[:, i]))
+            out.append(key)
+    return np.stack(out, axis=1).view(np.int64)
 
 
 def distances(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -93,17 +98,21 @@ def distances(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
 def features(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """(id, th, tid, shingles, sig, keys) per document: text hash, 128-bit hash of the shingle set, its size, signature, index keys."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Shingles(n)
+        make, functions, none = Shingles(n), hash_functions(), np.zeros(SIGNATURE, np.uint16)
         for pdf in batches:
-            tids, sizes, sigs, keys = [], [], [], []
+            if pdf.empty:
+                continue
+            tids, sizes, sigs = [], [], []
             for text in pdf["text"]:
                 g = make.of(text)
                 sizes.append(len(g))
-                sig = signature(g) if len(g) else None
+                sigs.append(signature(g, functions) if len(g) else none)
                 tids.append(np.array([_mix(g).sum(), _mix(g ^ _M2).sum()], np.uint64).tobytes() if len(g) else None)
-                sigs.append(None if sig is None else sig.tobytes())
-                keys.append(None if sig is None else index_keys(sig))
-            yield pd.DataFrame({"id": pdf["id"], "th": pdf["th"], "tid": tids, "shingles": sizes, "sig": sigs, "keys": keys})
+            keys = index_keys(np.stack(sigs))
+            yield pd.DataFrame({
+                "id": pdf["id"], "th": pdf["th"], "tid": tids, "shingles": sizes,
+                "sig": [x.tobytes() if size else None for x, size in zip(sigs, sizes)], "keys": [x if size else None for x, size in zip(keys, sizes)],
+            })
 
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text_of()).alias("th"), "text")
     return rows.mapInPandas(run, "id long, th long, tid binary, shingles long, sig binary, keys array<long>")
@@ -122,15 +131,15 @@ def _every(tiles: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
 
 
-def _met(hosts: DataFrame, guests: DataFrame, keys: list[str]) -> DataFrame:
-    """Every guest with every host of its group: rows of blocks (keys, tile, guest_tile), each of bounded size.
+def _met(hosts: DataFrame, guests: DataFrame, group: str) -> DataFrame:
+    """Every guest with every host of its group: rows of blocks (group, tile, guest_tile), each of bounded size.
 
-    Both have the keys and their number of ``tiles``; a host stands in one tile, a guest in all, so few guests
+    Both are stored and have the group's number of ``tiles``; a host stands in one tile, a guest in all, so few guests
     cost little. Guests of many tiles of their own meet the hosts tile by tile.
     """
-    sizes = guests.groupBy(*keys).agg(_tiles(F.sum("load")).alias("guest_tiles"))
-    here = hosts.drop("load").join(sizes, keys).withColumn("tile", _tile("tile", F.col("tiles"))).withColumn("guest_tile", _every("guest_tiles"))
-    come = guests.drop("load").join(sizes, keys).withColumn("guest_tile", _tile("guest_tile", F.col("guest_tiles"))).withColumn("tile", _every("tiles"))
+    sizes = guests.groupBy(group).agg(_tiles(F.sum("load")).alias("guest_tiles"))
+    here = hot_join(hosts.drop("load"), sizes, group).where("guest_tiles is not null").withColumn("tile", _tile("tile", F.col("tiles"))).withColumn("guest_tile", _every("guest_tiles"))
+    come = hot_join(guests.drop("load"), sizes, group).withColumn("guest_tile", _tile("guest_tile", F.col("guest_tiles"))).withColumn("tile", _every("tiles"))
     both = here.withColumn("guest", F.lit(False)).unionByName(come.withColumn("guest", F.lit(True)))
     return both.drop("tiles", "guest_tiles")
 
@@ -155,11 +164,11 @@ def near_signatures(texts: DataFrame, distance: int = DISTANCE) -> DataFrame:
     seen = cut_lineage(many.withColumn("tile", _tile("tile", F.col("tiles"))).join(held, ["key", "tile"]).withColumn("close", close).drop("hubs", "tile"))
     votes = seen.select("key", F.explode("close").alias("hub")).groupBy("key", "hub").count()
     best = votes.groupBy("key").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    placed = seen.join(best, "key")
+    placed = cut_lineage(hot_join(seen, best, "key"))
     star = placed.where("array_contains(close, hub) and tid <> hub").select(F.col("tid").alias("a"), F.col("hub").alias("b"))
     loads = F.lit(1 / TILE).alias("load")
-    guests = placed.where("not array_contains(close, hub)").select("key", "tid", "sig", "tiles", loads)
-    rows = few.unionByName(_met(many.select("key", "tid", "sig", "tiles"), guests, ["key"]), allowMissingColumns=True)
+    guests = placed.where("not array_contains(close, hub)").select("key", "tid", "sig", "tiles", loads)  # each hub is close to itself
+    rows = few.unionByName(_met(many.select("key", "tid", "sig", "tiles"), guests, "key"), allowMissingColumns=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, group in groups(batches, ["key", "tile", "guest_tile"]):
@@ -241,12 +250,12 @@ def links(docs: DataFrame, texts: DataFrame, grouped: DataFrame, n: int = WORDS,
     A group of one tile is compared whole. In a larger one every tile is, together with a few hubs of the
     group; what that leaves outside the largest component of the group meets all its texts, tile by tile.
     """
-    members = grouped.join(texts.select("tid", "id", "th", "shingles", "sig"), "tid")
     load = F.greatest(F.lit(1 / TILE), F.col("shingles") / TILE_SHINGLES)
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(load).alias("sum")).select("root", _tiles(F.col("sum")).alias("tiles"))
+    members = cut_lineage(grouped.join(texts.select("tid", "id", "th", "shingles", "sig"), "tid").withColumn("load", load))
+    sizes = members.groupBy("root").agg(_tiles(F.sum("load")).alias("tiles"))
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text_of()).alias("th"), "text")
     rows = rows.groupBy("id", "th").agg(F.first("text").alias("text"))
-    placed = cut_lineage(members.join(sizes, "root").withColumn("load", load).join(rows, ["id", "th"]).drop("id", "th", "shingles"))
+    placed = cut_lineage(hot_join(members, sizes, "root").join(rows, ["id", "th"]).drop("id", "th", "shingles"))
     alone = F.lit(None).cast("boolean").alias("guest")
     own = placed.select("root", _tile("tile", F.col("tiles")), alone, "tid", "sig", "text")
     large = placed.where("tiles > 1")
@@ -256,11 +265,10 @@ def links(docs: DataFrame, texts: DataFrame, grouped: DataFrame, n: int = WORDS,
     if large.isEmpty():
         return first
     parts = components(first).select(F.col("node").alias("tid"), F.col("root").alias("part"))
-    parted = large.join(parts, "tid", "left").withColumn("part", F.coalesce("part", "tid"))
+    parted = cut_lineage(large.join(parts, "tid", "left").withColumn("part", F.coalesce("part", "tid")))
     main = parted.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    guests = parted.join(main, "root").where("part <> main").drop("main")
-    hosts = parted.join(guests.select("root").distinct(), "root", "left_semi")
-    return first.unionByName(_linked(_met(hosts, guests, ["root"]), ["root", "tile", "guest_tile"], n, percent, distance))
+    guests = cut_lineage(hot_join(parted, main, "root").where("part <> main").drop("main"))
+    return first.unionByName(_linked(_met(parted, guests, "root"), ["root", "tile", "guest_tile"], n, percent, distance))
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, distance: int = DISTANCE) -> DataFrame:
