@@ -37,11 +37,12 @@ def document_type(path: Column) -> Column:
     )
 
 
-def classify_documents(paths: DataFrame, features: DataFrame) -> DataFrame:
+def classify_documents(paths: DataFrame, features: DataFrame, plans: DataFrame | None = None) -> DataFrame:
     """Type, owning feature and its status per document path.
 
     The owner is the nearest directory upwards that is a feature; candidates per document are its own
-    ancestors only, a handful of rows each.
+    ancestors only, a handful of rows each. A plan document belongs to the feature that its plan references:
+    ``plans`` (``plan, feature``) tells which; of several existing ones the first by name.
     """
     p = F.col("path")
     kind = document_type(p)
@@ -53,6 +54,12 @@ def classify_documents(paths: DataFrame, features: DataFrame) -> DataFrame:
         .groupBy("path")
         .agg(F.max_by(F.struct("id", "status"), X.depth(F.col("id"))).alias("o"))
     )
+    if plans is not None:
+        of_plan = plans.join(features.select(F.col("id").alias("feature"), "status"), "feature")
+        of_plan = of_plan.groupBy("plan").agg(F.min(F.struct(F.col("feature").alias("id"), "status")).alias("o"))
+        at = docs.where(kind == "plan").select("path", F.explode_outer(X.prefixes(F.regexp_extract(p, r"^spec/plans/(.+)/[^/]*$", 1))).alias("plan"))
+        named = at.join(of_plan, "plan").groupBy("path").agg(F.max_by("o", X.depth(F.col("plan"))).alias("o"))
+        owner = owner.unionByName(named)
     return docs.join(owner, "path", "left").select(
         "path", kind.alias("type"), F.col("o.id").alias("feature"), F.col("o.status").alias("status")
     )

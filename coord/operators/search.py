@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coord.functions import text as X
+from coord.operators import ordered as O
 from coord.operators.corpus import classify_documents, document_type, feature_refs, features_of
 from coord.operators.extract import enclosing, marked_lines
 
@@ -77,9 +78,11 @@ def search_specs(
 
 
 def ranked(matches: DataFrame, limit: int | None = None) -> DataFrame:
-    """Matches by relevance, then path, then line."""
-    out = matches.orderBy("tier", "path", "line")
-    return out.limit(limit) if limit is not None else out
+    """Matches with their ``rank`` by relevance, then path, then line; with ``limit`` the first ones."""
+    order = ["tier", "path", "line"]
+    if limit is not None:
+        return O.top_per_key(matches.orderBy(*order).limit(limit), [], [F.col(c) for c in order], limit)
+    return O.over_order(matches.withColumn("_all", F.lit(0)), ["_all"], order, O.rank("rank")).drop("_all")
 
 
 def context_text(column: str = "context"):
@@ -116,9 +119,3 @@ def related(matches: DataFrame, edges: DataFrame, plans: DataFrame | None = None
     if plans is not None:
         rows = rows.unionByName(plans.select("feature", F.lit("plan").alias("relation"), F.col("plan").alias("other")))
     return rows.distinct().join(hit, "feature", "left_semi")
-
-
-def search_totals(matches: DataFrame) -> DataFrame:
-    return matches.agg(
-        F.count(F.lit(1)).alias("matches"), F.countDistinct("path").alias("files"), F.countDistinct("feature").alias("features")
-    )

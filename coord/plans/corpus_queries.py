@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coord.operators import corpus, extract, lint, search
+from coord.operators.search_index import index_of
 from coord.plans.registry import query
 from coord.session import cut_lineage
 from coord.sources import files
@@ -460,7 +461,7 @@ matches AS (SELECT m.*, context, regexp_extract(m.path, '^spec/features/(.+)/REA
 
 @query("search_terms", "spec_docs", sql=f"WITH {search_sql(['question', 'details'], 'question details')} SELECT * FROM matches")
 def search_terms(spark, docs):
-    return search.search_specs(docs, "Question details").withColumn("context", search.context_text())
+    return index_of(docs, "spec").search("Question details").withColumn("context", search.context_text())
 
 
 @query(
@@ -469,17 +470,16 @@ def search_terms(spark, docs):
       WHERE section = 'Outstanding Questions' AND status = 'Stable' AND path LIKE 'spec/features/src1/%'""",
 )
 def search_scoped(spark, docs):
-    got = search.search_specs(docs, "question", section="oq", status="Stable", type="feature", feature="src1")
+    got = index_of(docs, "spec").search("question", section="oq", status="Stable", type="feature", feature="src1")
     return got.select("path", "line", "tier", "section")
 
 
 @query(
     "search_phrase_ranked", "spec_docs",
-    sql=f"WITH {search_sql(['feature 1'], 'feature 1')} SELECT path, line, tier, text FROM matches",
+    sql=f"""WITH {search_sql(['feature 1'], 'feature 1')} SELECT path, line, tier, text, row_number() OVER (ORDER BY tier, path, line) AS rank FROM matches""",
 )
 def search_phrase_ranked(spark, docs):
-    got = search.search_specs(docs, "Feature 1", phrase=True).select("path", "line", "tier", "text")
-    return search.ranked(got)
+    return search.ranked(index_of(docs, "spec").search("Feature 1", phrase=True).select("path", "line", "tier", "text"))
 
 
 @query(
@@ -490,4 +490,41 @@ def search_phrase_ranked(spark, docs):
       FROM matches GROUP BY feature""",
 )
 def search_with_refs(spark, docs):
-    return search.search_with_refs(search.search_specs(docs, "Question details"), extract.dependency_edges(docs))
+    index = index_of(docs, "spec")
+    return search.search_with_refs(index.search("Question details"), index.edges())
+
+
+@query(
+    "search_index", "spec_docs",
+    sql=rf"""WITH {lines_sql('spec_docs')}, w AS (SELECT unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS word FROM ln)
+      SELECT (SELECT count(*) FROM spec_docs) AS documents, (SELECT count(*) FROM ln) AS lines, count(DISTINCT word) AS words, count(*) AS places FROM w""",
+)
+def search_index(spark, docs):
+    return index_of(docs, "spec").sizes()
+
+
+@query(
+    "search_with_plans", "spec_docs", "plan_docs",
+    sql=rf"""WITH {search_sql(['question', 'details'], 'question details')}, e AS ({EDGES_SQL}), {PLAN_LINKS}
+      SELECT feature, count(*) AS matches, count(DISTINCT path) AS files, min(tier) AS best_tier,
+        (SELECT count(*) FROM e WHERE src = feature) AS deps, (SELECT count(*) FROM e WHERE dst = feature) AS reverse_deps,
+        (SELECT count(DISTINCT plan) FROM pl WHERE pl.feature = matches.feature) AS plans
+      FROM matches GROUP BY feature""",
+)
+def search_with_plans(spark, docs, plan_docs):
+    index = index_of(docs, "spec")
+    return search.search_with_refs(index.search("Question details"), index.edges(), extract.plan_features(plan_docs))
+
+
+@query(
+    "search_plans", "spec_docs", "plan_docs",
+    sql=r"""WITH f AS (SELECT regexp_extract(path, '^spec/features/(.+)/README\.md$', 1) AS id, trim(regexp_extract(text, '\*\*Status:\*\* ([^
+]*)', 1)) AS status FROM spec_docs),
+      pl AS (SELECT path, unnest([regexp_extract(text, '\*\*Features:\*\* ([^,]*),', 1), 'src1/f1']) AS id FROM plan_docs),
+      o AS (SELECT path, min(id) AS feature FROM pl JOIN f USING (id) GROUP BY path)
+      SELECT d.path, 4 AS line, 2 AS tier, feature, status, 'plan' AS type FROM plan_docs d LEFT JOIN o USING (path) LEFT JOIN f ON f.id = o.feature WHERE contains(lower(text), '**effort:** xl')""",
+)
+def search_plans(spark, docs, plan_docs):
+    more = docs.unionByName(plan_docs)
+    found = index_of(more, "spec-plans").search("**Effort:** XL", phrase=True, plans=extract.plan_features(plan_docs))
+    return found.select("path", "line", "tier", "feature", "status", "type")
