@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coord.functions import text as X
-from coord.session import cut_lineage
+from coord.operators import ordered as O
+from coord.operators.skew import hot_join
+from coord.session import stored as cut_lineage  # tables: a checkpoint keeps the old plan's size estimate, which multiplies in a loop
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -96,64 +98,163 @@ def simple_cycles(tree: DataFrame) -> DataFrame:
     return tree.filter("cycle").select(turned.alias("cycle")).distinct()
 
 
-def trim_to_cycles(edges: DataFrame) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: ends without outgoing or without incoming edges, repeatedly."""
-    e = cut_lineage(edges.select("src", "dst").distinct())
+def climb(links: DataFrame) -> DataFrame:
+    """(node, top, dist, low) for links (node, up): the end of the way up, its length, and the least node on it.
+
+    ``up`` is null on tops and else another node of the table. A node whose way never ends has a null top; on a
+    cycle its ``low`` is then the least node of the cycle. Ways are doubled: after k rounds every node knows the
+    2^k-th above it, so the rounds are logarithmic in the depth. A round reads all nodes and writes those whose
+    way is still open; nodes above which many others stand are looked up without gathering these.
+    """
+    up = F.col("up")
+    start = links.select("node", F.coalesce(up, F.col("node")).alias("at"), up.isNotNull().cast("long").alias("dist"), F.col("node").alias("low"), up.isNotNull().alias("open"))
+    start = cut_lineage(start)
+    shut, waiting, n, span = [start.filter(~F.col("open"))], start.filter("open"), start.count(), 1
+    left = waiting.count()
+    while left and span <= n:
+        above = _union([*shut, waiting]).select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("dist").alias("_dist"), F.col("low").alias("_low"), F.col("open").alias("_open"))
+        moved = hot_join(waiting, above, ["at"]).select(
+            "node", F.col("_at").alias("at"), (F.col("dist") + F.col("_dist")).alias("dist"), F.least("low", "_low").alias("low"), F.col("_open").alias("open"),
+        )
+        moved = cut_lineage(moved)
+        shut.append(moved.filter(~F.col("open")))
+        waiting = moved.filter("open")
+        left, span = waiting.count(), span * 2
+    ended = _union(shut).select("node", F.col("at").alias("top"), "dist", "low")
+    return ended.unionByName(waiting.select("node", F.lit(None).cast(links.schema["node"].dataType).alias("top"), "dist", "low"))
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges whose start has an edge in and whose end has an edge out."""
+    e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+    return e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+
+
+def _straightened(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges without nodes of one edge in and one out, (node, head, tail) of these, (node, label) of rings made of them)."""
+    ins = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ins"), F.first("src").alias("before"))
+    outs = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outs"), F.first("dst").alias("after"))
+    thin = (F.col("ins") == 1) & (F.col("outs") == 1)
+    nodes = cut_lineage(ins.join(outs, "node", "full").select("node", F.coalesce(thin, F.lit(False)).alias("thin"), "before", "after"))
+    inner = nodes.filter("thin").select("node")
+    if inner.isEmpty():
+        return e, inner, inner
+    way = lambda side: climb(nodes.select("node", F.when(F.col("thin"), F.col(side)).alias("up")))
+    ahead = cut_lineage(way("after").join(inner, "node", "left_semi"))
+    rings = ahead.filter("top IS NULL").select("node", F.col("low").alias("label"))
+    back = way("before").select("node", F.col("top").alias("head"))
+    chains = cut_lineage(ahead.filter("top IS NOT NULL").select("node", F.col("top").alias("tail")).join(back, "node").select("node", "head", "tail"))
+    gone = lambda c: inner.withColumnRenamed("node", c)
+    kept = e.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst")
+    return cut_lineage(kept.unionByName(chains.select(F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct()), chains, rings
+
+
+def _spread(labels: DataFrame, e: DataFrame) -> DataFrame:
+    """(node, label): the least label of the nodes from which a node is reached, and its own."""
+    labels = news = cut_lineage(labels)
+    while True:
+        sent = news.select(F.col("node").alias("src"), "label").join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
+        news = cut_lineage(sent.join(labels, "node").filter("new < label").select("node", F.col("new").alias("label")))
+        if news.isEmpty():
+            return labels
+        fresh = news.withColumnRenamed("label", "new")
+        labels = cut_lineage(labels.join(fresh, "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, group) of every node on a cycle: the least node of its strongly connected component.
+
+    Edges that cannot lie on a cycle are trimmed, and nodes with one edge in and one out are taken out of their
+    ways (by doubling, so a ring or tail of n nodes takes log n rounds); such a node is in a component if both
+    ends of its way are. In what is left the least label spreads along the edges; a component's least node keeps
+    its own, and the nodes of that label from which it is reached are its component. One label per node, no
+    pairs. Rounds of the spreading are as many as what is left is deep.
+    """
+    e = edges.select("src", "dst").distinct()
+    loops = [e.filter("src = dst").select(F.col("src").alias("node"))]
+    e = cut_lineage(e.filter("src <> dst"))
+    levels: list[DataFrame] = []
+    found: list[DataFrame] = []
     n = e.count()
     while n:
-        e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        before = n
+        e, chains, rings = _straightened(cut_lineage(_trimmed(e)))
+        if "head" in chains.columns:
+            levels.append(chains)
+            found.append(rings)
+            loops.append(e.filter("src = dst").select(F.col("src").alias("node")))
+            e = cut_lineage(e.filter("src <> dst"))
+        n = e.count()
+        if n < before:
+            continue
+        nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colour = _spread(nodes.withColumn("label", F.col("node")), e)
+        of = lambda side: colour.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        inside = cut_lineage(e.join(of("src"), "src").join(of("dst"), "dst").filter("src_label = dst_label").select("src", "dst", F.col("src_label").alias("label")))
+        reached = news = cut_lineage(colour.filter("node = label"))
+        while not news.isEmpty():
+            back = news.select(F.col("node").alias("dst")).join(inside, "dst").select(F.col("src").alias("node"), "label").distinct()
+            news = cut_lineage(back.join(reached, "node", "left_anti"))
+            reached = cut_lineage(reached.unionByName(news))
+        big = reached.groupBy("label").count().filter("count > 1").select("label")
+        found.append(cut_lineage(reached.join(big, "label", "left_semi").select("node", "label")))
+        done = reached.select("node")
+        e = inside.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti")
         e = cut_lineage(e.select("src", "dst"))
-        left = e.count()
-        if left == n:
-            break
-        n = left
-    return e
+        n = e.count()
+    known = _union(found) if found else loops[0].select("node", F.col("node").alias("label"))
+    alone = _union(loops).distinct().join(known, "node", "left_anti").select("node", F.col("node").alias("label"))
+    known = cut_lineage(known.unionByName(alone) if found else alone.unionByName(known).distinct())
+    for chains in reversed(levels):
+        of = lambda side: known.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        ends = chains.join(of("head"), "head").join(of("tail"), "tail").filter("head_label = tail_label")
+        known = cut_lineage(known.unionByName(ends.select("node", F.col("head_label").alias("label"))))
+    least = known.groupBy("label").agg(F.min("node").alias("group"))
+    return hot_join(known, least, ["label"]).select("node", "group")
 
 
 def find_cycles(edges: DataFrame) -> DataFrame:
-    """Edges whose end reaches their start, with the smallest node of their cycle group.
-
-    The graph is first trimmed to the part that can hold cycles, which is usually tiny; groups are then
-    found by two-way reachability inside it.
-    """
-    core = trim_to_cycles(edges)
-    closure = reach(core).select("root", "node")
-    back = closure.select(F.col("node").alias("root"), F.col("root").alias("node"))
-    mutual = closure.join(back, ["root", "node"], "left_semi")
-    group = mutual.groupBy(F.col("root").alias("src")).agg(F.min("node").alias("cycle_group"))
-    pairs = mutual.select(F.col("root").alias("src"), F.col("node").alias("dst"))
-    return core.join(pairs, ["src", "dst"], "left_semi").join(group, "src").select("src", "dst", "cycle_group")
+    """Edges that lie on a cycle, with the smallest node of their cycle group."""
+    groups = cut_lineage(strong_components(edges))
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("group").alias(f"{side}_group"))
+    inside = edges.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").filter("src_group = dst_group")
+    return inside.select("src", "dst", F.col("src_group").alias("cycle_group"))
 
 
 def dependency_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, wave): 0 without dependencies, else one more than the latest of them; null on and behind cycles.
 
-    Dependencies on unknown nodes are ignored. Each round settles one wave and touches only the edges
-    still waiting.
+    Dependencies on unknown nodes are ignored. A node with one dependency stands one wave above it, so ways of
+    such nodes are climbed by doubling. Nodes with several count down: each round, the nodes settled in the round
+    before send their wave along the edges to them, and those that have heard from all are settled. What was sent
+    lies in a few tables, merged as they grow, so the rows written in all are about nodes plus edges.
     """
     all_nodes = cut_lineage(nodes.select("node").distinct())
-    known = all_nodes.select(F.col("node").alias("dst"))
-    waiting = cut_lineage(
-        edges.select("src", "dst").distinct().join(known, "dst", "left_semi").join(
-            all_nodes.select(F.col("node").alias("src")), "src", "left_semi"
-        ).select("src", "dst")
-    )
-    left = all_nodes
-    settled: list[DataFrame] = []
-    wave = 0
-    while True:
-        blocked = waiting.select(F.col("src").alias("node")).distinct()
-        free = cut_lineage(left.join(blocked, "node", "left_anti").withColumn("wave", F.lit(wave)))
-        if free.isEmpty():
+    named = lambda c: all_nodes.withColumnRenamed("node", c)
+    e = cut_lineage(edges.select("src", "dst").distinct().join(named("dst"), "dst", "left_semi").join(named("src"), "src", "left_semi").select("src", "dst"))
+    needs = cut_lineage(all_nodes.join(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("need"), F.first("dst").alias("one")), "node", "left"))
+    ways = cut_lineage(climb(needs.select("node", F.when(F.col("need") == 1, F.col("one")).alias("up"))).select("node", "top", "dist"))
+    many = needs.filter("need > 1").select(F.col("node").alias("src"), "need")
+    tops = ways.select(F.col("node").alias("dst"), "top", "dist")
+    sends = cut_lineage(e.join(many.select("src"), "src", "left_semi").join(tops, "dst").select("src", "top", (F.col("dist") + 1).alias("more")))
+    settled = [cut_lineage(needs.filter("need IS NULL").select("node", F.lit(0).cast("long").alias("wave")))]
+    heard: list[DataFrame] = []
+    sizes: list[int] = []
+    while not sends.isEmpty():
+        now = settled[-1].select(F.col("node").alias("top"), "wave").join(sends, "top")
+        now = cut_lineage(now.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("wave") + F.col("more")).alias("wave")))
+        size = now.count()
+        if not size:
             break
-        settled.append(free)
-        done = free.select("node")
-        waiting = cut_lineage(waiting.join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-        left = cut_lineage(left.join(done, "node", "left_anti"))
-        wave += 1
-    stuck = left.withColumn("wave", F.lit(None).cast("int"))
-    return _union([*settled, stuck])
+        heard.append(now)
+        sizes.append(size)
+        while len(heard) > 1 and sizes[-2] <= 2 * sizes[-1]:
+            heard[-2:] = [cut_lineage(_union(heard[-2:]).groupBy("src").agg(F.sum("n").alias("n"), F.max("wave").alias("wave")))]
+            sizes[-2:] = [sum(sizes[-2:])]
+        so_far = _union([h.join(now.select("src"), "src", "left_semi") for h in heard]).groupBy("src").agg(F.sum("n").alias("n"), F.max("wave").alias("wave"))
+        settled.append(cut_lineage(so_far.join(many, "src").filter("n = need").select(F.col("src").alias("node"), "wave")))
+    waves = _union(settled).withColumnRenamed("node", "top")
+    return hot_join(ways, waves, ["top"]).select("node", (F.col("wave") + F.col("dist")).cast("int").alias("wave"))
 
 
 def impact(
@@ -197,10 +298,11 @@ def focus_tree(features: DataFrame, target: str | None = None, direction: str |
 
 
 def tree_lines(tree: DataFrame) -> DataFrame:
-    """Indented lines of a tree in reading order."""
+    """Indented lines of a tree with their ``place`` in reading order."""
     name = F.element_at("sort_key", -1)
-    return tree.orderBy("sort_key").select(
-        "id", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.when(F.col("focus"), "* ").otherwise(""), name).alias("line")
+    placed = O.over_order(tree.withColumn("_all", F.lit(0)), ["_all"], ["sort_key"], O.rank("place"))
+    return placed.select(
+        "id", "place", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.when(F.col("focus"), "* ").otherwise(""), name).alias("line")
     )
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coord.functions.status import is_terminal, lookup
 from coord.operators import ordered as O
+from coord.operators.graph import climb
+from coord.operators.skew import hot_join
 from coord.session import cut_lineage
 
 
@@ -214,27 +215,17 @@ def liveness_gaps(heartbeats: DataFrame, timeout_s: int, as_of: Column, key: str
 def span_depths(spans: DataFrame, keys: Sequence[str] = ("trace_id", "span_id")) -> DataFrame:
     """Depth of every span in its trace, roots and orphans 0; null when parents form a cycle.
 
-    Level by level from the roots, each round joins only the spans not placed yet.
+    Parents are climbed by doubling, so a trace of depth d takes log d rounds.
     """
     t, s = keys
-    links = cut_lineage(spans.select(t, s, "parent_id"))
-    ids = links.select(t, F.col(s).alias("parent_id"), F.lit(True).alias("_has"))
-    placed = links.join(ids, [t, "parent_id"], "left").withColumn("orphan", F.col("parent_id").isNotNull() & F.col("_has").isNull())
-    placed = cut_lineage(placed.select(t, s, "parent_id", "orphan"))
-    level = placed.filter("parent_id IS NULL OR orphan").select(t, s, "orphan", F.lit(0).alias("depth"))
-    rest = placed.filter("parent_id IS NOT NULL AND NOT orphan")
-    done = [level]
-    depth = 0
-    while True:
-        depth += 1
-        up = level.select(t, F.col(s).alias("parent_id"))
-        level = cut_lineage(rest.join(up, [t, "parent_id"]).select(t, s, "orphan", F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            break
-        done.append(level)
-        rest = cut_lineage(rest.join(level.select(t, s), [t, s], "left_anti"))
-    stuck = rest.select(t, s, "orphan", F.lit(None).cast("int").alias("depth"))
-    return reduce(DataFrame.unionByName, [*done, stuck])
+    rows = cut_lineage(spans.select(t, s, "parent_id"))
+    ids = rows.select(t, F.col(s).alias("parent_id")).distinct().withColumn("_has", F.lit(True))
+    known = hot_join(rows, ids, [t, "parent_id"]).withColumn("orphan", F.col("parent_id").isNotNull() & F.col("_has").isNull())
+    known = cut_lineage(known.select(t, s, "parent_id", "orphan"))
+    has_parent = F.col("parent_id").isNotNull() & ~F.col("orphan")
+    ways = climb(known.select(F.struct(F.col(t).alias("t"), F.col(s).alias("s")).alias("node"), F.when(has_parent, F.struct(F.col(t).alias("t"), F.col("parent_id").alias("s"))).alias("up")))
+    depth = F.when(F.col("top").isNotNull(), F.col("dist").cast("int")).alias("depth")
+    return known.select(t, s, "orphan").join(ways.select(F.col("node.t").alias(t), F.col("node.s").alias(s), depth), [t, s])
 
 
 def correlate_traces(spans: DataFrame, logs: DataFrame | None = None, error_status: str = "error") -> DataFrame:

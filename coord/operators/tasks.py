@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from coord.functions.text import parent_path
 from coord.operators import ordered as O
 from coord.operators.graph import reach
 from coord.schemas import TASK_FIELDS
+from coord.session import cut_lineage
 
 
 def list_tasks(tasks: DataFrame, order: str | None = "ordinal", **equals: str | None) -> DataFrame:
@@ -141,6 +143,25 @@ def _derived(counts: dict[str, str]) -> Column:
     )
 
 
+def descendants(subtasks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node) for every sub-task (``slug, parent``) below each root, at every depth.
+
+    With one parent each the sub-tasks are a forest: a level is the children of the level above, no node comes
+    twice, and only a root on a cycle of parents could come back, to itself. Other tables go through ``reach``.
+    """
+    e = cut_lineage(subtasks.filter("parent IS NOT NULL").select("slug", "parent").distinct())
+    if not e.groupBy("slug").count().filter("count > 1").isEmpty():
+        return reach(e.select(F.col("parent").alias("src"), F.col("slug").alias("dst")), roots).select("root", "node")
+    found = []
+    level = roots.select("root", F.col("root").alias("parent")).distinct()
+    while True:
+        level = cut_lineage(level.join(e, "parent").filter("slug <> root").select("root", F.col("slug").alias("node")))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, [*found, level])
+        found.append(level)
+        level = level.select("root", F.col("node").alias("parent"))
+
+
 def plan_progress(plan_tasks: DataFrame, tasks: DataFrame, subtasks: DataFrame | None = None) -> DataFrame:
     """Derived status per (plan, plan_task) from linked execution tasks and their sub-tasks at every depth.
 
@@ -150,7 +171,7 @@ def plan_progress(plan_tasks: DataFrame, tasks: DataFrame, subtasks: DataFrame |
     live = tasks.select("slug", "status")
     links = plan_tasks.select("plan", "plan_task", F.col("task").alias("slug")).distinct()
     if subtasks is not None:
-        below = reach(subtasks.select(F.col("parent").alias("src"), F.col("slug").alias("dst")), links.select(F.col("slug").alias("root")))
+        below = descendants(subtasks, links.select(F.col("slug").alias("root")))
         below = links.join(below.select(F.col("root").alias("slug"), F.col("node").alias("_sub")), "slug")
         links = links.unionByName(below.select("plan", "plan_task", F.col("_sub").alias("slug"))).distinct()
     planned = links.join(live, "slug", "left")
