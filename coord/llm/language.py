@@ -15,7 +15,6 @@ from coord.llm.common import fold_of, smallest_hashes
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE_PER_LANG = 400  # documents per language that its prototype is bundled from
-SAMPLE_CHARS = 8_000  # longer documents are not in the sample
 DIM = 512
 CHUNK_CHARS = 300_000
 UNKNOWN = "und"
@@ -101,14 +100,14 @@ class Profiles:
         return langs, np.where(known, np.clip((1 + cosine.max(axis=1)) / 2, 0, 1), 0.0)
 
 
-def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CHARS) -> Profiles | None:
-    """Prototypes from at most ``per_lang`` documents per language, outside the held-out fold, of at most ``chars`` characters.
+def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Profiles | None:
+    """Prototypes from at most ``per_lang`` documents per language, outside the held-out fold, of any length.
 
     The documents with the smallest hashes of their ids are chosen by id alone (rows without an id are not),
     then their texts, one for each id, are fetched; at most ``per_lang`` ids per language are broadcast. The
-    tasks bundle the texts and only one sum per batch and language comes back. None without any.
+    tasks bundle the whole texts and only one sum per batch and language comes back. None without any.
     """
-    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") <= chars)).select("doc_id", "lang", "text")
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
     rows = rows.where(F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
     chosen = smallest_hashes(rows.select("doc_id", "lang").distinct(), "lang", per_lang)
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
