@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,9 @@ from coord.llm.common import fold_of, smallest_hashes
 
 FOLDS = 5
 SAMPLE_PER_LABEL = 1_200  # labelled documents of each kind that the network is trained on
-SAMPLE_CHARS = 8_000  # longer documents are not in the sample
 WINDOW, STRIDE = 32, 16
+SEARCHED = -4.0  # around a window of at least this logit, every window is scored
+BLOCK_WINDOWS = 8_192
 DIM, HIDDEN = 16, 8
 WORD_SLOTS, CHAR_SLOTS = 1 << 15, 1 << 14
 STEPS, BATCH, RATE = 200, 64, 0.01  # a small sample is gone through more often
@@ -52,7 +53,7 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All overlapping windows of word numbers (-1 beyond the end) and the text of each; a text without words has one empty window."""
+    """Every ``STRIDE``-th window of word numbers (-1 beyond the end) and the text of each; a text without words has one empty window."""
     parts, owner = [], []
     for k, x in enumerate(ids):
         n = max(1, -(-(len(x) - WINDOW) // STRIDE) + 1)
@@ -63,6 +64,18 @@ def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(owner)
 
 
+def between(ids: list[np.ndarray], owner: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first word) of all whole windows that overlap the ``near`` ones of ``windows(ids)`` by more than half, without the latter."""
+    sizes = np.array([len(x) for x in ids])
+    first = np.searchsorted(owner, np.arange(len(ids)))
+    at = (np.flatnonzero(near) - first[owner[near]]) * STRIDE
+    starts = (at[:, None] + np.arange(1 - STRIDE, STRIDE)).ravel()
+    text = np.repeat(owner[near], 2 * STRIDE - 1)
+    ok = (starts >= 0) & (starts + WINDOW <= sizes[text]) & (starts % STRIDE != 0)
+    both = np.unique(np.stack([text[ok], starts[ok]], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
 def _tanh_gates(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
@@ -184,21 +197,37 @@ class Network:
                     mem[hit] += (total * total).mean(axis=1)
                     table[hit] -= 0.05 * total / np.sqrt(mem[hit])[:, None]
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """0 to 1 for each text: the highest of its windows. Works through the words in chunks of bounded size."""
-        out = np.zeros(len(texts), np.float32)
-        split = [_WORD.findall((t or "").lower()) for t in texts]
+    def score(self, texts: Iterable[str | None], searched: float = SEARCHED) -> np.ndarray:
+        """0 to 1 for each text: the highest of its windows.
+
+        Every ``STRIDE``-th window is scored, then all windows around those of a logit of at least ``searched``.
+        Works through the words in chunks of bounded size; a text is split into words when its turn comes.
+        """
+        out: list[float] = []
         chunk: list[tuple[int, list[str]]] = []
 
         def flush() -> None:
             ids, words = vocabulary([w for _, w in chunk])
+            text = np.array([i for i, _ in chunk])
+            vectors = self.vectors(hashed(words or ["?"]))
             win, owner = windows(ids)
-            logits, _ = self.forward(self.vectors(hashed(words or ["?"])), win)
-            np.maximum.at(out, np.array([i for i, _ in chunk])[owner], _tanh_gates(logits))
+            logits = np.concatenate([self.forward(vectors, win[a:a + BLOCK_WINDOWS])[0] for a in range(0, len(win), BLOCK_WINDOWS)])
+            best = np.full(len(chunk), -np.inf)
+            np.maximum.at(best, owner, logits)
+            of, starts = between(ids, owner, logits >= searched)
+            base, flat = np.cumsum([0, *map(len, ids)]), np.concatenate(ids)
+            for a in range(0, len(of), BLOCK_WINDOWS):
+                which = of[a:a + BLOCK_WINDOWS]
+                more = flat[(base[which] + starts[a:a + BLOCK_WINDOWS])[:, None] + np.arange(WINDOW)]
+                np.maximum.at(best, which, self.forward(vectors, more)[0])
+            for i, x in zip(text, _tanh_gates(best)):
+                out[i] = max(out[i], float(x))
             chunk.clear()
 
         held = 0
-        for i, w in enumerate(split):
+        for i, t in enumerate(texts):
+            out.append(0.0)
+            w = _WORD.findall((t or "").lower())
             for a in range(0, max(1, len(w) - WINDOW + STRIDE), CHUNK_WORDS):  # pieces overlap, so no window is lost
                 chunk.append((i, w[a:a + CHUNK_WORDS + WINDOW]))
                 held += len(chunk[-1][1])
@@ -207,20 +236,20 @@ class Network:
                     held = 0
         if chunk:
             flush()
-        return out
+        return np.array(out, np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, per_label: int = SAMPLE_PER_LABEL, chars: int = SAMPLE_CHARS) -> Network | None:
-    """A network trained on at most ``per_label`` documents of each label, of at most ``chars`` characters.
+def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, per_label: int = SAMPLE_PER_LABEL) -> Network | None:
+    """A network trained on at most ``per_label`` documents of each label, of any length.
 
     Only documents whose fold is not 0 are used, those with the smallest hashes of their ids. They are chosen
-    by id alone, then their texts (one for each id) are fetched: at most two times ``per_label`` ids are
+    by id alone, then their whole texts (one for each id) are fetched: at most two times ``per_label`` ids are
     broadcast and as many texts reach the driver. None if a label is missing there.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    short = docs.where((F.length("text") <= chars) & (F.length("text") > 0)).select("doc_id", "text")
-    chosen = smallest_hashes(short.select("doc_id").distinct().join(known, "doc_id"), "toxic", per_label)
-    met = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    some = docs.where(F.length("text") > 0).select("doc_id", "text")
+    chosen = smallest_hashes(some.select("doc_id").distinct().join(known, "doc_id"), "toxic", per_label)
+    met = some.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
     picked = sorted(met.select("toxic", F.xxhash64("doc_id").alias("h"), "doc_id", "text").collect())
     toxic = np.array([r["toxic"] for r in picked], np.float32)
     if not len(picked) or toxic.min() == toxic.max():
@@ -240,7 +269,7 @@ def scored(docs: DataFrame, net: Network | None) -> DataFrame:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(shared.value.score(list(texts)).astype(float))
+            yield pd.Series(shared.value.score(texts).astype(float))
 
     return docs.select(F.struct("*").alias("row"), score(F.col("text")).alias("score"))
 
@@ -248,8 +277,9 @@ def scored(docs: DataFrame, net: Network | None) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, **how) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document.
 
-    A text is read in all windows of ``WINDOW`` words, each overlapping the next by half; its score is that of
-    the most toxic window. Labels are learned from a bounded sample of documents outside fold 0 of the ids.
+    The score of a text is that of its most toxic window of ``WINDOW`` words. Of all overlapping windows, those half
+    a window apart are scored first, and then every one around each that is not far below the threshold (a logit of
+    ``SEARCHED``, a score of 0.018). Labels are learned from a bounded sample of documents outside fold 0 of the ids.
     Null, empty and wordless texts are scored as one empty window. Repeated rows are scored apart and alike;
     repeated labels count as toxic if one of them does. Without labels of both kinds every score is 0. A null
     id is in the fold of the empty text. An empty table gives no rows. Other columns are ignored.
