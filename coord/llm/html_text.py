@@ -5,30 +5,36 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coord.llm.common import smallest_hashes
+
 SAMPLE_PAGES = 150  # pages whose blocks give words and layouts to learn from
-SAMPLE_CHARS = 30_000  # longer pages are not in the sample
 LAYOUTS = 450  # invented pages to learn from
 PATH_DIM, WORD_DIM, EXTRA = 96, 24, 6
 HIDDEN = 16
 EPOCHS, BATCH, RATE = 12, 16, 0.01
 CHUNK_BLOCKS = 4_000
+CHUNK_CHARS = 4_000_000
 
 #: Elements that begin and end blocks, elements whose content is no text, elements without content.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = "script|style|noscript|template|svg|textarea|iframe"
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_CLOSED_SVG = r"<svg(?=[\s/>])(?:\s++|/(?!>)|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)|\"[^\"]*+\"|'[^']*+'|[^\s/>=\"']++)*+/>"  # its start tag closes it; a slash in an unquoted value does not
+# Inside a tag: blanks, slashes, and attributes. Only a value that begins with a quote is quoted; others hold quotes and slashes.
+_VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+)"
+_ATTRIBUTE = rf"[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+"
+_CLOSED_SVG = rf"<svg(?=[\s/>])(?:\s++|/(?!>)|{_ATTRIBUTE})*+/>"  # its start tag closes it
 _TOKEN = re.compile(
-    rf"<!--(?:-?>|.*?(?:-->|\Z))|{_CLOSED_SVG}|<({SKIPPED})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S | re.I,
+    rf"<!--(?:-?>|.*?(?:-->|\Z))|{_CLOSED_SVG}|<({SKIPPED})(?=[\s/>])(?:[\s/]++|{_ATTRIBUTE})*+(?:>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)"
+    rf"|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S | re.I,
 )
+_OPEN_VALUE = re.compile(r"=\s*[^\s\"'>][^\s>]*$")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[a-z0-9]+")
@@ -81,7 +87,7 @@ def blocks(page: str | None) -> list[Block]:
                     stack.pop()
                 if stack and name == stack[-1][0] and name in ("li", "dd", "dt", "option", "tr", "td", "th"):
                     stack.pop()
-                if name not in EMPTY and not m[4].endswith("/"):
+                if name not in EMPTY and not (m[4].endswith("/") and not _OPEN_VALUE.search(m[4])):
                     names = tuple(w for found in _NAMES.findall(m[4]) for w in _PARTS.findall("".join(found).lower()))
                     stack.append((name, names))
     if at < len(page):
@@ -291,14 +297,18 @@ def layout(r: np.random.Generator, words: np.ndarray) -> tuple[str, set[str]]:
 _OUTSIDE = frozenset("nav header footer aside form button title head ad ads comments comment menu sidebar".split())
 
 
-def train(pages: DataFrame, sample: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS, layouts: int = LAYOUTS, seed: int = 17) -> Labeller:
-    """A labeller trained on at most ``sample`` pages of the table (at most ``chars`` long) and on invented layouts.
+def train(pages: DataFrame, sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS, seed: int = 17) -> Labeller:
+    """A labeller trained on at most ``sample`` pages of the table, of any length, and on invented layouts.
 
-    The pages with the smallest hashes of their html are taken. Blocks of a page with an ``article`` or ``main``
-    element are main text if they are inside it and not inside an element made for something else; pages
-    without one only give words. Layouts put such words under many names of page parts.
+    The pages with the smallest hashes of their ids are chosen by id alone (rows without an id are not); one
+    whole page of each id reaches the driver. Blocks of a page with an ``article`` or ``main`` element are main
+    text if they are inside it and not inside an element made for something else; pages without one only give
+    words. Layouts put such words under many names of page parts.
     """
-    picked = pages.where(F.length("html") <= chars).select("html").orderBy(F.xxhash64("html"), "html").limit(sample).collect()
+    ids = pages.where("page_id IS NOT NULL AND html <> ''").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("all")).distinct()
+    chosen = smallest_hashes(ids, "all", sample).select(F.col("doc_id").alias("page_id"))
+    met = pages.where("html <> ''").select("page_id", "html").join(F.broadcast(chosen), "page_id")
+    picked = sorted(met.groupBy("page_id").agg(F.min("html").alias("html")).select(F.xxhash64("page_id").alias("h"), "page_id", "html").collect())
     vectors, rows, words = Vectors(), [], []
     for r in picked:
         own = blocks(r["html"])
@@ -316,6 +326,18 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, chars: int = SAMPLE_CHAR
     return made
 
 
+def pieces(htmls: Iterable[str | None], chars: int = CHUNK_CHARS) -> Iterator[list[str | None]]:
+    """The pages in lists of about so many characters."""
+    held, size = [], 0
+    for h in htmls:
+        held.append(h)
+        size += len(h or "")
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    yield held
+
+
 def main_text(pages: DataFrame, **how) -> DataFrame:
     """(row, text): every page's row as a struct and its main text, block by block, joined by line breaks.
 
@@ -333,8 +355,11 @@ def main_text(pages: DataFrame, **how) -> DataFrame:
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vectors = Vectors()
         for htmls in batches:
-            parsed = [blocks(h) for h in htmls]
-            kept = shared.value.main(parsed, vectors)
-            yield pd.Series(["\n".join(b.text for b, k in zip(p, ks) if k) for p, ks in zip(parsed, kept)])
+            out: list[str] = []
+            for part in pieces(htmls):
+                parsed = [blocks(h) for h in part]
+                kept = shared.value.main(parsed, vectors)
+                out += ["\n".join(b.text for b, k in zip(p, ks) if k) for p, ks in zip(parsed, kept)]
+            yield pd.Series(out, dtype=object)
 
     return pages.select(F.struct("*").alias("row"), extract(F.col("html")).alias("text"))
