@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coord.operators import ops
 from coord.plans.registry import AS_OF, query
+from coord.sources import files
 
 
 def _as_of():
@@ -176,3 +177,20 @@ def liveness_gaps(spark, heartbeats):
 )
 def correlate_traces(spark, spans, logs):
     return ops.correlate_traces(spans, logs, error_status="R")
+
+
+@query("event_payload", "events", sql="SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def event_payload(spark, events):
+    """A field of the open payload of every event."""
+    return files.payload_values(events, {"k": "$.k bigint"}, "props").select("event_id", "event_type", "k")
+
+
+@query(
+    "payload_schemas", "events",
+    sql="""SELECT event_type, count(*) AS events, count(*) FILTER (json_valid(props)) AS parsed,
+      'OBJECT<' || (SELECT string_agg(DISTINCT key || ': BIGINT', ', ') FROM (SELECT unnest(json_keys(e.props)) AS key FROM events e WHERE e.event_type = o.event_type)) || '>' AS schema
+      FROM events o GROUP BY event_type""",
+)
+def payload_schemas(spark, events):
+    """What the payloads of each type hold."""
+    return files.payload_schemas(events, "event_type", "props")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coord.functions.status import canonical_status, emoji
 from coord.functions.text import duration_seconds
@@ -11,20 +16,66 @@ from coord.operators.extract import line_array
 from coord.schemas import CHAT_MESSAGE, EVENT
 
 
-def _whole_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    root = root.rstrip("/")
-    files = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
-    )
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    top = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+def _read_texts(spark: SparkSession, root: str, at: str, name: str, deep: bool) -> DataFrame:
+    """(path, text) of files below ``root`` listed at ``at`` (a folder, or a pattern of files); paths relative to ``root``."""
+    reader = spark.read.option("pathGlobFilter", name)
+    files = (reader.option("recursiveFileLookup", "true") if deep else reader).text(at, wholetext=True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
     # percent codes only: a plus sign in a path is a plus sign
-    name = F.url_decode(F.replace(plain(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B")))
-    below = F.substring(name, F.length(plain(F.lit(top))) + 2, F.length(name))
+    full = F.url_decode(F.replace(plain(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B")))
+    below = F.substring(full, F.length(plain(F.lit(top))) + 2, F.length(full))
     return files.select(below.alias("path"), F.col("value").alias("text"))
 
 
+def _whole_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    return _read_texts(spark, root.rstrip("/"), root.rstrip("/"), glob, True)
+
+
+def glob_alternatives(pattern: str) -> list[str]:
+    """The patterns that braces stand for; a pattern without a slash names files at any depth."""
+    depth = 0
+    for k, c in enumerate(pattern):
+        depth += (c == "{") - (c == "}")
+        if depth < 0:
+            break
+    if depth or pattern.count("[") != pattern.count("]") or not pattern:
+        raise ValueError(f"invalid glob {pattern!r}")
+    at = pattern.find("{")
+    if at < 0:
+        return [pattern if "/" in pattern else f"**/{pattern}"]
+    end, depth, cuts = at, 0, [at]
+    for end in range(at, len(pattern)):
+        c = pattern[end]
+        depth += (c == "{") - (c == "}")
+        if depth == 1 and c == "," or not depth:
+            cuts.append(end)
+        if not depth:
+            break
+    parts = [pattern[a + 1:b] for a, b in zip(cuts, cuts[1:])]
+    return list(dict.fromkeys(x for part in parts for x in glob_alternatives(pattern[:at] + part + pattern[end + 1:])))
+
+
+def glob_regex(pattern: str) -> str:
+    """Regular expression of a pattern without braces: ``**`` any folders, ``*`` and ``?`` within a name, ``[a-z]`` and ``[!a]``."""
+    out, k = "", 0
+    while k < len(pattern):
+        if pattern.startswith("**/", k):
+            out, k = out + "(?:.*/)?", k + 3
+        elif pattern.startswith("**", k):
+            out, k = out + ".*", k + 2
+        elif pattern[k] in "*?":
+            out, k = out + ("[^/]*" if pattern[k] == "*" else "[^/]"), k + 1
+        elif pattern[k] == "[":
+            end = pattern.index("]", k + 2)
+            inside = pattern[k + 1:end].replace("\\", "\\\\")
+            out, k = out + "[" + ("^/" + inside[1:] if inside[0] in "!^" else inside) + "]", end + 1
+        else:
+            out, k = out + re.escape(pattern[k]), k + 1
+    return f"^{out}$"
+
+
 def scan_spec_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of every markdown file below ``root``; paths relative to it."""
     return _whole_files(spark, root, "*.md")
@@ -36,11 +87,31 @@ def discover_features(docs: DataFrame, features_root: str = "spec/features/") ->
     return docs.filter(got != "").select(got.alias("id"))
 
 
-def scan_source_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, text) of the source files selected by name."""
-    if glob.count("[") != glob.count("]"):
-        raise ValueError(f"invalid glob {glob!r}")
-    return _whole_files(spark, root, glob)
+def scan_source_tree(spark: SparkSession, root: str, glob: str = "**/*") -> DataFrame:
+    """(path, text) of the files below ``root`` whose relative path fits the glob, each once.
+
+    ``**`` stands for any folders, ``{a,b}`` for alternatives, ``[a-z]`` for classes; a glob without a slash
+    names files at any depth. Only folders that can hold a match are listed: from the leading part without
+    wildcards down, and no deeper than the pattern goes unless it has ``**``.
+    """
+    root, found = root.rstrip("/"), []
+    for pattern in glob_alternatives(glob.strip("/")):
+        parts = pattern.split("/")
+        fixed = next((k for k, x in enumerate(parts) if any(c in x for c in "*?[")), len(parts) - 1)
+        base, deep, name = "/".join([root, *parts[:fixed]]), "**" in pattern, parts[-1]
+        try:
+            if deep:
+                rows = _read_texts(spark, root, base, name if "**" not in name else "*", True)
+            else:
+                rows = _read_texts(spark, root, "/".join([root, *(x.replace("[!", "[^") for x in parts)]), "*", False)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        found.append(rows.filter(F.col("path").rlike(glob_regex(pattern))))
+    if not found:
+        return spark.createDataFrame([], "path string, text string")
+    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).dropDuplicates(["path"])
 
 
 def read_event_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -49,6 +120,27 @@ def read_event_log(spark: SparkSession, path: str, stream: bool = False) -> Data
     return reader.schema(EVENT).json(path).withColumnRenamed("at", "ts")
 
 
+def payload_values(events: DataFrame, fields: dict[str, str], payload: str = "data") -> DataFrame:
+    """The events with fields of their open payload as columns: ``fields`` maps a name to ``path type`` (``$.a.b int``).
+
+    The payload is VARIANT, or JSON text (broken text is null). A missing field, or one of another type, is null.
+    """
+    value = F.col(payload)
+    if isinstance(events.schema[payload].dataType, T.StringType):
+        value = F.try_parse_json(value)
+    picked = {name: F.try_variant_get(value, *spec.rsplit(" ", 1)) for name, spec in fields.items()}
+    return events.withColumns(picked)
+
+
+def payload_schemas(events: DataFrame, by: str = "type", payload: str = "data") -> DataFrame:
+    """(by, events, parsed, schema): what the payloads of each kind of event hold, merged map-side over all of them."""
+    value = F.col(payload)
+    if isinstance(events.schema[payload].dataType, T.StringType):
+        value = F.try_parse_json(value)
+    rows = events.select(by, value.alias("_v"))
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("_v").isNotNull() & ~F.is_variant_null("_v")).alias("parsed"), F.schema_of_variant_agg("_v").alias("schema"))
+
+
 def read_chat_history(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """``<chat id>/history.jsonl`` files; the chat id is the directory name."""
     reader = spark.readStream if stream else spark.read
