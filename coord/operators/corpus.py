@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coord.functions import text as X
-from coord.operators.extract import feature_id
+from coord.operators.extract import dependency_edges, feature_id, has_link, links, marked_lines, plan_features, sections
+from coord.session import cut_lineage
 
 
 def normative_only(docs: DataFrame, include_proposals: bool = False) -> DataFrame:
@@ -237,3 +238,39 @@ def feature_list(
         "proposals": lambda df: joined(proposals_of(docs).groupBy("feature").agg(n("proposals")), "proposals")(df),
     }
     return select_fields(features_of(docs), list(fields), FEATURE_FIELDS, ["id"], enrich)
+
+
+def feature_info(docs: DataFrame, asked: DataFrame, plan_docs: DataFrame | None = None) -> DataFrame:
+    """One row per asked feature (``id``): status, deps, refs, children, plans and sections.
+
+    ``children`` are the features one level below, with ``in_readme`` whether the Contents section names them;
+    ``sections`` are the headings under the title with their lines, parent and, where they are lists, items. Only
+    the documents of the asked features and of their children are parsed for sections and children; references
+    are looked up in the edges of all features.
+    """
+    want = asked.select("id").distinct()
+    ids = docs.withColumn("id", feature_id(F.col("path"))).filter("id IS NOT NULL")
+    own = ids.join(want, "id", "left_semi")
+    marks = cut_lineage(marked_lines(own.select("path", "text"), extra=has_link()))
+    listed = lambda name, col: F.array_sort(F.collect_set(col)).alias(name)
+    edges = cut_lineage(dependency_edges(docs))
+    deps = edges.join(want, edges["src"] == want["id"], "left_semi").groupBy(F.col("src").alias("id")).agg(listed("deps", "dst"))
+    refs = edges.join(want, edges["dst"] == want["id"], "left_semi").groupBy(F.col("dst").alias("id")).agg(listed("refs", "src"))
+    below = ids.select(X.parent_path(F.col("id")).alias("id"), F.col("id").alias("child")).join(want, "id", "left_semi")
+    named = links(own, marks).filter("section = 'Contents' AND kind = 'internal'").select(
+        feature_id(F.col("path")).alias("id"), F.regexp_extract("target", r"^(?:\./)?([^/]+)/?(?:README\.md)?$", 1).alias("name")
+    ).distinct().withColumn("_in", F.lit(True))
+    kids = below.withColumn("name", F.element_at(F.split("child", "/"), -1)).join(named, ["id", "name"], "left")
+    kids = kids.groupBy("id").agg(F.array_sort(F.collect_set(F.struct(F.col("child").alias("path"), F.coalesce("_in", F.lit(False)).alias("in_readme")))).alias("children"))
+    heads = sections(own, marks).filter("level > 1").select(feature_id(F.col("path")).alias("id"), F.struct(
+        F.col("start_line").alias("start"), F.col("end_line").alias("end"), "title", "level", F.col("parent_line").alias("parent"), F.when(F.col("range_items") > 0, F.col("range_items")).alias("items"),
+    ).alias("s"))
+    toc = heads.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("sections"))
+    out = own.select("id", X.metadata_value(F.col("text"), "Status").alias("status"))
+    parts = [(deps, "deps"), (refs, "refs"), (kids, "children"), (toc, "sections")]
+    if plan_docs is not None:
+        linked = plan_features(plan_docs).withColumnRenamed("feature", "id").join(want, "id", "left_semi")
+        parts.append((linked.groupBy("id").agg(listed("plans", "plan")), "plans"))
+    for df, name in parts:
+        out = out.join(df, "id", "left").withColumn(name, F.coalesce(name, F.array().cast(df.schema[name].dataType)))
+    return out

@@ -26,17 +26,6 @@ def line_array(text: Column) -> Column:
     return F.split(whole, "\n")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(path, line, text), numbered from 1.
-
-    Here and below arrays are exploded with the ``outer`` form: for the plain form Spark adds a filter on the
-    array's size, which would split every text twice.
-    """
-    return docs.filter("text IS NOT NULL").select("path", F.posexplode_outer(line_array(F.col("text"))).alias("_i", "text")).select(
-        "path", (F.col("_i") + 1).alias("line"), "text"
-    )
-
-
 def fence_lines(text: Column, line_list: Column) -> Column:
     """Places (from 0) of the lines that open or close fenced code.
 
@@ -64,6 +53,11 @@ def fence_lines(text: Column, line_list: Column) -> Column:
     return F.when(some, F.aggregate(found, start, step)["at"]).otherwise(F.array().cast("array<int>"))
 
 
+def has_link() -> Column:
+    """Whether a marked line may hold a link."""
+    return F.col("line_text").contains("](") | F.col("line_text").contains("href=")
+
+
 def marked_lines(
     docs: DataFrame, extra: Column | None = None, context: int | None = None, levels: bool = False
 ) -> DataFrame:
@@ -72,6 +66,9 @@ def marked_lines(
     Adds ``in_code`` and ``section``, the (line, title) of the latest heading up to the line; with ``levels``
     also the latest heading of each level (``h1`` .. ``h6``). With
     ``context`` each extra line carries the lines around it, cut at the ends of the file.
+
+    Arrays are exploded with the ``outer`` form: for the plain form Spark adds a filter on the array's size, which
+    would split every text twice.
     """
     arr = docs.filter("text IS NOT NULL").select("path", "text", line_array(F.col("text")).alias("_ls"))
     arr = arr.select("path", "_ls", fence_lines(F.col("text"), F.col("_ls")).alias("_fences"))
@@ -124,13 +121,14 @@ def enclosing() -> Column:
     return F.array_compact(F.array(*open_heads))
 
 
-def sections(docs: DataFrame) -> DataFrame:
+def sections(docs: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Headings with their line range, parent heading and list items; fenced code is ignored.
 
     A section ends before the next heading of the same or a higher level. ``items`` counts unindented
-    list items of the section's own body, ``range_items`` those of the whole range.
+    list items of the section's own body, ``range_items`` those of the whole range. ``marks`` may give the marked
+    lines of the documents, here and below, where several tables are read out of one parse.
     """
-    marks = marked_lines(docs)
+    marks = marked_lines(docs) if marks is None else marks
     asc = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("path")
     n = lambda c: F.col(c).cast("int")
@@ -180,13 +178,13 @@ def metadata(docs: DataFrame, keys: dict[str, str] | None = None) -> DataFrame:
     )
 
 
-def links(docs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Markdown and HTML links outside code: (path, line, section, label, target, anchor, kind).
 
     Kind is ``anchor`` (same document), ``external`` (has a scheme) or ``internal``.
     """
-    hit = F.col("line_text").contains("](") | F.col("line_text").contains("href=")
-    rows = marked_lines(docs, extra=hit).filter("is_extra AND NOT in_code")
+    marks = marked_lines(docs, extra=has_link()) if marks is None else marks
+    rows = marks.filter(has_link()).filter("NOT in_code")
     sect = F.col("section")["title"]
     t = F.col("line_text")
     found = F.arrays_zip(
@@ -218,9 +216,9 @@ def feature_id(path: Column) -> Column:
     return F.when((got != "") & ~got.rlike("(^|/)proposals(/|$)"), got)
 
 
-def dependency_edges(docs: DataFrame) -> DataFrame:
+def dependency_edges(docs: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """(src, dst) from list items under a ``Dependencies`` heading; links count by their label."""
-    rows = marked_lines(docs).filter("is_item")
+    rows = (marked_lines(docs) if marks is None else marks).filter("is_item")
     sect = F.col("section")["title"]
     body = F.trim(F.regexp_replace("line_text", r"^([-*+]|\d+[.)])[ \t]+", ""))
     label = F.regexp_extract(body, r"^\[([^\]]*)\]", 1)

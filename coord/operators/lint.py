@@ -35,13 +35,18 @@ class Corpus:
     def paths(self) -> DataFrame:
         return self.docs.select("path")
 
+    @cached_property
+    def marks(self) -> DataFrame | None:
+        """Headings, items and lines with links: the one parse that sections, links and edges are read out of."""
+        return cut_lineage(E.marked_lines(self.docs, extra=E.has_link())) if self.keep else None
+
     @cached_property
     def sections(self) -> DataFrame:
-        return self._held(E.sections(self.docs))
+        return self._held(E.sections(self.docs, self.marks))
 
     @cached_property
     def links(self) -> DataFrame:
-        return self._held(E.links(self.docs))
+        return self._held(E.links(self.docs, self.marks))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -49,7 +54,7 @@ class Corpus:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._held(E.dependency_edges(self.docs))
+        return self._held(E.dependency_edges(self.docs, self.marks))
 
     @cached_property
     def plan_features(self) -> DataFrame:
@@ -125,12 +130,15 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def violation_summary(found: DataFrame) -> DataFrame:
-    """Counts per (severity, rule), per severity and in total; ``passed`` is true when nothing was found."""
-    counts = found.rollup("severity", "rule").agg(F.count(F.lit(1)).alias("violations"))
-    total = found.agg(F.count(F.lit(1)).alias("violations")).filter("violations = 0").select(
-        F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("rule"), "violations"
-    )
-    return counts.unionByName(total).distinct().withColumn("passed", F.col("violations") == 0)
+    """Counts per (severity, rule), per severity and in total; ``passed`` is true when nothing was found.
+
+    The rules run once; the sums are made from one count per rule.
+    """
+    counts = cut_lineage(found.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("violations")))
+    none = F.lit(None).cast("string")
+    per = counts.groupBy("severity").agg(F.sum("violations").alias("violations")).select("severity", none.alias("rule"), "violations")
+    total = counts.agg(F.coalesce(F.sum("violations"), F.lit(0)).alias("violations")).select(none.alias("severity"), none.alias("rule"), "violations")
+    return counts.unionByName(per).unionByName(total).withColumn("passed", F.col("violations") == 0)
 
 
 @rule("readme-exists", "error")
@@ -261,17 +269,22 @@ def internal_links(c: Corpus) -> DataFrame:
 
 @rule("forward-refs", "warning")
 def forward_refs(c: Corpus) -> DataFrame:
-    """Dependencies of features and features of plans that do not exist (yet)."""
-    known = c.features.select(F.col("id").alias("dst"))
-    deps = c.edges.join(known, "dst", "left_anti").select(
-        F.concat(F.lit(X.FEATURES_ROOT), "src", F.lit("/README.md")).alias("file"), "dst"
-    )
-    plans = c.plan_features.select("plan", F.col("feature").alias("dst")).join(known, "dst", "left_anti").select(
-        F.concat(F.lit(X.PLANS_ROOT), "plan", F.lit("/README.md")).alias("file"), "dst"
-    )
-    return deps.unionByName(plans).select(
-        "file", F.lit(0).alias("line"), F.concat(F.lit("unknown feature: "), "dst").alias("message")
-    )
+    """Features and plans that do not exist (yet): in dependencies, in the features of plans, and behind links of READMEs.
+
+    Links of a ``Dependencies`` section are named by their labels, so they are the dependencies.
+    """
+    known = c.features.select(F.lit("feature").alias("kind"), F.col("id").alias("dst"))
+    plan = F.regexp_extract("path", r"^spec/plans/(.+)/README\.md$", 1)
+    known = known.unionByName(c.paths.select(F.lit("plan").alias("kind"), plan.alias("dst")).filter("dst <> ''")).distinct()
+    at = lambda root, name: F.concat(F.lit(root), name, F.lit("/README.md")).alias("file")
+    feature, top = F.lit("feature").alias("kind"), F.lit(0).alias("line")
+    deps = c.edges.select(at(X.FEATURES_ROOT, "src"), top, feature, "dst")
+    plans = c.plan_features.select(at(X.PLANS_ROOT, "plan"), top, feature, F.col("feature").alias("dst"))
+    to = lambda g: F.regexp_extract("doc", r"^spec/(feature|plan)s/(.+)/README\.md$", g)
+    linked = resolved_links(c).filter("kind = 'internal' AND NOT (section <=> 'Dependencies')").join(c.readmes(), "path", "left_semi")
+    linked = linked.select(F.col("path").alias("file"), "line", to(1).alias("kind"), to(2).alias("dst")).filter("dst <> ''").distinct()
+    refs = deps.unionByName(plans).unionByName(linked)
+    return refs.join(known, ["kind", "dst"], "left_anti").select("file", "line", F.concat(F.lit("unknown "), "kind", F.lit(": "), "dst").alias("message"))
 
 
 ANNOTATION = r"(?m)^\s*(//|#|--|/\*|\*)\s*Features (implemented|depended on):"
@@ -285,11 +298,3 @@ def code_annotations(c: Corpus) -> DataFrame:
     return c.sources.filter(~F.col("text").rlike(ANNOTATION)).select(
         F.col("path").alias("file"), F.lit(0).alias("line"), F.lit("no feature annotations").alias("message")
     )
-
-
-def select_rules(names: list[str]) -> dict[str, Rule]:
-    return {n: RULES[n] for n in names}
-
-
-def severity_rank(col: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), col)

@@ -235,10 +235,15 @@ def task_timeline(changes: DataFrame, logs: DataFrame) -> DataFrame:
 
 
 def task_context(
-    tasks: DataFrame, deps: DataFrame, plan_tasks: DataFrame | None = None, features: DataFrame | None = None
+    tasks: DataFrame, deps: DataFrame, plan_tasks: DataFrame | None = None, features: DataFrame | None = None,
+    asked: DataFrame | None = None, plan_features: DataFrame | None = None,
 ) -> DataFrame:
     """One row per task: its parent's status, sibling and dependency tallies, plan and feature.
 
+    ``asked`` (``slug``) names the tasks one wants; they also get ``all_deps`` and ``all_deps_completed``, what they
+    depend on at every depth. The feature is the task's own column or, with ``plan_features`` (``plan, feature``),
+    the first one that its plan references; a task without a plan has neither.
+
     Siblings are tallied per parent and not listed on every row: a parent with millions of sub-tasks would
     otherwise emit all pairs. ``siblings_of`` lists them for the tasks one asks about.
     """
@@ -258,6 +263,8 @@ def task_context(
         .join(dep_counts, "slug", "left")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    if asked is not None:
+        out = out.join(asked.select("slug").distinct(), "slug", "left_semi")
     done_self = F.when(F.col("status") == "completed", 1).otherwise(0)
     cols = [
         "slug", "status", "parent", "parent_status",
@@ -269,6 +276,15 @@ def task_context(
         first = plan_tasks.groupBy(F.col("task").alias("slug")).agg(F.min("plan").alias("plan"))
         out = out.join(first, "slug", "left")
         cols.append("plan")
+    if plan_features is not None:
+        out = out.join(plan_features.groupBy("plan").agg(F.min("feature").alias("feature")), "plan", "left")
+    if asked is not None:
+        far = reach(deps.select(F.col("slug").alias("src"), F.col("dep").cast("string").alias("dst")), asked.select(F.col("slug").alias("root")))
+        far = far.select(F.col("root").alias("slug"), F.col("node").alias("dep")).join(state, "dep", "left").groupBy("slug").agg(
+            F.count(F.lit(1)).alias("all_deps"), F.count_if(F.col("_ds").eqNullSafe("completed")).alias("all_deps_completed")
+        )
+        out = out.join(far, "slug", "left")
+        cols += [zero("all_deps").alias("all_deps"), zero("all_deps_completed").alias("all_deps_completed")]
     if features is not None:
         feats = features.select(F.col("id").alias("feature"), F.col("status").alias("feature_status"))
         out = out.join(feats, "feature", "left")
@@ -281,7 +297,3 @@ def siblings_of(tasks: DataFrame, asked: DataFrame) -> DataFrame:
     mine = tasks.join(asked.select("slug").distinct(), "slug", "left_semi").select("slug", "parent")
     other = tasks.select("parent", F.col("slug").alias("sibling"), F.col("status").alias("sibling_status"))
     return mine.join(other, "parent").filter(F.col("slug") != F.col("sibling")).drop("parent")
-
-
-def open_tasks(tasks: DataFrame) -> DataFrame:
-    return tasks.filter(~is_terminal(F.col("status")))

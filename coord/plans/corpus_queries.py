@@ -528,3 +528,37 @@ def search_plans(spark, docs, plan_docs):
     more = docs.unionByName(plan_docs)
     found = index_of(more, "spec-plans").search("**Effort:** XL", phrase=True, plans=extract.plan_features(plan_docs))
     return found.select("path", "line", "tier", "feature", "status", "type")
+
+
+@query(
+    "feature_info", "wiki_docs", "plan_docs",
+    sql=rf"""WITH {lines_sql('wiki_docs')}, {PLAN_LINKS}, d AS (SELECT regexp_extract(path, '^spec/features/(.+)/README\.md$', 1) AS id, * FROM wiki_docs),
+      c AS (SELECT p.id, string_agg(k.id || CASE WHEN k.id = p.id || '/sub' AND contains(p.text, '- [sub](sub/README.md)') THEN ':true' ELSE ':false' END, ';' ORDER BY k.id) AS children
+        FROM d p JOIN d k ON k.id IN (p.id || '/sub', p.id || '/part') GROUP BY p.id),
+      s AS (SELECT path, string_agg(title || ':' || line || '-' || end_line, ';' ORDER BY line) AS sections FROM h WHERE level > 1 GROUP BY path)
+      SELECT d.id, coalesce(c.children, '') AS children, (SELECT string_agg(DISTINCT plan, ';' ORDER BY plan) FROM pl WHERE pl.feature = d.id) AS plans, s.sections
+      FROM d LEFT JOIN c USING (id) LEFT JOIN s USING (path) WHERE d.id IN (SELECT feature FROM pl)""",
+)
+def feature_info(spark, docs, plan_docs):
+    """Info of every feature that a plan references."""
+    asked = extract.plan_features(plan_docs).select(F.col("feature").alias("id"))
+    info = corpus.feature_info(docs, asked, plan_docs)
+    text = lambda col, fn: F.array_join(F.transform(col, fn), ";")
+    return info.select(
+        "id", text("children", lambda c: F.concat(c["path"], F.lit(":"), c["in_readme"].cast("string"))).alias("children"), F.array_join("plans", ";").alias("plans"),
+        text("sections", lambda x: F.concat(x["title"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))).alias("sections"),
+    )
+
+
+@query(
+    "forward_refs", "wiki_docs",
+    sql=r"""WITH d AS (SELECT regexp_extract(path, '^spec/features/(.+)/README\.md$', 1) AS id, * FROM wiki_docs),
+      l AS (SELECT path, regexp_extract(id, '^(src[0-9]+)/', 1) || '/f' || regexp_extract(text, 'See \[home\]\(\.\./f([0-9]+)/README', 1) AS dst,
+          len(string_split(split_part(text, 'See [home]', 1), chr(10))) AS line FROM d WHERE contains(text, 'See [home]') UNION ALL
+        SELECT path, id || '/sub', len(string_split(split_part(text, '- [sub]', 1), chr(10))) FROM d WHERE contains(text, '- [sub](sub/README.md)') UNION ALL
+        SELECT path, id || '/gone', len(string_split(split_part(text, '- [gone]', 1), chr(10))) FROM d WHERE contains(text, '- [gone](gone/)') UNION ALL
+        SELECT path, regexp_extract(id, '^(src[0-9]+)/', 1) || '/F 1/x', len(string_split(split_part(text, 'Bad [ref]', 1), chr(10))) FROM d WHERE contains(text, 'Bad [ref]'))
+      SELECT path AS file, CAST(line AS INT) AS line, 'warning' AS severity, 'forward-refs' AS rule, 'unknown feature: ' || dst AS message FROM l WHERE dst NOT IN (SELECT id FROM d)""",
+)
+def forward_refs(spark, docs):
+    return lint.violations(lint.Corpus(docs, keep=True), rules=["forward-refs"], severity="warning")

@@ -178,6 +178,23 @@ def task_context(spark, tree, deps, plan_tasks):
     return tasks.task_context(tree, deps, plan_tasks)
 
 
+@query(
+    "task_context_asked", "task_tree", "task_deps", "plan_tasks", "plan_states",
+    sql="""WITH RECURSIVE asked AS (SELECT slug FROM task_tree WHERE status = 'queued'),
+      r AS (SELECT slug AS root, CAST(dep AS VARCHAR) AS node FROM task_deps WHERE slug IN (SELECT slug FROM asked)
+        UNION SELECT r.root, CAST(d.dep AS VARCHAR) FROM r JOIN task_deps d ON d.slug = r.node),
+      f AS (SELECT r.root, count(*) AS all_deps, count(*) FILTER (t.status = 'completed') AS all_deps_completed FROM r LEFT JOIN task_tree t ON t.slug = r.node GROUP BY r.root),
+      l AS (SELECT task, min(plan) AS plan FROM plan_tasks GROUP BY task)
+      SELECT a.slug, l.plan, coalesce(f.all_deps, 0) AS all_deps, coalesce(f.all_deps_completed, 0) AS all_deps_completed, s.plan AS feature, s.feature_status
+      FROM asked a LEFT JOIN f ON f.root = a.slug LEFT JOIN l ON l.task = a.slug LEFT JOIN plan_states s ON s.plan = l.plan""",
+)
+def task_context_asked(spark, tree, deps, plan_tasks, plans):
+    """Context of the queued tasks with all they depend on, and the feature their plan references."""
+    features = plans.select(F.col("plan").alias("id"), F.col("feature_status").alias("status"))
+    got = tasks.task_context(tree, deps, plan_tasks, features, tree.filter("status = 'queued'"), plans.select("plan", F.col("plan").alias("feature")))
+    return got.select("slug", "plan", "all_deps", "all_deps_completed", "feature", "feature_status")
+
+
 @query(
     "arbitrate_claims", "claim_requests", "tasks", "task_deps",
     sql=f"""WITH u AS ({UNMET}), c AS (SELECT r.*, t.status, r.slug IN (SELECT slug FROM u) AS waiting,
