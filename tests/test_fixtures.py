@@ -169,8 +169,18 @@ def test_lint_rules(spark):
         "link target not found: zz/README.md", "link target not found: ../../q/README.md", "anchor not found: #nope",
         "link target not found: ../B c/",
     }
-    assert {m for r, _, m in got if r == "forward-refs"} == {"unknown feature: ghost"}
+    assert {m for r, _, m in got if r == "forward-refs"} == {
+        "unknown feature: ghost", "unknown feature: a/zz", "unknown feature: q", "unknown feature: a/B c",  # the last three behind links
+    }
     assert {f for r, f, _ in got if r == "code-annotations"} == {"m.go"}
+    linked = spark.createDataFrame([
+        (readme("a"), "# A\n\n[p](../../plans/p/README.md), [r](../../plans/r/), [b](b/README.md)\n\n## Dependencies\n\n- [b](../b/README.md)\n"), ("spec/plans/p/README.md", "# P\n\n**Features:** a, c\n\nAfter [q](../q/README.md).\n"),
+    ], "path string, text string")
+    refs = lint.violations(lint.Corpus(linked, keep=True), rules=["forward-refs"], severity="warning")
+    assert {(r["file"], r["line"], r["message"]) for r in refs.collect()} == {
+        (readme("a"), 3, "unknown plan: r"), (readme("a"), 3, "unknown feature: a/b"), (readme("a"), 0, "unknown feature: b"),
+        ("spec/plans/p/README.md", 0, "unknown feature: c"), ("spec/plans/p/README.md", 5, "unknown plan: q"),
+    }
     only = lint.violations(lint.Corpus(docs), rules=["oq-section"])
     assert only.count() == 1
     assert not lint.violations(lint.Corpus(docs), ignore=["oq-section"]).filter("rule = 'oq-section'").count()
@@ -573,3 +583,31 @@ def test_fences_close_with_their_own_sign(spark):
     docs = spark.createDataFrame([("p", text), ("q", "~~~\n# in"), ("r", "# out\n```\n```\n# out 2")], "path string, text string")
     got = extract.sections(docs).orderBy("path", "start_line").collect()
     assert [(r["path"], r["title"]) for r in got] == [("p", "A"), ("p", "B"), ("p", "C"), ("r", "out"), ("r", "out 2")]
+
+
+def test_feature_info(spark):
+    text = {
+        readme("a"): "# A\n\n**Status:** Stable\n\n## Contents\n\n- [b](b/README.md)\n\n## Dependencies\n\n- c\n- d\n\n### Notes\n\ntext\n",
+        readme("a/b"): "# B\n", readme("a/c"): "# C\n", readme("a/b/deep"): "# Deep\n", readme("c"): "# C\n\n## Dependencies\n\n- a\n",
+    }
+    docs = spark.createDataFrame(list(text.items()), "path string, text string")
+    plans = spark.createDataFrame([("spec/plans/p/README.md", "# P\n\n**Features:** a\n")], "path string, text string")
+    asked = spark.createDataFrame([("a",), ("a/b",), ("none",)], "id string")
+    got = {r.id: r for r in corpus.feature_info(docs, asked, plans).collect()}
+    assert set(got) == {"a", "a/b"}
+    a = got["a"]
+    assert (a.status, a.deps, a.refs, a.plans) == ("Stable", ["c", "d"], ["c"], ["p"])
+    assert [tuple(c) for c in a.children] == [("a/b", True), ("a/c", False)]
+    assert [(x.title, x.start, x.end, x.parent, x["items"]) for x in a.sections] == [("Contents", 5, 8, 1, 1), ("Dependencies", 9, 16, 1, 2), ("Notes", 14, 16, 9, None)]
+    assert [tuple(c) for c in got["a/b"].children] == [("a/b/deep", False)] and got["a/b"].sections == []
+
+
+def test_task_context_asked(spark):
+    t = spark.createDataFrame([("a", "queued", None), ("b", "completed", None), ("c", "queued", None), ("d", "queued", None)], "slug string, status string, parent string")
+    deps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "zz")], "slug string, dep string")
+    plan_tasks = spark.createDataFrame([("p", "a")], "plan string, task string")
+    feats = spark.createDataFrame([("f", "Stable")], "id string, status string")
+    links = spark.createDataFrame([("p", "g"), ("p", "f")], "plan string, feature string")
+    asked = spark.createDataFrame([("a",), ("d",)], "slug string")
+    got = tasks.task_context(t, deps, plan_tasks, feats, asked, links).select("slug", "deps", "all_deps", "all_deps_completed", "plan", "feature", "feature_status")
+    assert rows(got) == [("a", 2, 4, 1, "p", "f", "Stable"), ("d", 0, 0, 0, None, None, None)]
