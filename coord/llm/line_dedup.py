@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coord.llm.common import BLANKS, lower_ascii, run_folder, text_of, union_all
+from coord.llm.common import BLANKS, cut_lineage, lower_ascii, run_folder, text_of, union_all
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 3
 FANOUT = 2
 KEY = ["k1", "k2"]
+HOT_SHARE = 1_000
 NO_ID = -(2**63)
 
 
@@ -92,9 +93,29 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     for b in range(batches):
         part = spark.read.schema(schema).parquet(folder).where(F.col("batch") == b)
         runs.add(part.groupBy(*KEY).agg(F.count("*").alias("docs"), F.max("id").alias("top")))
-    many = runs.all().where(F.col("docs") >= min_docs)
-    losing = spark.read.schema(schema).parquet(folder).join(many, KEY).where(F.col("id") < F.col("top"))
-    return losing.groupBy("id").agg(F.collect_set(F.struct(*KEY)).alias("drop"))
+    many = cut_lineage(runs.all().where(F.col("docs") >= min_docs))
+    found = spark.read.schema(schema).parquet(folder).drop("batch")
+    # lines of more than a thousandth of the rows are fewer than a thousand: they meet their documents by broadcast
+    hot = F.col("docs") * HOT_SHARE > found.count()
+    seen = found.join(F.broadcast(many.where(hot)), KEY, "left")
+    near = seen.where("docs IS NOT NULL")
+    far = seen.where("docs IS NULL").select("id", *KEY).join(many.where(~hot), KEY)
+    losing = near.unionByName(far).where(F.col("id") < F.col("top"))
+    return losing.groupBy("id").agg(F.sort_array(F.collect_set(F.struct(*KEY))).alias("drop"))
+
+
+def among(key: Column, keys: Column) -> Column:
+    """Whether a key stands in a sorted list, by halving."""
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        before = F.element_at(keys, middle + 1) < key
+        done = at["low"] >= at["high"]
+        low = F.when(done | ~before, at["low"]).otherwise(middle + 1)
+        return F.struct(low.alias("low"), F.when(done | before, at["high"]).otherwise(middle).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), (F.size(keys) - 1).alias("high"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(keys))).cast("int"))
+    return F.element_at(keys, F.aggregate(rounds, start, halve, lambda at: at["low"] + 1)) == key
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
@@ -104,15 +125,16 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     its ends, A-Z lower-cased. Keys of ``min_chars`` code points or more found in ``min_docs`` documents or
     more lose all their lines but those in the largest doc_id holding it. Rows of one doc_id, and all rows
     without one, count as one document, rows without one as the smallest. Lines again in the same document
-    stay or go together. The texts move once, to meet the few hashes their document loses. An empty table
-    gives no rows. Columns of any name pass through in ``row``.
+    stay or go together. The texts move once, to meet the sorted hashes their document loses; each line is looked
+    up there by halving, so very long texts cost little more than their length. An empty table gives no rows. Columns of any name pass through in ``row``.
     """
     drops = shared_lines(docs, **how)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"), F.split(text_of(), "\n", -1).alias("lines"))
     met = rows.join(drops, "id", "left")
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda line: ~((F.length(line) >= how.get("min_chars", MIN_CHARS)) & F.array_contains(F.col("drop"), key_hash(line_key(line)))))
-    )
+    long = lambda line: F.length(line) >= how.get("min_chars", MIN_CHARS)
+    keyed = F.transform("lines", lambda line: F.struct(line.alias("line"), F.when(long(line), key_hash(line_key(line))).alias("key")))
+    stay = F.filter(keyed, lambda x: x["key"].isNull() | ~among(x["key"], F.col("drop")))
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda x: x["line"]))
     met = met.select("row", "lines", kept.alias("left"))
     return met.select(
         "row", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"),

@@ -324,3 +324,10 @@ def test_html_elements_that_close_themselves():
     texts = lambda page: [b.text for b in html_text.blocks(page)]
     for own in ("<svg/>", "<svg />", '<svg class="i"/>', "<SVG class='a>b' viewBox=\"0 0 1 1\" />", "<svg hidden/>", "<!-->", "<!--->", "<!---->", "<!-- a > b -->", "<svg class='i'><path d='M0'/><text>No</text></svg>", "<svg width=5/>No</svg>", "<script/>No</script>", "<!--x->No-->"):
         assert texts(f"<article>{own}<p>Whole article here.</p><p>More{own} text.</p></article>") == ["Whole article here.", "More text."], own
+
+
+def test_line_dedup_of_a_document_of_100_000_lines(docs_of):
+    lines = [f"a line that several documents share, number {k}" for k in range(100_000)]
+    docs = docs_of([(i, "\n".join(lines[:100_000 if i < 2 else 10_000])) for i in range(5)])
+    got = {x.doc_id: (x.n_lines, x.n_dropped) for x in line_dedup.dedup_lines(docs).select("row.doc_id", "n_lines", "n_dropped").collect()}
+    assert got == {0: (100_000, 10_000), 1: (100_000, 10_000), 2: (10_000, 10_000), 3: (10_000, 10_000), 4: (10_000, 0)}
