@@ -142,11 +142,14 @@ def counted(lists: DataFrame, filters: str = FILTERS) -> DataFrame:
         yield from made(held)
 
     def made(rows: list) -> Iterator[pd.DataFrame]:
+        out = []
         for (part, _), own in itertools.groupby(rows, lambda r: r[:2]):
-            sizes = list(removals({r[2]: np.asarray(r[3], np.int64) for r in own}, filters))
-            yield pd.DataFrame([(part, b * 8 + f, *n) for b, f, *n in sizes if n[0]], columns=["part", "key", "removed", "good", "toxic"])
+            sizes = removals({r[2]: np.asarray(r[3], np.int64) for r in own}, filters)
+            out += [(part, b * 8 + f, *n) for b, f, *n in sizes if n[0]]
+        yield pd.DataFrame(out, columns=["part", "key", "removed", "good", "toxic"])
 
-    blocks = lists.repartition("part", "range").sortWithinPartitions("part", "range")
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, else few bytes would be one task
+    blocks = lists.repartition(tasks, "part", "range").sortWithinPartitions("part", "range")
     sizes = blocks.mapInPandas(run, "part string, key int, removed long, good long, toxic long")
     return sizes.groupBy("part", "key").agg(F.sum("removed").alias("removed"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
 
