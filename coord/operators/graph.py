@@ -113,7 +113,7 @@ def climb(links: DataFrame) -> DataFrame:
     left = waiting.count()
     while left and span <= n:
         above = _union([*shut, waiting]).select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("dist").alias("_dist"), F.col("low").alias("_low"), F.col("open").alias("_open"))
-        moved = hot_join(waiting, above, ["at"]).select(
+        moved = hot_join(waiting, above, ["at"], n=left).select(
             "node", F.col("_at").alias("at"), (F.col("dist") + F.col("_dist")).alias("dist"), F.least("low", "_low").alias("low"), F.col("_open").alias("open"),
         )
         moved = cut_lineage(moved)

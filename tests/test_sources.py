@@ -71,7 +71,8 @@ def test_chat_history_as_stream(spark, tmp_path):
     assert rows(got.select("chat_id", "role", "content")) == [("c1", "user", "hi")]
 
 
-def test_hot_scopes_are_dealt_over_tasks(spark):
+def test_hot_scopes_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL", 0)
     left = cut_lineage(spark.range(20_000).select(F.when(F.col("id") % 4 > 0, "").otherwise(F.col("id").cast("string")).alias("scope"), "id"))
     right = spark.createDataFrame([("", "a"), ("", "b"), ("0", "c"), ("4", "d"), ("x", "e")], "scope string, name string")
     got = skew.spread_join(left, right, ["scope"])
