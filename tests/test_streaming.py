@@ -199,3 +199,40 @@ def test_decision_state_is_freed(spark):
     left = spark.read.format("statestore").option("stateVarName", "asked").load(folder + "/progress")
     assert [x[0] for x in left.select("key.decision").collect()] == ["clock"]
     assert spark.read.format("statestore").option("stateVarName", "answers").load(folder + "/progress").count() == 0
+
+
+def test_many_events_of_a_runner_cost_one_timer(spark):
+    """A host's events wait as lists: the store holds a row per batch of them and one timer, not one of each per event."""
+    t0, n = 1_704_067_200, 2_000
+    events = [("h", t0 + k, k, "heartbeat", None) for k in range(n)] + [("clock", t0 + 10, n, "drain", None)]
+    df = spark.createDataFrame(events, "runner string, s long, seq long, kind string, session string").withColumn("ts", F.timestamp_seconds("s")).coalesce(1)
+    folder, feed_ = run_folder(spark, "runners"), run_folder(spark, "feed")
+    df.write.parquet(feed_)
+    with state.keyed_store(spark):
+        out = state.runner_status(event_time(open_stream(spark, feed_, 1), "1 hour"), timeout_s=600)
+        out.writeStream.format("parquet").trigger(availableNow=True).option("path", folder + "/out").option("checkpointLocation", folder + "/progress").start().awaitTermination()
+    held = lambda name: spark.read.format("statestore").option("stateVarName", name).load(folder + "/progress").where("key.runner = 'h'")
+    assert held("wake").select("value.ms").collect() == [(t0 * 1000,)]
+    assert held("waiting").count() == 1
+    assert spark.read.parquet(folder + "/out").count() == 0
+
+
+@pytest.mark.parametrize("near", [1, 2, 100])
+def test_decision_with_more_people_than_lie_near(spark, near):
+    t = lambda m: f"2024-01-01 00:{m:02d}:00"
+    asks = [("done", t(0), None, 3, 3600), ("late", t(0), None, 5, 600), ("never", t(0), None, 2, None), ("clock", "2024-01-02 00:00:00", None, 1, 3600)]
+    answers = [("done", t(4), "x"), ("done", t(3), "y"), ("late", t(1), "x"), ("late", t(2), "y"), ("late", t(8), "z"), ("late", t(30), "w"), ("never", t(1), "x")]
+    second = [("done", t(2), "y"), ("done", t(6), "y"), ("done", t(9), "x"), ("late", t(5), "z"), ("late", t(9), "z"), ("late", t(9), "w")]
+    third = [("done", t(20), "z"), ("done", t(1), "x")]
+    kind, feed_ = "decision string, ts string, who string, needed int, timeout_s long", run_folder(spark, "feed")
+    for batch in (asks[:3] + [(*a, None, None) for a in answers], [(*a, None, None) for a in second], [(*a, None, None) for a in third], asks[3:]):
+        spark.createDataFrame(batch, kind).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(feed_)
+    rows_ = event_time(open_stream(spark, feed_, 1), "1 hour").withColumn("who", F.coalesce("who", F.lit("")))
+    rows_ = rows_.select("decision", "ts", F.unix_millis("ts").alias("ms"), "who", F.col("needed").cast("long"), "timeout_s")
+    with state.keyed_store(spark):
+        out = rows_.groupBy("decision").transformWithState(
+            statefulProcessor=state._Decision(86_400_000, near), outputStructType="decision string, status string, at_ms long, responses int", outputMode="append", timeMode="eventTime",
+        )
+        got = run_available(out, "near")
+    at = lambda m: 1_704_067_200_000 + m * 60_000
+    assert rows(got) == sorted([("done", "completed", at(20), 3), ("late", "failed", at(10), 4)], key=repr)
