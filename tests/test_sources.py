@@ -88,3 +88,16 @@ def test_hot_scopes_are_dealt_over_tasks(spark, monkeypatch):
     features = spark.createDataFrame([("a",), ("a/b",)], "id string")
     over = spark.createDataFrame([("", "r", "add", "p@x"), ("a", "r", "remove", "p@x"), ("a/b", "r", "add", "q@x")], "scope string, role string, op string, stakeholder string")
     assert rows(people.resolve_roles(features, over)) == [("a/b", "r", "q@x")]
+
+
+def test_tasks_of_a_spread_join_follow_the_rows_it_makes(spark, monkeypatch):
+    """Salts stay apart under adaptive execution, which would coalesce them by the few bytes they read."""
+    monkeypatch.setattr(skew, "SMALL", 0)
+    left = cut_lineage(spark.range(20_000).select(F.lit("").alias("scope"), "id"))
+    right = spark.range(30).select(F.lit("").alias("scope"), F.col("id").alias("other"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        most = skew.spread_join(left, right, ["scope"]).groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert most[1] == 600_000 and most[0] <= 100_000
