@@ -114,3 +114,25 @@ def test_hot_keys_are_looked_up_in_place(spark, monkeypatch):
     found = spark.createDataFrame([(0, "k", "zero"), (7, "k", "seven")], "a long, b string, what string")
     want = rows(many.join(found, ["a", "b"], "left").select("id", "what"))
     assert rows(skew.hot_join(many, found, ["a", "b"]).select("id", "what")) == want
+
+
+def test_known_pairs_are_not_read_every_round(spark, monkeypatch):
+    n, read = 24, []
+    real = graph._union
+    monkeypatch.setattr(graph, "_union", lambda parts: read.append(len(parts)) or real(parts))
+    chain = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(k, k + 2) for k in range(n - 1)], "src int, dst int")
+    got = {(x.root, x.node): x.depth for x in graph.reach(chain).collect()}
+    assert got == {(a, b): (b - a + 1) // 2 for a in range(n) for b in range(a + 1, n + 1)}
+    ring = spark.createDataFrame([(k, (k + 1) % n) for k in range(n)] + [(0, 0)], "src int, dst int")
+    got = [tuple(x) for x in graph.reach(ring, spark.createDataFrame([(0,), (5,)], "root int")).collect()]
+    assert sorted(got) == sorted([(0, k, k or 1) for k in range(n)] + [(5, k, (k - 5) % n or n) for k in range(n)])
+    assert len(read) <= 20
+
+
+def test_edges_of_paths_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: seen.add(1) or x, "int")
+    chain = spark.createDataFrame([(k, k + 1) for k in range(6)], "src int, dst int").select(count("src").alias("src"), "dst")
+    got = graph.paths(chain, spark.createDataFrame([(0,)], "root int"))
+    assert sorted((x.node, x.depth) for x in got.collect()) == [(k, k) for k in range(1, 7)]
+    assert seen.value <= 12
