@@ -5,9 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +24,8 @@ from coord.session import checkpoint_dir
 
 WORD = r"[\p{L}\p{N}]+"
 _WORD = re.compile(r"[^\W_]+")
-VERSION = 1  # of the tables
+VERSION = 2  # of the tables
+RUN = 1_000_000  # so many places of words are gathered and sorted at once
 FEW = 1_000  # so many words or paths are named to the scan, which then skips files and row groups; more are joined
 
 
@@ -46,8 +51,35 @@ def _named(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return rows.where(F.col(column).isin(few)) if len(few) <= FEW else rows.join(wanted, column, "left_semi")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their words as runs of ``path, word, line, pos``: one row per document and word, sorted by word."""
+    def run(lines: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(lines).combine_chunks()
+        words = t["words"].combine_chunks()
+        of, ends = pc.list_parent_indices(words), np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        starts = np.concatenate([[0], ends])[:-1]
+        pos = np.arange(len(of)) - starts[of.to_numpy()]
+        places = pa.table({"path": t["path"].take(of), "word": pc.list_flatten(words), "line": t["line"].take(of), "pos": pa.array(pos, pa.int32())})
+        lists = places.group_by(["path", "word"], use_threads=False).aggregate([("line", "list"), ("pos", "list")]).sort_by([("word", "ascending"), ("path", "ascending")])
+        yield from lists.select(["path", "word", "line_list", "pos_list"]).rename_columns(["path", "word", "line", "pos"]).to_batches(max_chunksize=10_000)
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch.column("words").flatten())
+        if n >= RUN:
+            yield from run(held)
+            held, n = [], 0
+    if n:
+        yield from run(held)
+
+
 class SearchIndex:
-    """Index in ``folder``: segments of documents, each with a vocabulary, postings sorted by word, and texts sorted by path.
+    """Index in ``folder``: segments of documents, each with a vocabulary, postings, and texts sorted by path.
+
+    Postings hold one row per document and word with the lists of its lines and places. They are written where the
+    texts are read, in runs sorted by word, of which a scan reads the pages of the words it asks for; no place of a
+    word is shuffled.
 
     A segment holds the documents that were new or changed when it was made; its ``dead`` names those of earlier
     segments that it replaces or that are gone. ``merge`` writes all live documents as one segment. A segment
@@ -91,14 +123,15 @@ class SearchIndex:
 
     def _write(self, seg: int, base: bool, docs: DataFrame, gone: DataFrame | None) -> None:
         at = f"{self.folder}/seg={seg}"
-        rows = docs.select("path", "hash", "text", line_array(F.col("text")).alias("ls"), X.metadata_value(F.col("text"), "Status").alias("status"))
+        placed = docs.select("path", "hash", "text").repartitionByRange("path").sortWithinPartitions("path")
+        rows = placed.select("path", "hash", "text", line_array(F.col("text")).alias("ls"), X.metadata_value(F.col("text"), "Status").alias("status"))
         rows = rows.withColumn("heads", _headings(F.col("ls"), fence_lines(F.col("text"), F.col("ls")))).drop("text")
-        rows.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(f"{at}/texts")
+        rows.write.mode("overwrite").parquet(f"{at}/texts")
         texts = self.spark.read.parquet(f"{at}/texts")
         lines = texts.select("path", F.posexplode("ls").alias("line", "t")).select("path", (F.col("line") + 1).alias("line"), F.regexp_extract_all(F.lower("t"), F.lit(f"({WORD})")).alias("words"))
-        words = lines.select("path", "line", F.posexplode("words").alias("pos", "word"))
-        words.repartitionByRange("word", "path").sortWithinPartitions("word", "path").write.mode("overwrite").parquet(f"{at}/postings")
-        self.spark.read.parquet(f"{at}/postings").groupBy("word").count().write.mode("overwrite").parquet(f"{at}/vocabulary")
+        postings = lines.where("size(words) > 0").mapInArrow(_gathered, "path string, word string, line array<int>, pos array<int>")
+        postings.write.mode("overwrite").parquet(f"{at}/postings")
+        self.spark.read.parquet(f"{at}/postings").groupBy("word").agg(F.sum(F.size("line")).alias("count")).write.mode("overwrite").parquet(f"{at}/vocabulary")
         edges = dependency_edges(docs.select("path", "text"))
         edges.select(F.concat(F.lit(X.FEATURES_ROOT), "src", F.lit("/README.md")).alias("path"), "src", "dst").write.mode("overwrite").parquet(f"{at}/edges")
         (texts.select("path").where(F.lit(False)) if gone is None else gone).write.mode("overwrite").parquet(f"{at}/dead")
@@ -108,7 +141,7 @@ class SearchIndex:
     def sizes(self) -> DataFrame:
         """(documents, lines, words, places) of the live documents."""
         texts = self._read("texts").agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("ls")), F.lit(0)).alias("lines"))
-        places = self._read("postings").agg(F.countDistinct("word").alias("words"), F.count("*").alias("places"))
+        places = self._read("postings").agg(F.countDistinct("word").alias("words"), F.coalesce(F.sum(F.size("line")), F.lit(0)).alias("places"))
         return texts.join(places, F.lit(True))
 
     def features(self) -> DataFrame:
@@ -130,10 +163,11 @@ class SearchIndex:
         for k, piece in enumerate(pieces):
             fits = word.contains(piece) if alone else word.endswith(piece) if k == 0 else word.startswith(piece) if k == len(pieces) - 1 else word == piece
             rows = _named(self._read("postings"), "word", self._read("vocabulary").where(fits).select("word").distinct())
-            found.append(rows.select("path", "line", (F.col("pos") - k).alias("pos"), F.lit(k).alias("k")))
-        rows = reduce(DataFrame.unionByName, found)
-        if not alone:
-            rows = rows.groupBy("path", "line", "pos").agg(F.countDistinct("k").alias("n")).where(F.col("n") == len(pieces))
+            if alone:
+                return rows.select("path", F.explode(F.array_distinct("line")).alias("line"), F.lit(number).alias("term")).distinct()
+            each = rows.select("path", F.explode(F.arrays_zip("line", "pos")).alias("p"))
+            found.append(each.select("path", "p.line", (F.col("p.pos") - k).alias("pos"), F.lit(k).alias("k")))
+        rows = reduce(DataFrame.unionByName, found).groupBy("path", "line", "pos").agg(F.countDistinct("k").alias("n")).where(F.col("n") == len(pieces))
         return rows.select("path", "line", F.lit(number).alias("term")).distinct()
 
     def search(

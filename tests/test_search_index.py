@@ -73,3 +73,16 @@ def test_plan_owner_and_rank(spark, segments):
     found = search.ranked(segments.search("claim")).orderBy("rank").collect()
     assert [r["rank"] for r in found] == list(range(1, len(found) + 1)) and [(r.tier, r.path, r.line) for r in found] == sorted((r.tier, r.path, r.line) for r in found)
     assert [tuple(r) for r in search.ranked(segments.search("claim"), 2).orderBy("rank").collect()] == [tuple(r) for r in found[:2]]
+
+
+def test_postings_are_one_row_per_document_and_word(spark, monkeypatch):
+    monkeypatch.setattr("coord.operators.search_index.RUN", 3)
+    docs = {"a.md": "to be or not to be\n\nTo be.\n", "b.md": "not\n" * 50, "c.md": ""}
+    index = SearchIndex(spark, run_folder(spark, "postings"))
+    index.update(frame(spark, docs).coalesce(1))
+    held = spark.read.parquet(f"{index.folder}/seg=0/postings")
+    places = held.select("path", "word", F.explode(F.arrays_zip("line", "pos")).alias("p")).select("path", "word", "p.*")
+    want = [("a.md", w, line, k) for line, t in ((1, "to be or not to be"), (3, "to be")) for k, w in enumerate(t.split())] + [("b.md", "not", k, 0) for k in range(1, 51)]
+    assert rows(places) == sorted(map(repr, want))
+    assert held.count() < len(want)
+    assert tuple(index.sizes().first()) == (3, 54, 4, len(want))
