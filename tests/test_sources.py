@@ -94,7 +94,7 @@ def test_tasks_of_a_spread_join_follow_the_rows_it_makes(spark, monkeypatch):
     """Salts stay apart under adaptive execution, which would coalesce them by the few bytes they read."""
     monkeypatch.setattr(skew, "SMALL", 0)
     left = cut_lineage(spark.range(20_000).select(F.lit("").alias("scope"), "id"))
-    right = spark.range(30).select(F.lit("").alias("scope"), F.col("id").alias("other"))
+    right = cut_lineage(spark.range(30).select(F.lit("").alias("scope"), F.col("id").alias("other")))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         most = skew.spread_join(left, right, ["scope"]).groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
