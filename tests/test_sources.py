@@ -101,3 +101,21 @@ def test_tasks_of_a_spread_join_follow_the_rows_it_makes(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert most[1] == 600_000 and most[0] <= 100_000
+
+
+def test_names_of_micro_tasks_are_joined_as_lists(spark, monkeypatch):
+    """The join makes a row per list of names, not one per name; repeated and null names are listed all the same."""
+    monkeypatch.setattr(skew, "SMALL", 0)
+    targets = spark.createDataFrame([(f"t{k}", f"m{k % 2}", "p0") for k in range(40)] + [(None, "m0", "p0")], "task string, module string, project string")
+    names = [f"n{k}" for k in range(2_500)] + ["n1", None, None]
+    configs = [("module", "m0", "pre", n) for n in names] + [("global", "", "pre", "g"), ("task", "t2", "pre", None), ("other", "m0", "pre", "x"), ("module", None, "pre", "x"), ("module", "m0", None, "x")]
+    c = spark.createDataFrame(configs, "level string, scope string, phase string, name string")
+    got = people.effective_micro_tasks(targets, c)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")
+    even = [t for t in [*(f"t{k}" for k in range(0, 40, 2)), None] if t != "t2"]
+    want = [(t, "pre", "module", n) for t in even for n in names] + [(f"t{k}", "pre", "global", "g") for k in range(1, 40, 2)] + [("t2", "pre", "task", None)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    lists = skew.blocks(c, ["level", "scope", "phase"], "name", 100).where("level = 'module'").collect()
+    assert len(lists) >= 20 and max(r["_size"] for r in lists) < 200
+    assert sorted((n for r in lists for n in r["name"]), key=repr) == sorted(names, key=repr)
