@@ -236,3 +236,39 @@ def test_decision_with_more_people_than_lie_near(spark, near):
         got = run_available(out, "near")
     at = lambda m: 1_704_067_200_000 + m * 60_000
     assert rows(got) == sorted([("done", "completed", at(20), 3), ("late", "failed", at(10), 4)], key=repr)
+
+
+@pytest.mark.parametrize("near", [1, 2, 100])
+def test_decisions_of_a_group_equal_single_ones(spark, near):
+    """Several batches, late and early answers, further people, decisions that end at different times under one key."""
+    r, t0 = np.random.default_rng(near), 1_704_067_200
+    kind, feed_ = "decision string, s long, who string, needed int, timeout_s long", run_folder(spark, "feed")
+    asks = [(f"d{k}", t0 + 60 * k, None, int(r.integers(1, 5)), None if k % 4 == 0 else int(r.integers(0, 9)) * 600) for k in range(40)] + [(None, t0, None, 2, 3600)]
+    answers = [(f"d{r.integers(45)}", t0 + int(r.integers(0, 9_000)), f"p{r.integers(5)}", None, None) for _ in range(400)] + [(None, t0 + 60, "x", None, None), (None, t0 + 90, "y", None, None)]
+    for batch in (answers[:100], asks + answers[100:200], answers[200:], [("clock", t0 + 12_000, None, 1, 999_999)], [("clock", t0 + 700_000, "x", None, None)]):
+        spark.createDataFrame(batch, kind).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(feed_)
+    rows_ = event_time(open_stream(spark, feed_, 1), "1 hour").withColumn("who", F.coalesce("who", F.lit("")))
+    rows_ = rows_.select("decision", "ts", F.unix_millis("ts").alias("ms"), "who", F.col("needed").cast("long"), "timeout_s")
+    how = {"outputStructType": "decision string, status string, at_ms long, responses int", "outputMode": "append", "timeMode": "eventTime"}
+    with state.keyed_store(spark):
+        one = run_available(rows_.groupBy("decision").transformWithState(statefulProcessor=state._Decision(86_400_000, near), **how), "one")
+        folder = run_folder(spark, "groups")
+        many = rows_.withColumn("group", F.pmod(F.xxhash64("decision"), F.lit(3))).groupBy("group").transformWithStateInPandas(statefulProcessor=state._DecisionGroup(86_400_000, near), **how)
+        many.writeStream.format("parquet").trigger(availableNow=True).option("path", folder + "/out").option("checkpointLocation", folder + "/progress").start().awaitTermination()
+    got = rows(spark.read.parquet(folder + "/out"))
+    assert got == rows(one) and {x[1] for x in got} == {"completed", "failed"}
+    left = spark.read.format("statestore").option("stateVarName", "asked").load(folder + "/progress")
+    assert [x[0] for x in left.select("value.decision").collect()] == [["clock"]]
+    assert spark.read.format("statestore").option("stateVarName", "answers").load(folder + "/progress").count() == 0
+
+
+def test_decisions_dealt_over_groups_share_their_state(spark):
+    """The store holds a row and a timer per group, not per decision."""
+    df = spark.createDataFrame([(f"d{k}", 1_704_067_200 + k, None, 1, 86_400) for k in range(500)], "decision string, s long, who string, needed int, timeout_s long")
+    folder, feed_ = run_folder(spark, "groups"), run_folder(spark, "feed")
+    df.withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.parquet(feed_)
+    with state.keyed_store(spark):
+        out = state.decision_timeouts(event_time(open_stream(spark, feed_, 1), "1 hour"), groups=4)
+        out.writeStream.format("parquet").trigger(availableNow=True).option("path", folder + "/out").option("checkpointLocation", folder + "/progress").start().awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "asked").load(folder + "/progress").select(F.size("value.decision")).collect()
+    assert len(held) == 4 and sum(x[0] for x in held) == 500
