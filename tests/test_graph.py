@@ -129,6 +129,23 @@ def test_known_pairs_are_not_read_every_round(spark, monkeypatch):
     assert len(read) <= 20
 
 
+def test_few_pairs_on_cycles_do_not_keep_the_rounds_going(spark, monkeypatch):
+    """However many pairs are known, a cycle or a longer way ends once the depth has doubled, and so does a null root's."""
+    tables = []
+    real = graph.cut_lineage
+    def counted(df):
+        tables.append(df)
+        assert len(tables) <= 16, "rounds go on"
+        return real(df)
+    monkeypatch.setattr(graph, "cut_lineage", counted)
+    far = spark.range(2_000).select((F.col("id") + 1_000).alias("src"), (F.col("id") + 5_000).alias("dst"))
+    odd = [(0, 0), (1, 2), (2, 3), (3, 1), (None, 1), (7, None), (2, None)] + [(a, b) for a in range(20, 25) for b in range(a + 1, 25)]
+    got = graph.reach(far.unionByName(spark.createDataFrame(odd, "src long, dst long")))
+    want = [(0, 0, 1), (None, 1, 1), (None, 2, 2), (None, 3, 3), (None, None, 3), (7, None, 1)] + [(a, b, 1) for a in range(20, 25) for b in range(a + 1, 25)]
+    want += [(a, b, (b - a) % 3 or 3) for a in (1, 2, 3) for b in (1, 2, 3)] + [(1, None, 2), (2, None, 1), (3, None, 3)]
+    assert rows(got) == sorted(want + [(k + 1_000, k + 5_000, 1) for k in range(2_000)], key=repr)
+
+
 def test_edges_of_paths_are_made_once(spark):
     seen = spark.sparkContext.accumulator(0)
     count = F.udf(lambda x: seen.add(1) or x, "int")
